@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bondwise.model import SITE_COLS, Snapshot
-from bondwise.operators.components import connected_components
+from bondwise.operators.components import connected_components, members
 from bondwise.operators.draw import first_n
+from bondwise.session import cut
 
 STATE_OPS = ("set_state", "inc_state", "dec_state")
 OPS = (*STATE_OPS, "add_bond", "delete_bond", "add_node", "delete_node", "delete_complex")
@@ -173,30 +174,23 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
 
 
 def still_connected(snap: Snapshot, complexes: DataFrame, edits: DataFrame, type_decl: DataFrame) -> DataFrame:
-    """(edit_id, connected): for each delete_bond, whether its two ends stay in one complex after that edit alone.
+    """(edit_id, connected): for each delete_bond, whether its two ends still share a complex after the batch.
 
-    Each edit is tried on its own copy of the complex it touches, so several edits of one complex do not mix.
+    Only complexes that lose a bond are searched again; all others keep their labels.
     """
     cuts = edits.filter("op = 'delete_bond'").select("edit_id", "node_id", "site_idx")
     ends = cuts.join(snap.sites, ["node_id", "site_idx"]).filter("partner_node is not null").select(
-        "edit_id", "node_id", "site_idx", "partner_node", "partner_site"
+        "edit_id", "node_id", "partner_node"
     )
-    home = ends.join(complexes, "node_id").select("edit_id", "complex_id")
-    inside = home.join(complexes, "complex_id").select("edit_id", "node_id")
-    # a copy's node is one (edit, node) pair numbered by hash
-    copy_id = lambda node: F.xxhash64("edit_id", node)
-    nodes = inside.select(copy_id("node_id").alias("node_id"))
-    links = inside.join(snap.links().withColumnRenamed("node_a", "node_id"), "node_id")
-    broken = ends.select("edit_id", F.col("node_id").alias("x"), F.col("site_idx").alias("xs")).unionByName(
-        ends.select("edit_id", F.col("partner_node").alias("x"), F.col("partner_site").alias("xs"))
-    )
-    links = links.join(broken, (links["edit_id"] == broken["edit_id"]) & (links["node_id"] == broken["x"]) & (links["site_a"] == broken["xs"]), "left_anti")
-    links = links.select(copy_id("node_id").alias("node_a"), copy_id("node_b").alias("node_b"))
-    parts = connected_components(nodes, links)
-    a = parts.select(F.col("node_id").alias("ia"), F.col("complex_id").alias("ca"))
-    b = parts.select(F.col("node_id").alias("ib"), F.col("complex_id").alias("cb"))
-    keyed = ends.select("edit_id", copy_id("node_id").alias("ia"), copy_id("partner_node").alias("ib"))
-    return keyed.join(a, "ia").join(b, "ib").select("edit_id", (F.col("ca") == F.col("cb")).alias("connected"))
+    hit = complexes.join(ends.select("node_id"), "node_id", "left_semi").select("complex_id").distinct()
+    part = members(snap, complexes, hit)
+    after, _ = apply_edits(part, edits, type_decl, complexes)
+    after = Snapshot(after.nodes, cut(after.sites, "after-sites"))
+    parts = cut(connected_components(after.nodes, after.links()), "after-complexes")
+    a = parts.select("node_id", F.col("complex_id").alias("ca"))
+    b = parts.select(F.col("node_id").alias("partner_node"), F.col("complex_id").alias("cb"))
+    joined = ends.join(a, "node_id", "left").join(b, "partner_node", "left")
+    return joined.select("edit_id", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("connected"))
 
 
 def instantiate(copies: DataFrame, template: DataFrame, first_id: int) -> Snapshot:

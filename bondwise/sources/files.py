@@ -16,7 +16,7 @@ PHASES = ["select_reactants", "fire_rule", "observables", "incr_update"]
 FOOTPRINT_LINE = r"arena=(\d+) rules=(\d+) tabled=(\d+) bytes=(\d+) \([\d.]+ MB\) mol=(\d+) sampler=(\d+) reach_bytes=(\d+)"
 PER_RULE_LINE = r"^\s*(\S+) \(.*\): rows=(\d+) reach=(\d+) mol=(\d+) sampler=(\d+)$"
 SECTION_LINE = r"^###\s+(\S+)"
-WALL_LINE = r"^-\s+RM reps:.*wall time:\s+([0-9.]+)s"
+WALL_LINE = r"^-\s+\S+ reps:.*wall time:\s+([0-9.]+)s"
 
 
 def read_tfun(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -78,8 +78,9 @@ def _typed(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def read_sim_params(spark: SparkSession, path: str) -> DataFrame:
     """(model, t_end, n_steps, flags, block_same_complex); column order and the flags column may vary."""
-    rows = _typed(read_named_table(spark, path), {"model": "string", "t_end": "double", "n_steps": "int", "nfsim_flags": "string"})
-    flags = F.coalesce("nfsim_flags", F.lit(""))
+    cells = read_named_table(spark, path).withColumn("name", F.regexp_replace("name", r"^\w*_flags$", "flags"))
+    rows = _typed(cells, {"model": "string", "t_end": "double", "n_steps": "int", "flags": "string"})
+    flags = F.coalesce("flags", F.lit(""))
     return rows.select("model", "t_end", "n_steps", flags.alias("flags"), flags.contains("-bscb").alias("block_same_complex"))
 
 
