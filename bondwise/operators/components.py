@@ -3,26 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bondwise.model import Snapshot
-from bondwise.operators.skew import hub_join
+from bondwise.operators import skew
 from bondwise.session import cut, cut_measured
 
 
-def _star_step(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Point every neighbour of a node at the smallest id among the node and its neighbours."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("deg"))
-    low = low.withColumn("low", F.least("u", "low"))
-    return hub_join(edges, low, "u", n_edges)
+def _with_low(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Add ``low``, the smallest id among u and its neighbours v, to every edge.
+
+    Edges of ordinary nodes take one shuffle and a window, whose groups stay below the hub limit. Hub nodes,
+    which can exist only when there are that many edges, get theirs by broadcast.
+    """
+    group = W.partitionBy("u")
+    floor = max(skew.HUB_ROWS, n_edges // skew.MAX_HUBS)
+    hot = None
+    if n_edges >= floor:
+        hubs = edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("deg")).filter(F.col("deg") >= floor)
+        hubs = F.broadcast(hubs.select("u", F.least("u", "low").alias("low")))
+        hot = edges.join(hubs, "u").select("u", "v", "low")
+        edges = edges.join(hubs, "u", "left_anti")
+    cold = edges.select("u", "v", F.least(F.col("u"), F.min("v").over(group)).alias("low"))
+    return cold if hot is None else cold.unionByName(hot)
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node_id, complex_id), the complex named by its smallest node id; a node without links is its own.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which reach a fixed point in about
-    log(n) rounds whatever the diameter. Each round is one written table. Both steps send rows to the node
-    being contracted, so hub nodes go through ``hub_join``; minima are pre-aggregated.
+    log(n) rounds whatever the diameter. Each round is one written table and three shuffles.
     """
     edges = links.filter("node_a <> node_b").select(
         F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")
@@ -31,15 +42,11 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges, seen = cut_measured(edges.distinct(), "links", mark=print_of)
     while seen["n_rows"]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _star_step(both, 2 * seen["n_rows"])
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .distinct()
-        )
-        small = _star_step(large, seen["n_rows"])
-        star = small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        star = star.unionByName(small.select("u", F.col("low").alias("v"))).distinct()
+        large = _with_low(both, 2 * seen["n_rows"]).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = _with_low(large, 2 * seen["n_rows"])
+        # both kinds of edge of the small-star step: neighbour to low, node to low
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))
+        star = small.select(F.explode(ends).alias("e")).select("e.*").filter("u <> v").distinct()
         edges, now = cut_measured(star, "stars", mark=print_of)
         if (now["n_rows"], now["mark"]) == (seen["n_rows"], seen["mark"]):
             break

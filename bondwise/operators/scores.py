@@ -63,7 +63,8 @@ def _shared(traj: DataFrame, ref_stats: DataFrame) -> tuple[DataFrame, DataFrame
     right = F.coalesce(F.lead("ref_time").over(along), F.col("ref_time"))
     steps = steps.select("model", "step", "ref_time", ((right - left) / 2).alias("w"))
     names = F.trim("obs").alias("obs")
-    on_steps = traj.join(hit.select("model", "time", "step"), ["model", "time"]).join(steps, ["model", "step"])
+    rows = traj.select("model", "rep", "obs", "time", "value")
+    on_steps = rows.join(hit.select("model", "time", "step"), ["model", "time"]).join(steps, ["model", "step"])
     return on_steps.select("model", "rep", names, "step", "ref_time", "w", "value"), steps
 
 

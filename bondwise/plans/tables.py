@@ -140,8 +140,12 @@ def customer_decl(spark: SparkSession) -> DataFrame:
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``time`` in seconds since the first one; the origin is one row."""
     ev = table(spark, sf_dir, "events")
-    origin = ev.agg(F.unix_micros(F.min("ts")).alias("t0"))
-    return ev.crossJoin(F.broadcast(origin)).withColumn("time", (F.unix_micros("ts") - F.col("t0")) / 1e6).drop("t0")
+    origin = ev.agg(F.min("ts").alias("t0"))
+    # an interval between time stamps without zone, so the session's time zone plays no part
+    part = lambda unit: F.extract(F.lit(unit), F.col("ts") - F.col("t0"))
+    whole = (part("DAY") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
+    seconds = whole.cast("long") * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
+    return ev.crossJoin(F.broadcast(origin)).withColumn("time", seconds / 1e6).drop("t0")
 
 
 DAYS = [86400.0 * d for d in range(31)]
