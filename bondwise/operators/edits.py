@@ -48,6 +48,7 @@ def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_dec
     ends = _bond_ends(edits.filter(~F.col("op").isin("add_node", "delete_node")))
     found = ends.join(sites.select("node_id", "site_idx", "type", "site_name", "state", "partner_node", "partner_site"),
                       ["node_id", "site_idx"], "left")
+    found = cut(found, "touched-sites")
     bad_site = found.filter("type is null").select("edit_id", F.lit("no such site").alias("error"))
     on_free = found.filter("op = 'delete_bond' and type is not null and partner_node is null").select(
         "edit_id", F.lit("site has no bond").alias("error")
@@ -81,7 +82,7 @@ def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_dec
         "edit_id", F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx"), F.lit("bond").alias("facet"),
         F.lit(True).alias("by_delete"),
     )
-    touch = touch.unionByName(freed).unionByName(dropped)
+    touch = cut(touch.unionByName(freed).unionByName(dropped), "touches")
     # a site is touched by few edits or is in error; the counts pre-aggregate either way
     crowded = touch.groupBy("node_id", "site_idx", "facet").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and("by_delete").alias("only_deletes")
@@ -106,7 +107,7 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
     Incremented and decremented states stop at the ends of the site's state list. New nodes take their type from
     ``new_state`` and get the declared sites in their first state. A deleted node frees its neighbours' sites.
     """
-    edits = expand_complex_deletes(edits, complexes)
+    edits = cut(expand_complex_deletes(edits, complexes), "edits")
     fresh = edits.filter("op = 'add_node'").select("edit_id", "node_id", F.col("new_state").alias("type"))
     no_partner = F.lit(None).cast("long")
     first_state = F.when(F.size("allowed_states") > 0, F.element_at("allowed_states", 1))
@@ -115,7 +116,7 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
         first_state.alias("state"), no_partner.alias("partner_node"), no_partner.alias("partner_site"),
     )
     if errors is None:
-        errors = edit_errors(snap, edits, new_sites, type_decl)
+        errors = cut(edit_errors(snap, edits, new_sites, type_decl), "edit-errors")
     bad = errors.select("edit_id").distinct()
     good = edits.join(bad, "edit_id", "left_anti")
     new_sites = new_sites.join(bad, "edit_id", "left_anti").select(*SITE_COLS)
@@ -151,6 +152,7 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
         .groupBy("node_id", "site_idx")
         .agg(*[F.max(c).alias(c) for c in ("op", "new_state", "to_node", "to_site", "free")])
     )
+    change = cut(change, "changes")
     merged = sites.join(change, ["node_id", "site_idx"], "left").join(
         F.broadcast(type_decl.select("type", "site_name", "allowed_states").dropDuplicates(["type", "site_name"])), ["type", "site_name"], "left"
     )

@@ -11,10 +11,15 @@ MAX_REACTANTS = 6
 
 
 def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """(model, …): elements of one tag over many files; attributes carry an underscore."""
+    """(model, …): elements of one tag over many files; attributes carry an underscore.
+
+    A model is a file, or a directory ``model=…`` of files.
+    """
     rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.xml$", "")
-    return rows.select(name.alias("model"), "*")
+    path_of = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(path_of, "/model=([^/]+)/", 1), F.lit(""))
+    name = F.coalesce(F.url_decode(folder), F.regexp_replace(F.element_at(F.split(path_of, "/"), -1), r"\.xml$", ""))
+    return rows.select(name.alias("model"), *[c for c in rows.columns if c != "model"])
 
 
 SITE_X = "struct<_id:string,_name:string,_state:string,_numberOfBonds:string>"
@@ -87,13 +92,16 @@ def read_observables(spark: SparkSession, path: str) -> DataFrame:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(model, rule_id, rule, symmetry, priority, reactants, products, law, law_name, constants, total_rate, ops)."""
     rows = _rows(spark, path, "ReactionRule", RULE_SCHEMA)
-    ops = F.concat(*[
-        F.coalesce(F.transform(F.col(f"ListOfOperations.{k}"), lambda o, k=k: F.struct(
-            F.lit(k).alias("op"), F.coalesce(o["_site"], o["_site1"], o["_id"]).alias("target"), o["_site2"].alias("target2"),
+    none = F.array().cast("array<struct<op:string,target:string,target2:string,state:string,move_connected:boolean>>")
+
+    def listed(kind: str):
+        one = lambda o: F.struct(
+            F.lit(kind).alias("op"), F.coalesce(o["_site"], o["_site1"], o["_id"]).alias("target"), o["_site2"].alias("target2"),
             o["_finalState"].alias("state"), (F.coalesce(o["_moveConnected"], F.lit("0")) == "1").alias("move_connected"),
-        )), F.array().cast("array<struct<op:string,target:string,target2:string,state:string,move_connected:boolean>>"))
-        for k in ("AddBond", "DeleteBond", "StateChange", "Add", "Delete")
-    ])
+        )
+        return F.coalesce(F.transform(F.col(f"ListOfOperations.{kind}"), one), none)
+
+    ops = F.concat(*[listed(kind) for kind in ("AddBond", "DeleteBond", "StateChange", "Add", "Delete")])
     return rows.select(
         "model", F.col("_id").alias("rule_id"), F.col("_name").alias("rule"), F.col("_symmetry_factor").alias("symmetry"),
         F.col("_priority").alias("priority"), F.col("ListOfReactantPatterns.ReactantPattern").alias("reactants"),

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from bondwise.sources.text import file_stem, number_text, small_files, write_ordered_lines
 
 
+def _units(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(model, line_no, line): a model is a file named after it, or a directory ``model=…`` of part files in order."""
+    lines = small_files(spark, path)
+    folder = F.nullif(F.regexp_extract("file", "/model=([^/]+)/", 1), F.lit(""))
+    lines = lines.withColumn("model", F.coalesce(F.url_decode(folder), file_stem(F.col("file"), suffix)))
+    order = W.partitionBy("model").orderBy("file", "line_no")
+    return lines.withColumn("line_no", F.row_number().over(order)).drop("file")
+
+
 def _wide(spark: SparkSession, path: str, suffix: str, value: str) -> DataFrame:
     """(model, step, time, obs, value) of a wide table whose first line is its header."""
-    lines = small_files(spark, path).filter(~F.col("line").rlike(r"^#\s*$"))
-    heads = lines.groupBy("file").agg(F.min_by("line", "line_no").alias("head"), F.min("line_no").alias("first"))
+    lines = _units(spark, path, suffix).filter(~F.col("line").rlike(r"^#\s*$"))
+    heads = lines.groupBy("model").agg(F.min_by("line", "line_no").alias("head"), F.min("line_no").alias("first"))
     names = F.transform(F.split(F.regexp_replace("head", r"^#\s*", ""), "\t"), lambda x: F.trim(x))
-    rows = lines.join(heads, "file").filter("line_no > first").select(
-        file_stem(F.col("file"), suffix).alias("model"),
+    rows = lines.join(heads, "model").filter("line_no > first").select(
+        "model",
         (F.col("line_no") - F.col("first") - 1).alias("step"),
         names.alias("names"),
         F.transform(F.split("line", r"\s+"), lambda x: x.try_cast("double")).alias("values"),
@@ -41,11 +51,11 @@ def read_ref_stats(spark: SparkSession, means: str, stds: str | None = None, sem
 
 def read_ref_tint(spark: SparkSession, path: str) -> DataFrame:
     """(model, obs, i_mean, i_std, n_reps), by position since the first header name varies; bad rows are skipped."""
-    rows = small_files(spark, path).filter(~F.col("line").startswith("#"))
+    rows = _units(spark, path, ".tint.tsv").filter(~F.col("line").startswith("#"))
     cell = F.split("line", "\t")
-    first = rows.groupBy("file").agg(F.min("line_no").alias("head"))
-    data = rows.join(first, "file").filter("line_no > head").select(
-        file_stem(F.col("file"), ".tint.tsv").alias("model"),
+    first = rows.groupBy("model").agg(F.min("line_no").alias("head"))
+    data = rows.join(first, "model").filter("line_no > head").select(
+        "model",
         F.get(cell, 0).alias("obs"),
         F.get(cell, 1).try_cast("double").alias("i_mean"),
         F.get(cell, 2).try_cast("double").alias("i_std"),
