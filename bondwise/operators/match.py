@@ -322,27 +322,121 @@ def relation_holds(count: Column, relation: str | None, quantity: int) -> Column
     return (count > 0) & compare[relation]
 
 
+def _family_of(p: Pattern) -> tuple | None:
+    """What patterns must share to be counted in one pass: the node types, and for a pair the bonded site names."""
+    if len(p.mols) == 1 and p.mols[0].slots and not p.bonds():
+        return ("node", p.mols[0].type)
+    if len(p.mols) == 2 and len(p.bonds()) == 1:
+        ((a, sa), (b, sb)) = sorted(p.bonds()[0])
+        return ("pair", p.mols[a].type, p.mols[a].slots[sa].name, p.mols[b].type, p.mols[b].slots[sb].name)
+    return None
+
+
+def _shared_blocks(members: list[dict[str, list[Slot]]]) -> tuple[list[Column], list[dict]]:
+    """Conditional counts for several slot groups, equal conditions counted once."""
+    aggs: dict[tuple, Column] = {}
+    labels = []
+    for groups in members:
+        names = {}
+        for name, slots in groups.items():
+            for block in subsets(len(slots)):
+                key = tuple(sorted({(slots[i].name, slots[i].state or "", "bound" if isinstance(slots[i].bond, int) else slots[i].bond) for i in block}))
+                if key not in aggs:
+                    aggs[key] = F.count_if(_both([slots[i] for i in block])).alias(f"f{len(aggs)}")
+                names[name, block] = f"f{list(aggs).index(key)}"
+        labels.append(names)
+    return list(aggs.values()), labels
+
+
+def _node_family(snap: Snapshot, patterns: list[Pattern]) -> DataFrame:
+    """(node_id, c0, c1, …): several one-node patterns of one type from one aggregate."""
+    mols = [p.mols[0] for p in patterns]
+    groups = [_by_name(m.slots) for m in mols]
+    aggs, labels = _shared_blocks(groups)
+    per = snap.sites.filter(F.col("type") == mols[0].type).groupBy("node_id").agg(*aggs)
+    return per.select("node_id", *[
+        reduce(lambda a, b: a * b, (_group_factor(n, s, names) for n, s in g.items())).cast("long").alias(f"c{i}")
+        for i, (g, names) in enumerate(zip(groups, labels))
+    ])
+
+
+def _pinned_family(snap: Snapshot, pins: list[tuple[Mol, int]]) -> DataFrame:
+    """(node_id, site_idx, partner_node, partner_site, w0, w1, …): ``pinned_counts`` of several patterns at once."""
+    first, at0 = pins[0]
+    rests = [_by_name(m.slots[:at] + m.slots[at + 1 :]) for m, at in pins]
+    aggs, labels = _shared_blocks(rests)
+    name = first.slots[at0].name
+    of_type = snap.sites.filter(F.col("type") == first.type)
+    ends = of_type.filter((F.col("site_name") == name) & F.col("partner_node").isNotNull())
+    own, weights = {}, []
+    for i, ((m, at), groups, names) in enumerate(zip(pins, rests, labels)):
+        own[f"fits{i}"] = m.slots[at].predicate().cast("long")
+        w = F.col(f"fits{i}")
+        for g, slots in groups.items():
+            if g != name:
+                w = w * _group_factor(g, slots, names)
+                continue
+            # the pinned site is taken, so it leaves every block it would have counted in
+            for block in subsets(len(slots)):
+                own[f"own{i}_{names[g, block]}"] = _both([slots[k] for k in block]).cast("long")
+            left = {b: F.col(names[g, b]) - F.col(f"own{i}_{names[g, b]}") for b in subsets(len(slots))}
+            w = w * distinct_sum(tuple(range(len(slots))), left.__getitem__)
+        weights.append(w.cast("long").alias(f"w{i}"))
+    keep = ["node_id", "site_idx", "partner_node", "partner_site"]
+    rows = ends.select(*keep, *[c.alias(n) for n, c in own.items()])
+    if aggs:
+        per_node = of_type.groupBy("node_id").agg(*aggs, F.count(F.lit(1)).alias("deg"))
+        rows = hub_join(rows, per_node, "node_id", snap.n_sites())
+    rows = rows.select(*keep, *weights)
+    return rows.filter(F.greatest(*[F.col(f"w{i}") for i in range(len(pins))], F.lit(0)) > 0)
+
+
+def _pair_family(snap: Snapshot, patterns: list[Pattern]) -> DataFrame:
+    """(node_id, c0, c1, …): several two-node patterns over the same kind of link from one join."""
+    left, right = [], []
+    for p in patterns:
+        ((a, sa), (b, sb)) = sorted(p.bonds()[0])
+        left.append((p.mols[a], sa))
+        right.append((p.mols[b], sb))
+    k = len(patterns)
+    near = _pinned_family(snap, left).filter("node_id <> partner_node")
+    far = _pinned_family(snap, right).select(
+        F.col("node_id").alias("partner_node"), F.col("site_idx").alias("partner_site"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(k)]
+    )
+    met = near.join(far, ["partner_node", "partner_site"])
+    return met.select("node_id", *[(F.col(f"w{i}") * F.col(f"v{i}")).alias(f"c{i}") for i in range(k)])
+
+
 def observe(snap: Snapshot, observables: list[Observable], complexes: DataFrame | None = None) -> DataFrame:
     """(obs, value): every observable on the snapshot, zero included.
 
     "Molecules" sums embeddings over nodes and patterns. "Species" counts complexes that pass each pattern's
-    condition; a complex passing two patterns of one observable counts twice.
+    condition; a complex passing two patterns of one observable counts twice. Patterns that differ only in their
+    conditions are counted in one pass over the sites.
     """
     spark = snap.nodes.sparkSession
+    if complexes is None and any(o.kind == "Species" for o in observables):
+        raise ValueError("Species observables need the complexes table")
+    families: dict[tuple, list[tuple[Observable, Pattern]]] = {}
+    for n, (o, p) in enumerate((o, p) for o in observables for p in o.patterns):
+        families.setdefault((o.kind, *(_family_of(p) or ("alone", n))), []).append((o, p))
     parts = [spark.createDataFrame([(o.name, 0) for o in observables], "obs string, value long")]
-    for o in observables:
-        for p in o.patterns:
-            counts = attributed_counts(snap, p, complexes)
-            if o.kind == "Molecules":
-                total = counts.agg(F.sum("c").alias("value"))
-            else:
-                if complexes is None:
-                    raise ValueError("Species observables need the complexes table")
-                per_complex = counts.join(complexes, "node_id").groupBy("complex_id").agg(F.sum("c").alias("c"))
-                total = per_complex.filter(relation_holds(F.col("c"), p.relation, p.quantity)).agg(
-                    F.count(F.lit(1)).alias("value")
-                )
-            parts.append(total.select(F.lit(o.name).alias("obs"), "value"))
+    for (kind, shape, *_), group in families.items():
+        patterns = [p for _, p in group]
+        if shape == "node":
+            counts = _node_family(snap, patterns)
+        elif shape == "pair":
+            counts = _pair_family(snap, patterns)
+        else:
+            counts = attributed_counts(snap, patterns[0], complexes).withColumnRenamed("c", "c0")
+        cols = [f"c{i}" for i in range(len(group))]
+        if kind == "Species":
+            per = counts.join(complexes, "node_id").groupBy("complex_id").agg(*[F.sum(c).alias(c) for c in cols])
+            row = per.agg(*[F.count_if(relation_holds(F.col(c), p.relation, p.quantity)).alias(c) for c, p in zip(cols, patterns)])
+        else:
+            row = counts.agg(*[F.sum(c).alias(c) for c in cols])
+        cells = F.array(*[F.struct(F.lit(o.name).alias("obs"), F.col(c).alias("value")) for c, (o, _) in zip(cols, group)])
+        parts.append(row.select(F.explode(cells).alias("x")).select("x.*"))
     every = reduce(DataFrame.unionByName, parts)
     return every.groupBy("obs").agg(F.sum("value").alias("value"))
 
