@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bondwise.operators.order import medians, upper_median
+
 
 def timing_per_model(runs: DataFrame) -> DataFrame:
     """(engine, suite, model, ok, median_s, min_s, max_s, error): one failed run voids the model for that engine."""
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     ok = F.count_if(failed) == 0
-    wall = F.when(ok, F.median("wall_s"))
-    return runs.groupBy("engine", "suite", "model").agg(
+    keys = ["engine", "suite", "model"]
+    per = runs.groupBy(*keys).agg(
         ok.alias("ok"),
-        wall.alias("median_s"),
         F.when(ok, F.min("wall_s")).alias("min_s"),
         F.when(ok, F.max("wall_s")).alias("max_s"),
         F.min_by("error", F.when(failed, F.col("rep"))).alias("error"),
     )
+    mid = medians(runs, keys, "wall_s", "mid")
+    return per.join(mid, keys, "left").select(*keys, "ok", F.when(F.col("ok"), F.col("mid")).alias("median_s"), "min_s", "max_s", "error")
 
 
 def speedups(per_model: DataFrame, engine: str, other: str) -> DataFrame:
@@ -37,29 +40,30 @@ def speedups(per_model: DataFrame, engine: str, other: str) -> DataFrame:
 def timing_summary(per_model: DataFrame, engine: str, other: str) -> DataFrame:
     """One row of totals over the models both engines finished."""
     rows = speedups(per_model, engine, other)
+    middle = medians(rows, [], "speedup", "median_speedup")
     return rows.agg(
         F.count(F.lit(1)).alias("models"),
         F.count("speedup").alias("scored"),
         F.count_if(F.col("ok") & ~F.coalesce("other_ok", F.lit(False))).alias("other_missing"),
         F.count_if(~F.col("ok")).alias("failed"),
-        F.median("speedup").alias("median_speedup"),
         F.exp(F.avg(F.ln(F.when(F.col("speedup") > 0, F.col("speedup"))))).alias("geo_mean_speedup"),
         F.count_if(F.col("speedup") > 1.0).alias("faster"),
         F.count_if(F.col("speedup") < 1.0).alias("slower"),
-    )
+    ).crossJoin(middle)
 
 
 def horizon_summary(runs: DataFrame) -> DataFrame:
     """(engine, model, t_end, wall_med, events_med, ns_per_event, n_ok, n_err) over runs that fired events."""
     fired = F.col("events") > 0
     good = fired & (F.col("wall_s") > 0)
-    per = runs.groupBy("engine", "model", "t_end").agg(
-        F.median(F.when(good, F.col("wall_s"))).alias("wall_med"),
-        F.median(F.when(fired, F.col("events"))).alias("events_med"),
+    keys = ["engine", "model", "t_end"]
+    per = runs.groupBy(*keys).agg(
         F.count_if(good).alias("n_ok"),
         F.count_if(~F.coalesce(good, F.lit(False))).alias("n_err"),
     )
     per = per.filter("n_ok > 0")
+    per = per.join(medians(runs.filter(good), keys, "wall_s", "wall_med"), keys)
+    per = per.join(medians(runs.filter(fired), keys, "events", "events_med"), keys)
     return per.withColumn("ns_per_event", F.col("wall_med") / F.col("events_med") * 1e9)
 
 
@@ -77,13 +81,10 @@ def footprint_shares(rows: DataFrame) -> DataFrame:
 
 def footprint_summary(shared: DataFrame) -> DataFrame:
     """One row: upper median and maximum share, counts at one and ten percent, totals and the reach ratio."""
-    # percentile_disc picks an element, the upper one of an even count just above one half
     n = F.count(F.lit(1))
     reach = F.sum("reach_bytes") / F.nullif(F.sum("table_bytes"), F.lit(0))
-    upper = F.expr("percentile_disc(0.5) within group (order by share desc)")
     return shared.agg(
         n.alias("models"),
-        upper.alias("median_share"),
         F.max("share").alias("max_share"),
         F.count_if(F.col("share") >= 0.10).alias("over_10"),
         F.count_if(F.col("share") >= 0.01).alias("over_1"),
@@ -91,7 +92,7 @@ def footprint_summary(shared: DataFrame) -> DataFrame:
         F.sum("table_bytes").alias("table_bytes"),
         F.sum("reach_bytes").alias("reach_bytes"),
         reach.alias("reach_ratio"),
-    )
+    ).crossJoin(upper_median(shared, "share", "median_share"))
 
 
 def run_diff(base: DataFrame, head: DataFrame, limit_pct: float = 15.0) -> DataFrame:

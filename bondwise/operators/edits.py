@@ -121,7 +121,7 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
     good = edits.join(bad, "edit_id", "left_anti")
     new_sites = new_sites.join(bad, "edit_id", "left_anti").select(*SITE_COLS)
     new_nodes = fresh.join(bad, "edit_id", "left_anti").select("node_id", "type")
-    gone = good.filter("op = 'delete_node'").select("node_id").distinct()
+    gone = good.filter("op = 'delete_node'").select("node_id")
     nodes = snap.nodes.join(gone, "node_id", "left_anti").unionByName(new_nodes)
     sites = snap.sites.select(*SITE_COLS).join(gone, "node_id", "left_anti").unionByName(new_sites)
 

@@ -19,12 +19,7 @@ def ensemble_stats(traj: DataFrame, align: str = "shortest") -> DataFrame:
 
     "shortest" stops at the last step that every replicate of the model reaches, "ragged" keeps all steps.
     """
-    if align == "shortest":
-        last = traj.groupBy("model", "rep").agg(F.max("step").alias("last"))
-        last = last.groupBy("model").agg(F.min("last").alias("last"))
-        # one row per model: as small as the list of models
-        traj = traj.join(last, "model").filter("step <= last")
-    elif align != "ragged":
+    if align not in ("shortest", "ragged"):
         raise ValueError("align is 'shortest' or 'ragged'")
     stats = traj.groupBy("model", "obs", "step").agg(
         F.avg("time").alias("time"),
@@ -32,6 +27,11 @@ def ensemble_stats(traj: DataFrame, align: str = "shortest") -> DataFrame:
         sample_std("value").alias("std"),
         F.count(F.lit(1)).alias("n"),
     )
+    if align == "shortest":
+        # steps are cut after the aggregate, when a step is one row however many replicates there are
+        last = traj.groupBy("model", "rep").agg(F.max("step").alias("last"))
+        last = last.groupBy("model").agg(F.min("last").alias("last"))
+        stats = stats.join(last, "model").filter("step <= last").drop("last")
     return stats.withColumn("sem", F.col("std") / F.sqrt("n"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bondwise.operators.skew import hub_join
+
 NEG_TOL = 1e-9
 
 
@@ -28,8 +30,9 @@ def conserved_violations(traj: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules`` is (model, obs, expected). The tolerance is one half or one percent, whichever is larger.
     """
     rows = traj.join(rules, ["model", "obs"])
-    start = rows.groupBy("model", "rep", "obs").agg(F.min_by("value", "time").alias("start"))
-    rows = rows.join(start, ["model", "rep", "obs"]).withColumn("expected", F.coalesce("expected", "start"))
+    keys = ["model", "rep", "obs"]
+    start = rows.groupBy(*keys).agg(F.min_by("value", "time").alias("start"), F.count(F.lit(1)).alias("deg"))
+    rows = hub_join(rows, start, keys, traj.count()).withColumn("expected", F.coalesce("expected", "start"))
     tol = F.greatest(F.lit(0.5), 0.01 * F.abs("expected"))
     bad = rows.filter(F.abs(F.col("value") - F.col("expected")) > tol)
     first = bad.groupBy("model", "rep", "obs").agg(F.min(F.struct("time", "value", "expected")).alias("r"))

@@ -53,10 +53,11 @@ def match_times(times: DataFrame, grid: DataFrame) -> DataFrame:
 def _shared(traj: DataFrame, ref_stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trajectory rows on the reference steps that the first replicate meets, and those steps with trapezoid weights."""
     grid = ref_stats.groupBy("model", "step").agg(F.max("time").alias("ref_time"))
-    times = traj.select("model", "time").distinct()
-    hit = match_times(times, grid)
-    rep0 = traj.groupBy("model").agg(F.min("rep").alias("rep0"))
-    first = traj.join(rep0, "model").filter("rep = rep0").select("model", "time").distinct()
+    # one row per (model, time) from here on; replicates meet the result once, at the end
+    times = traj.groupBy("model", "time").agg(F.min("rep").alias("rep"))
+    hit = match_times(times.select("model", "time"), grid)
+    rep0 = times.groupBy("model").agg(F.min("rep").alias("rep0"))
+    first = times.join(rep0, "model").filter("rep = rep0").select("model", "time")
     steps = first.join(hit, ["model", "time"]).select("model", "step", "ref_time").distinct()
     along = W.partitionBy("model").orderBy("step")
     left = F.coalesce(F.lag("ref_time").over(along), F.col("ref_time"))
@@ -64,7 +65,7 @@ def _shared(traj: DataFrame, ref_stats: DataFrame) -> tuple[DataFrame, DataFrame
     steps = steps.select("model", "step", "ref_time", ((right - left) / 2).alias("w"))
     names = F.trim("obs").alias("obs")
     rows = traj.select("model", "rep", "obs", "time", "value")
-    on_steps = rows.join(hit.select("model", "time", "step"), ["model", "time"]).join(steps, ["model", "step"])
+    on_steps = rows.join(hit.select("model", "time", "step").join(steps, ["model", "step"]), ["model", "time"])
     return on_steps.select("model", "rep", names, "step", "ref_time", "w", "value"), steps
 
 
@@ -223,7 +224,8 @@ def compare_feature(traj: DataFrame, ref: DataFrame, label: str) -> DataFrame:
     reps = mine.select("model", "rep").distinct().groupBy("model").agg(
         F.count(F.lit(1)).alias("n_reps"), F.min("rep").alias("rep0")
     )
-    first = mine.join(reps, "model").filter("rep = rep0").select("model", "t").distinct()
+    times = mine.groupBy("model", "t").agg(F.min("rep").alias("rep"))
+    first = times.join(reps, "model").filter("rep = rep0").select("model", "t")
     steps = first.join(ref.select("model", "t").distinct(), ["model", "t"])
     along = W.partitionBy("model").orderBy("t")
     left = F.coalesce(F.lag("t").over(along), F.col("t"))

@@ -10,7 +10,7 @@ from bondwise.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4)
+    session = local_session(4, 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
