@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bondwise.operators.ensemble import sample_std
+from bondwise.operators.order import ranked
 
 # Fixed values of the published scoring rules.
 SCREEN_LIMIT = 5.0
@@ -326,8 +327,7 @@ def noise_floor(per_rep: DataFrame, sizes: tuple[int, ...] = CALIBRATED_N, split
     reps = per_rep.select("model", "rep").distinct()
     drawn = reps.crossJoin(per_rep.sparkSession.range(splits).withColumnRenamed("id", "split"))
     drawn = drawn.withColumn("u", F.xxhash64("model", "rep", "split", F.lit(seed)))
-    pos = F.row_number().over(W.partitionBy("model", "split").orderBy("u", "rep"))
-    drawn = drawn.withColumn("pos", pos).select("model", "rep", "split", "pos")
+    drawn = ranked(drawn, ["model", "split"], "u").select("model", "rep", "split", F.col("rank").alias("pos"))
     rows = per_rep.join(drawn, ["model", "rep"])
     for n in sizes:
         mine = F.when(F.col("pos") <= n, F.col("integral"))

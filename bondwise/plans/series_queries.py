@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bondwise.functions.expressions import duration_text
-from bondwise.operators import bench, draw, ensemble, quality, sampling, scores, sweep
+from bondwise.operators import bench, draw, ensemble, order, quality, sampling, scores, sweep
 from bondwise.plans.registry import query
 from bondwise.plans.tables import DAYS, daily_counts, halves, table, timed_events
 from bondwise.session import cut
@@ -298,9 +298,9 @@ def invariant_first_violation(spark, sf):
     """
 )
 def out_of_order_instants(spark, sf):
-    """Orders of a customer in key order whose dates go back; ranks come from the sort keys given."""
+    """Orders of a customer in key order whose dates go back."""
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.unix_timestamp("o_orderdate").alias("time"))
-    rows = rows.withColumn("idx", F.row_number().over(W.partitionBy("k").orderBy("o_orderkey")))
+    rows = order.ranked(rows, ["k"], "o_orderkey").withColumnRenamed("rank", "idx").drop("n", "o_orderkey")
     return sampling.order_violations(rows, ["k"]).agg(F.count(F.lit(1)).alias("descending"))
 
 
@@ -378,9 +378,8 @@ def scan_grid(spark, sf):
     """
 )
 def bifurcation_sequence(spark, sf):
-    g = table(spark, sf, "part").select(
-        "p_brand", (F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("point_idx"), F.col("p_retailprice").alias("param_value")
-    )
+    part = order.ranked(table(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"], "p_partkey")
+    g = part.select("p_brand", (F.col("rank") - 1).alias("point_idx"), F.col("p_retailprice").alias("param_value"))
     return sweep.bifurcation_sequence(g, ["p_brand"]).select("p_brand", F.col("run_idx").cast("int").alias("run_idx"), "branch", "param_value")
 
 

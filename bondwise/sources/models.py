@@ -139,6 +139,21 @@ def pattern_audit(rules: DataFrame) -> DataFrame:
                        (F.size(F.array_intersect(reach, F.col("ids"))) < F.size("ids")).alias("loose"))
 
 
+def unpinned_patterns(rules: DataFrame, types: DataFrame) -> DataFrame:
+    """(model, rule_id, reactant, mol): pattern molecules that leave a declared site, its state or its bond open."""
+    sites = pattern_sites(rules)
+    takes_state = types.filter("site_name is not null").groupBy("model", "type", "site_name").agg(
+        F.max(F.coalesce(F.size("allowed_states"), F.lit(0)) > 0).alias("takes_state")
+    )
+    stated = sites.join(takes_state, ["model", "type", "site_name"], "left")
+    open_site = (F.coalesce("takes_state", F.lit(False)) & F.col("state").isNull()) | F.col("bonds").isin("+", "?")
+    per = stated.groupBy("model", "rule_id", "reactant", "mol", "type").agg(
+        F.count("site_id").alias("listed"), F.coalesce(F.bool_or(open_site & F.col("site_id").isNotNull()), F.lit(False)).alias("open")
+    )
+    declared = types.groupBy("model", "type").agg(F.count("site_name").alias("declared"))
+    return per.join(declared, ["model", "type"], "left").filter(F.col("open") | (F.col("listed") < F.col("declared")))
+
+
 def lint_models(spark: SparkSession, path: str) -> DataFrame:
     """(model, element, severity, feature, subject): constructs that cannot be honoured or only in part."""
     rules, types, seeds = read_rules(spark, path), read_types(spark, path), read_seeds(spark, path)
@@ -182,6 +197,12 @@ def lint_models(spark: SparkSession, path: str) -> DataFrame:
     mm = mm.join(params.select("model", F.col("name").alias("km"), "value"), ["model", "km"], "left")
     km = F.coalesce(F.col("km").try_cast("double"), F.col("value"))
     out.append(finding(mm.filter(km < 0), "rule_id", "Error", "RateLaw@type=MM", "negative half-saturation"))
+    vague = unpinned_patterns(mm, types).select("model", "rule_id").distinct()
+    out.append(finding(vague, "rule_id", "Warn", "RateLaw@type=MM", "a reactant can match several species"))
+    owners = F.transform("ops", lambda o: F.regexp_extract(o["target"], r"^(.*_RP[0-9]+)_M", 1))
+    changed = mm.filter("symmetry <> 1").select("model", "rule_id", F.explode(owners).alias("changed")).filter("changed <> ''")
+    both = changed.groupBy("model", "rule_id").agg(F.countDistinct("changed").alias("n")).filter("n > 1")
+    out.append(finding(both, "rule_id", "Warn", "RateLaw@type=MM", "symmetry factor on two changed reactants"))
     out.append(finding(rules.filter(F.exists("ops", lambda o: o["move_connected"])), "rule_id", "Warn", "MoveConnected", "needs compartments"))
     out.append(finding(rules.filter("priority is not null"), "rule_id", "Warn", "priority", "execution order ignored"))
     return reduce(DataFrame.unionByName, out)

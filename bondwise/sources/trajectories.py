@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from bondwise.operators.order import ranked
 from bondwise.sources.text import few_files, fields, number_text, text_rows, write_ordered_lines
 
 
@@ -48,7 +45,7 @@ def with_steps(traj: DataFrame, group: str = "model") -> DataFrame:
     The grid is ranked once from distinct times, so replicates are never ordered.
     """
     grid = traj.select(group, "time").distinct()
-    grid = grid.withColumn("step", F.row_number().over(W.partitionBy(group).orderBy("time")) - 1)
+    grid = ranked(grid, [group], "time").select(group, "time", (F.col("rank") - 1).cast("int").alias("step"))
     return traj.join(grid, [group, "time"])
 
 
