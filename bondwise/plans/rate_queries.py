@@ -122,7 +122,8 @@ def tfun_step(spark, sf):
 def energy_rates(spark, sf):
     """Each line as a match: one term always applies, one with any of two contexts, one with a single context."""
     ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    lines = table(spark, sf, "lineitem").select(*ids, "l_returnflag", "l_linestatus").withColumn("match_id", F.concat_ws("/", *[F.col(c).cast("string") for c in ids]))
+    lines = table(spark, sf, "lineitem").select(*ids, "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")
+    lines = lines.withColumn("match_id", F.concat_ws("/", *[F.col(c).cast("string") for c in [*ids, "l_extendedprice", "l_shipdate"]]))
     contexts = lines.select("match_id", F.explode(F.array(F.concat(F.lit("flag "), "l_returnflag"), F.concat(F.lit("status "), "l_linestatus"))).alias("context"))
     terms = spark.createDataFrame(
         [("base", 1.5, None), ("gated", -2.0, "flag R"), ("gated", -2.0, "status F"), ("open", 0.75, "status O")], "term string, energy double, context string"

@@ -38,33 +38,29 @@ def customer_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
         node_key("c_custkey", CUSTOMER).alias("node_id"), F.lit("Customer").alias("type"), F.lit(0).cast("long").alias("site_idx"),
         F.lit("seg").alias("site_name"), F.col("c_mktsegment").alias("state"), _none("long").alias("partner_node"), _none("long").alias("partner_site"),
     )
-    per_order = orders.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    node_key("o_custkey", CUSTOMER).alias("node_id"), F.lit("Customer").alias("type"), (F.col("o_orderkey") + 1).alias("site_idx"),
-                    F.lit("order").alias("site_name"), F.substring("o_orderpriority", 1, 1).alias("state"),
-                    node_key("o_orderkey", ORDER).alias("partner_node"), F.lit(0).cast("long").alias("partner_site"),
-                ),
-                F.struct(
-                    node_key("o_orderkey", ORDER).alias("node_id"), F.lit("Order").alias("type"), F.lit(0).cast("long").alias("site_idx"),
-                    F.lit("cust").alias("site_name"), _none("string").alias("state"),
-                    node_key("o_custkey", CUSTOMER).alias("partner_node"), (F.col("o_orderkey") + 1).alias("partner_site"),
-                ),
-                F.struct(
-                    node_key("o_orderkey", ORDER).alias("node_id"), F.lit("Order").alias("type"), F.lit(1).cast("long").alias("site_idx"),
-                    F.lit("status").alias("site_name"), F.col("o_orderstatus").alias("state"),
-                    _none("long").alias("partner_node"), _none("long").alias("partner_site"),
-                ),
-            )
-        ).alias("s")
-    ).select("s.*")
-    return Snapshot(nodes, seg.unionByName(per_order).select(*SITE_COLS))
+    # one branch per kind of site, not one exploded row: a filter on type then drops whole branches and their columns
+    at_customer = orders.select(
+        node_key("o_custkey", CUSTOMER).alias("node_id"), F.lit("Customer").alias("type"), (F.col("o_orderkey") + 1).alias("site_idx"),
+        F.lit("order").alias("site_name"), F.substring("o_orderpriority", 1, 1).alias("state"),
+        node_key("o_orderkey", ORDER).alias("partner_node"), F.lit(0).cast("long").alias("partner_site"),
+    )
+    at_order = orders.select(
+        node_key("o_orderkey", ORDER).alias("node_id"), F.lit("Order").alias("type"), F.lit(0).cast("long").alias("site_idx"),
+        F.lit("cust").alias("site_name"), _none("string").alias("state"),
+        node_key("o_custkey", CUSTOMER).alias("partner_node"), (F.col("o_orderkey") + 1).alias("partner_site"),
+    )
+    status = orders.select(
+        node_key("o_orderkey", ORDER).alias("node_id"), F.lit("Order").alias("type"), F.lit(1).cast("long").alias("site_idx"),
+        F.lit("status").alias("site_name"), F.col("o_orderstatus").alias("state"),
+        _none("long").alias("partner_node"), _none("long").alias("partner_site"),
+    )
+    sites = seg.unionByName(at_customer).unionByName(at_order).unionByName(status)
+    return Snapshot(nodes, sites.select(*SITE_COLS))
 
 
 def line_key():
-    """A site number for a line, which order and line number alone do not identify."""
-    return F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    """A site number for a line. Order, part, supplier and line number may repeat, so price and date take part."""
+    return F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
 
 
 def line_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = None) -> Snapshot:
@@ -82,18 +78,13 @@ def line_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = No
         node_key(key, code).alias("node_id"), F.lit(type_name).alias("type"), F.lit(0).cast("long").alias("site_idx"), F.lit(name).alias("site_name"),
         F.col(state).alias("state"), _none("long").alias("partner_node"), _none("long").alias("partner_site"),
     )
-    end = lambda key, code, type_name, name, state, far, far_code: F.struct(
+    end = lambda key, code, type_name, name, state, far, far_code: lines.select(
         node_key(key, code).alias("node_id"), F.lit(type_name).alias("type"), line_key().alias("site_idx"), F.lit(name).alias("site_name"),
         F.col(state).alias("state"), node_key(far, far_code).alias("partner_node"), line_key().alias("partner_site"),
     )
-    both = lines.select(
-        F.explode(
-            F.array(
-                end("l_orderkey", ORDER, "Order", "item", "l_returnflag", "l_partkey", PART),
-                end("l_partkey", PART, "Part", "line", "l_linestatus", "l_orderkey", ORDER),
-            )
-        ).alias("s")
-    ).select("s.*")
+    both = end("l_orderkey", ORDER, "Order", "item", "l_returnflag", "l_partkey", PART).unionByName(
+        end("l_partkey", PART, "Part", "line", "l_linestatus", "l_orderkey", ORDER)
+    )
     sites = own(orders, "o_orderkey", ORDER, "Order", "status", "o_orderstatus").unionByName(
         own(part, "p_partkey", PART, "Part", "brand", "p_brand")
     )
