@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bondwise.llm import decontaminate, packing
+from bondwise.llm import decontaminate, language, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +67,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
+@query()
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; two thirds of the labelled documents may teach."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    split = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(split.filter("not held_out"))
+    return language.predict(split.select("doc_id", "text", "held_out"), model).drop("text")
