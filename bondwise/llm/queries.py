@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bondwise.llm import decontaminate, language, packing
+from bondwise.llm import decontaminate, language, lines, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,20 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = docs.withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.fit(split.filter("not held_out"))
     return language.predict(split.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+@query(
+    f"""
+    with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+    l as (select doc_id, unnest(ls) line, unnest(range(len(ls))) i from d),
+    k as (select doc_id, line, i, {ASCII_LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} key from l),
+    f as (select key, true gone from (select distinct doc_id, key from k) where key <> '' group by key having count(*) >= 10)
+    select doc_id, count(*)::bigint n_lines, count(gone)::bigint n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where gone is null), '')) kept_sha256
+    from k left join f using (key) group by doc_id
+    """
+)
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines that stand in ten documents or more."""
+    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
