@@ -57,10 +57,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))).drop("hit_spans")
 
 
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
+def vocabulary() -> packing.Vocabulary:
+    import public_tokenizers as public
 
-    return public_tokenizers.path(name)
+    return packing.Vocabulary.of_files(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
 @query()

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from bondwise.llm import packing
+from bondwise.llm import packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -33,17 +33,17 @@ def checked(rows, texts, window):
 
 def test_round_trip_of_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = packing.pack(docs, PATH).collect()
+    rows = packing.pack(docs, queries.vocabulary()).collect()
     checked(rows, {r["doc_id"]: r["text"] for r in docs.collect()}, 2048)
 
 
 def test_edges_and_small_windows(spark):
-    texts = {1: None, 2: "", 3: "a  b \n c\n\n  d ", 4: " x", 5: "x " * 3000, 6: "é" * 5000, 7: "tail\t here", 8: "<|endoftext|> z"}
+    texts = {1: None, 2: "", 3: "a  b \n c\n\n  d ", 4: " x", 5: "x " * 3000, 6: "é" * 5000, 7: "tail\t here", 8: "a <|endoftext|> z", 9: " " * 300_000 + "x", 10: "ab" * 60_000, 11: "\u00a0 \u3000x\u2028 y"}
     docs = spark.createDataFrame([(k, v, "s", 1) for k, v in texts.items()], "doc_id long, text string, length string, start int")
     for window, max_open in ((8, 2), (64, 1024)):
-        checked(packing.pack(docs, PATH, window=window, max_open=max_open).collect(), texts, window)
-    assert packing.pack(docs.limit(0), PATH).collect() == []
-    assert packing.pack(spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string"), PATH).count() >= 3
+        checked(packing.pack(docs, queries.vocabulary(), window=window, max_open=max_open).collect(), texts, window)
+    assert packing.pack(docs.limit(0), queries.vocabulary()).collect() == []
+    assert packing.pack(spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string"), queries.vocabulary()).count() >= 3
 
 
 def test_level_choice_is_the_least_sum_of_squares():
