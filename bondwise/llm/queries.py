@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bondwise.llm import decontaminate, language, licenses, lines, packing, simhash
+from bondwise.llm import decontaminate, forest, language, licenses, lines, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
