@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bondwise.llm import decontaminate, forest, language, licenses, lines, packing, simhash
+from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_crf.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
