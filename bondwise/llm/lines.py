@@ -38,9 +38,13 @@ def hashes_of(text: Column) -> Column:
     return F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second half"), k).alias("h2"))))
 
 
-def batch_counts(docs: DataFrame) -> DataFrame:
-    """(h1, h2, docs): in how many documents of the batch each line key stands."""
-    found = docs.select(F.explode(F.array_distinct(hashes_of(F.col("text").cast("string")))).alias("h")).filter("h is not null")
+def batch_counts(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """(h1, h2, docs): in how many documents of the batch, or in how many different texts, each line key stands."""
+    text = F.col("text").cast("string")
+    held = docs.select(F.array_distinct(hashes_of(text)).alias("held"), *([F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second half"), text).alias("t2")] if by_text else []))
+    if by_text:
+        held = held.groupBy("t1", "t2").agg(F.first("held").alias("held"))
+    found = held.select(F.explode("held").alias("h")).filter("h is not null")
     return found.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -82,9 +86,9 @@ class LineRuns:
         """(h1, h2, docs) of the batch's keys that the runs hold in at least ``min_docs`` documents."""
         return self.totals().filter(F.col("docs") >= min_docs).join(batch_counts(docs).select("h1", "h2"), ["h1", "h2"], "left_semi")
 
-    def add(self, docs: DataFrame) -> None:
+    def add(self, docs: DataFrame, by_text: bool = False) -> None:
         """Add the batch's keys as a run, then merge every level that is full."""
-        self.levels[0].append(self._write(batch_counts(docs), 0))
+        self.levels[0].append(self._write(batch_counts(docs, by_text), 0))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
@@ -118,10 +122,14 @@ def drop_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """Feed a table to fresh runs in batches dealt by document, then drop every line that ``min_docs`` documents hold."""
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, by_text: bool = False) -> DataFrame:
+    """Feed a table to fresh runs in batches, then drop every line that ``min_docs`` documents hold.
+
+    Batches are dealt by document. With ``by_text`` they are dealt by text and copies of a text count once, so that a document is not
+    emptied because it was copied.
+    """
     runs = LineRuns.fresh(docs.sparkSession, fanout)
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    deal = F.pmod(F.xxhash64(F.col("text").cast("string") if by_text else F.col("doc_id")), F.lit(batches))
     for k in range(batches):
-        runs.add(docs.filter(deal == k))
+        runs.add(docs.filter(deal == k), by_text)
     return drop_lines(docs, runs.totals().filter(F.col("docs") >= min_docs))

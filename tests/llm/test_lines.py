@@ -27,6 +27,8 @@ def test_drop_matches_brute_force(spark):
         assert got.columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
         assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute(rows, least)
     assert lines.dedup(docs.limit(0)).collect() == []
+    copies = spark.createDataFrame([(k, "once\nmore", "z", 0) for k in range(5)] + [(9, "more", "z", 0)], SCHEMA)
+    assert {r["text"] for r in lines.dedup(copies, 2, by_text=True).collect()} == {"once", ""}
 
 
 def test_runs_merge_by_level_and_keep_totals(spark):
