@@ -98,41 +98,115 @@ def _masked(rows: DataFrame, paths: list[tuple[int, int, list[int], list[int]]])
     return rows.join(F.broadcast(table), rows["path"] == table["parent"]).select(table["path"], F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
+def _meet(max_bucket: int, radius: int, done: frozenset):
+    """Over rows sorted by (path, key): the close pairs of small buckets, and the rows of large ones, which come out as (path, fp, null).
+    Members of a bucket on a path in ``done`` are all close; each is linked to the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: list[int] = []
+        over = False
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len(held) > 1 and not over:
+                x = np.unique(np.array(held, np.int64)).view(np.uint64)
+                for k in range(len(x) - 1):
+                    other = x[k + 1 :]
+                    near = other[np.bitwise_count(other ^ x[k]) <= radius]
+                    out.extend((None, _signed(int(x[k])), _signed(int(y))) for y in near)
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.int64()], strict=True)], ["path", "a", "b"])
+
+        for batch in batches:
+            for path, key, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (path, key) != at:
+                    close()
+                    at, held, over = (path, key), [], False
+                if path in done:
+                    if held:
+                        out.append((None, held[0], fp))
+                    else:
+                        held, over = [fp], True
+                elif over:
+                    out.append((path, fp, None))
+                else:
+                    held.append(fp)
+                    if len(held) > max_bucket:
+                        out.extend((path, x, None) for x in held)
+                        held, over = [], True
+            if len(out) > 50_000:
+                yield flush()
+        close()
+        yield flush()
+
+    return run
+
+
 def close_pairs(fps: DataFrame, radius: int = RADIUS, bits: int = 64, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` bits.
 
-    Pairs are complete but where at most ``radius`` bits of a bucket are free; there every member is linked to the smallest.
+    Pairs are complete but where at most ``radius`` bits of a bucket are free; there every member is linked to one. A pair may come
+    more than once. A task holds one bucket of ``max_bucket`` fingerprints at most.
     """
     paths = [(0, k + 1, part, sorted(set(range(bits)) - set(part))) for k, part in enumerate(_cuts(list(range(bits)), radius + 1))]
     rows = _masked(fps.select(F.lit(0).alias("path"), "fp"), paths)
     found: DataFrame | None = None
     while True:
-        sizes = rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"))
-        big, seen = cut_measured(sizes.filter(F.col("n") > max_bucket).select("path", "key"), "big-buckets")
-        small = rows.join(big, ["path", "key"], "left_anti") if seen["n_rows"] else rows
-        left, right = small.withColumnRenamed("fp", "a"), small.withColumnRenamed("fp", "b")
-        near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-        pairs = left.join(right, ["path", "key"]).filter(near).select("a", "b")
+        done = frozenset(path for _, path, _, free in paths if len(free) <= radius)
+        sorted_rows = rows.repartition("path", "key").sortWithinPartitions("path", "key")
+        met, seen = cut_measured(sorted_rows.mapInArrow(_meet(max_bucket, radius, done), "path int, a long, b long"), "close-pairs", large=F.count("path"))
+        pairs = met.filter("path is null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        if not seen["n_rows"]:
-            return found.distinct()
-        rows = cut(rows.join(big, ["path", "key"], "left_semi"), "big-rows")
-        done = [path for _, path, _, free in paths if len(free) <= radius]
-        if done:
-            last = rows.filter(F.col("path").isin(done))
-            low = last.groupBy("path", "key").agg(F.min("fp").alias("a"))
-            found = found.unionByName(last.join(low, ["path", "key"]).filter("a <> fp").select("a", F.col("fp").alias("b")))
-            rows = rows.filter(~F.col("path").isin(done))
         deeper, number = [], 0
         for _, path, fixed, free in paths:
             if path not in done:
                 for part in _cuts(free, radius + 1):
                     number += 1
                     deeper.append((path, number, fixed + part, [b for b in free if b not in part]))
-        if not deeper:
-            return found.distinct()
+        if not seen["large"]:
+            return found
         paths = deeper
-        rows = _masked(rows.select("path", "fp"), paths)
+        rows = _masked(met.filter("path is not null").select("path", F.col("a").alias("fp")), paths)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one input split, about a million at a time, as (node, smallest node it is linked with): what a task can settle by itself."""
+    parts: list[np.ndarray] = []
+
+    def settle() -> pa.RecordBatch:
+        ends = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        names, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(-1, 2)
+        low = np.arange(len(names))
+        while True:
+            new = low.copy()
+            np.minimum.at(new, at[:, 0], low[at[:, 1]])
+            np.minimum.at(new, at[:, 1], low[at[:, 0]])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        own = low != np.arange(len(names))
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[low[own]])], ["node_a", "node_b"])
+
+    for batch in batches:
+        parts.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64))
+        if sum(map(len, parts)) >= 1_000_000:
+            yield settle()
+    yield settle()
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    """(node_id, complex_id) for every node that has a link; ``links`` (node_a, node_b) is a written table."""
+    few = links.mapInArrow(_forest, "node_a long, node_b long")
+    few = cut(few, "forest")
+    nodes = few.select(F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct()
+    return connected_components(nodes, few)
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -140,13 +214,14 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, se
     rows = cut(fingerprints(docs, shingle, seed), "fingerprints")
     # equal fingerprints meet here already, so that a group of copies is one row from now on
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    pairs = cut(close_pairs(nodes, radius, 64, max_bucket), "close-pairs")
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
-    groups = connected_components(linked, pairs.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")))
-    named = nodes.join(groups.withColumnRenamed("node_id", "fp"), "fp", "left")
-    lowest = named.filter("complex_id is not null").groupBy("complex_id").agg(F.min("low").alias("lowest"))
-    label = named.join(lowest, "complex_id", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    pairs = close_pairs(nodes, radius, 64, max_bucket)
+    groups = grouped(pairs.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))).withColumnRenamed("node_id", "fp")
+    # only linked fingerprints take part in naming components; the others name themselves
+    linked = cut(groups.join(nodes, "fp"), "linked")
+    lowest = linked.groupBy("complex_id").agg(F.min("low").alias("lowest"))
+    label = linked.join(lowest, "complex_id").select("fp", "lowest")
+    own = nodes.join(label, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    return rows.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp):
@@ -208,7 +283,7 @@ def _candidates(nodes: DataFrame, limit: int, large: int, verify) -> DataFrame:
     first = hot.groupBy("key").agg(F.min(F.struct("_id", "_p0", "_p1")).alias("f")).select("key", "f.*")
     stars = side(first, "a").join(side(hot, "b"), "key").filter(near & (F.col("_ida") < F.col("_idb"))).select(*ids)
     links = cut(verify(pairs.unionByName(stars).distinct()), "links")
-    groups = connected_components(links.select(F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct(), links)
+    groups = grouped(links)
     placed = hot.join(groups.withColumnRenamed("node_id", "_id"), "_id", "left").withColumn("_c", F.coalesce("complex_id", "_id")).drop("complex_id")
     placed = cut(placed, "placed")
     held = placed.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("_c", "n").alias("main"))
@@ -236,7 +311,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return both.mapInArrow(_similar(similarity, shingle), "node_a long, node_b long")
 
     links = cut(_candidates(nodes, sift_limit(similarity), large, verify), "links")
-    groups = connected_components(links.select(F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct(), links)
+    groups = grouped(links)
     named = rows.select("k1", "k2", "doc_id", "_id").join(groups.withColumnRenamed("node_id", "_id"), "_id", "left")
     return named.select("k1", "k2", "doc_id", "_id", F.coalesce("complex_id", "_id").alias("group_id"))
 
