@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash
+from bondwise.llm import text as text_rules
+from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash, token_rollup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,100 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_crf.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Each page as the full response of one crawl and as revisits of other crawls, some with stale or missing validators."""
+    date = F.concat(F.lit("day "), (F.col("page_id") % 30).cast("string"))
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    headers = lambda *pairs: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[v for _, v in pairs]))
+    response = pages.select(
+        F.concat(F.lit("r"), "page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit(warc.RESPONSE).alias("kind"),
+        headers(("etag", tag), ("last-modified", date), ("cache-control", F.lit("max-age=60")), ("content-length", F.octet_length("html").cast("string"))).alias("headers"),
+    )
+    asked = F.when(F.col("page_id") % 5 == 0, F.lit('"stale"')).when(F.col("page_id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("W/"), tag))
+    modified = F.when(F.col("page_id") % 6 != 0, date)
+    revisit = pages.select(
+        F.concat(F.lit("v"), "page_id").alias("record_id"), F.regexp_replace("url", r"^https?://(www\.)?", "HTTP://WWW.").alias("url"), (F.col("page_id") + 1_000_000_000).alias("ts"),
+        F.lit(warc.REVISIT).alias("kind"), headers(("etag", asked), ("last-modified", modified), ("cache-control", F.lit("max-age=600")), ("content-length", F.lit("0"))).alias("headers"),
+    )
+    early = pages.filter("page_id % 7 = 0").select(
+        F.concat(F.lit("e"), "page_id").alias("record_id"), "url", (F.col("page_id") - 1).alias("ts"), F.lit(warc.REVISIT).alias("kind"), headers(("etag", tag)).alias("headers")
+    )
+    return response.unionByName(revisit).unionByName(early)
+
+
+@query(
+    r"""
+    with p as (
+        select page_id, url, '"' || md5(html) || '"' as tag, 'day ' || (page_id % 30) as mod_day, strlen(html)::varchar size, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') bare
+        from pages
+    ),
+    u as (
+        select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') host,
+            regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') path,
+            array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))), '&') query
+        from p
+    ),
+    c as (select *, host || path || case when query <> '' then '?' || query else '' end canonical_url from u),
+    v as (
+        select 'v' || page_id record_id, canonical_url, page_id + 1000000000 ts, case when page_id % 5 = 0 then '"stale"' when page_id % 3 = 0 then null else tag end as tag,
+            case when page_id % 6 <> 0 then mod_day end as mod_day, true as late from c
+        union all select 'e' || page_id, canonical_url, page_id - 1, tag, null, false from c where page_id % 7 = 0
+    ),
+    j as (
+        select v.*, c.page_id full_id, c.tag full_tag, c.mod_day as full_day, c.size full_size,
+            row_number() over (partition by v.record_id order by c.page_id desc nulls last, c.page_id::varchar desc) r
+        from v left join c on c.canonical_url = v.canonical_url and (c.page_id < v.ts or (c.page_id = v.ts and 'r' || c.page_id < v.record_id))
+    ),
+    o as (
+        select *, case when full_id is null then 'no earlier response' when tag is null and mod_day is null then 'no validator'
+            when coalesce(case when tag is not null then tag = full_tag else mod_day = full_day end, false) then 'resolved' else 'validator mismatch' end outcome
+        from j where r = 1
+    )
+    select record_id, canonical_url, case when outcome = 'resolved' then 'r' || full_id end refers_to, outcome,
+        case when outcome <> 'resolved' then null else 'cache-control: ' || case when late then 'max-age=600' else 'max-age=60' end || chr(10) || 'content-length: ' || full_size || chr(10)
+            || 'etag: ' || case when tag is null then full_tag when late then 'W/' || tag else tag end || chr(10) || 'last-modified: ' || full_day end headers
+    from o
+    """
+)
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits derived from every page, resolved to the full responses they confirm."""
+    found = warc.resolve(crawl_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines_ = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return found.withColumn("headers", F.when(F.col("outcome") == "resolved", lines_))
+
+
+def count_events(docs: DataFrame) -> DataFrame:
+    """Counts of each document by two simple tokenizers, as inserts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counts = {"blank-1": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), "word-1": F.regexp_count(text, F.lit(text_rules.WORD_ANY_CASE))}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("version"), v.cast("long").alias("tokens")) for k, v in counts.items()]))
+    return docs.select("doc_id", "source", "lang", each.alias("c")).select("doc_id", "source", "lang", "c.*", F.lit(token_rollup.INSERT).alias("op"), F.lit(0).alias("seq"))
+
+
+@query(
+    rf"""
+    with c as (
+        select doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint b, len({WORDS.format(ASCII_LOW.format("coalesce(text, '')"))})::bigint w, n_chars from documents
+    ),
+    e as (select doc_id, source, lang, 'blank-1' as version, b tokens, n_chars from c union all select doc_id, source, lang, 'word-1', w, n_chars from c)
+    select source, lang, version, count(*)::bigint docs, sum(tokens)::bigint tokens from (
+        select case when doc_id % 7 = 0 then source || '-moved' else source end source, lang, version, case when doc_id % 7 = 0 then n_chars else tokens end tokens
+        from e where not (doc_id % 11 = 0 and version = 'blank-1')
+    ) group by all
+    """
+)
+def op2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, every seventh was revised and every eleventh left one version; two batches are sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    rollup = token_rollup.TokenRollup.fresh(spark)
+    first = count_events(docs)
+    thin = docs.drop("text").withColumn("version", F.explode(F.array(F.lit("blank-1"), F.lit("word-1"))))
+    moved = thin.filter("doc_id % 7 = 0").select(
+        "doc_id", "version", F.concat("source", F.lit("-moved")).alias("source"), "lang", F.col("n_chars").alias("tokens"), F.lit(token_rollup.REVISE).alias("op"), F.lit(1).alias("seq")
+    )
+    gone = thin.filter("doc_id % 11 = 0 and version = 'blank-1'").select("doc_id", "version", "source", "lang", F.lit(0).alias("tokens"), F.lit(token_rollup.DELETE).alias("op"), F.lit(2).alias("seq"))
+    for name, events in (("load", first), ("revise", moved), ("load", first), ("delete", gone), ("revise", moved)):
+        rollup.commit(name, events)
+    return rollup.totals()
