@@ -14,32 +14,134 @@ RESERVED = [
     "or", "not", "least", "greatest",
 ]
 _NAME = r"[A-Za-z_][A-Za-z_0-9]*"
-_OPERAND = r"(?:[A-Za-z_][A-Za-z_0-9]*)?\x01\d+\x01|[A-Za-z_][A-Za-z_0-9]*|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+"
-_POWER = re.compile(rf"({_OPERAND})\s*\^\s*(-?)\s*({_OPERAND})")
+_TOKEN = re.compile(rf"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|({_NAME})|(&&|\|\||==|!=|<>|<=|>=|[-+*/^%()<>=!,]))")
+# Operators by how tightly they bind, loosest first, with their Spark SQL form.
+_LEVELS = [
+    {"||": "OR", "or": "OR"}, {"&&": "AND", "and": "AND"}, {"==": "=", "=": "=", "!=": "<>", "<>": "<>", "<": "<", "<=": "<=", ">": ">", ">=": ">="},
+    {"+": "+", "-": "-"}, {"*": "*", "/": "/", "%": "%"},
+]
+_LOGS = {"ln": "ln", "log": "ln", "log10": "log10", "log2": "log2"}
+
+
+class _Formula:
+    """One formula on its way to Spark SQL. A part is (sql, truth): conditions count 1 or 0 where a number is asked, and numbers are true unless 0."""
+
+    def __init__(self, text: str):
+        self.tokens, at = [], 0
+        text = text.strip()
+        while at < len(text):
+            m = _TOKEN.match(text, at)
+            if not m:
+                raise ValueError(f"cannot read formula at {text[at:at + 20]!r}")
+            self.tokens.append(m[1] and ("number", m[1]) or m[2] and ("name", m[2]) or ("sign", m[3]))
+            at = m.end()
+        self.at = 0
+
+    def peek(self) -> str:
+        return self.tokens[self.at][1] if self.at < len(self.tokens) else ""
+
+    def take(self, wanted: str = "") -> tuple[str, str]:
+        if self.at >= len(self.tokens) or (wanted and self.peek() != wanted):
+            raise ValueError(f"formula lacks {wanted or 'a value'} at part {self.at + 1}")
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    @staticmethod
+    def number(part: tuple[str, bool]) -> str:
+        return f"CAST({part[0]} AS DOUBLE)" if part[1] else part[0]
+
+    @staticmethod
+    def truth(part: tuple[str, bool]) -> str:
+        return part[0] if part[1] else f"({part[0]} <> 0)"
+
+    def binary(self, level: int = 0) -> tuple[str, bool]:
+        if level == len(_LEVELS):
+            return self.unary()
+        left = self.binary(level + 1)
+        while self.peek() in _LEVELS[level]:
+            sign = _LEVELS[level][self.take()[1]]
+            right = self.binary(level + 1)
+            if level < 2:
+                left = (f"({self.truth(left)} {sign} {self.truth(right)})", True)
+            else:
+                a, b = self.number(left), self.number(right)
+                if sign == "/":
+                    left = (_quotient(a, b), False)
+                elif sign == "%":
+                    left = (f"coalesce(try_mod({a}, {b}), CASE WHEN {b} = 0 THEN double('NaN') END)", False)
+                else:
+                    left = (f"({a} {sign} {b})", level == 2)
+        return left
+
+    def unary(self) -> tuple[str, bool]:
+        if self.peek() in ("-", "+"):
+            sign = self.take()[1]
+            part = self.number(self.unary())
+            return (f"(-{part})" if sign == "-" else part), False
+        if self.peek() == "!":
+            self.take()
+            return f"(NOT {self.truth(self.unary())})", True
+        base = self.atom()
+        if self.peek() == "^":  # binds tighter than a sign on its left, and to the right first
+            self.take()
+            return f"power({self.number(base)}, {self.number(self.unary())})", False
+        return base
+
+    def atom(self) -> tuple[str, bool]:
+        kind, text = self.take()
+        if kind == "number":
+            return f"{text}D", False
+        if text == "(":
+            part = self.binary()
+            self.take(")")
+            return part
+        if kind != "name":
+            raise ValueError(f"formula has {text!r} where a value should be")
+        if self.peek() != "(":
+            return ("`time`" if text in ("t", "time") else f"`{text}`"), False
+        self.take("(")
+        args = []
+        while self.peek() != ")":
+            args.append(self.binary())
+            if self.peek() != ")":
+                self.take(",")
+        self.take(")")
+        return self.call(text, args)
+
+    def call(self, name: str, args: list[tuple[str, bool]]) -> tuple[str, bool]:
+        if name == "time" and not args:
+            return "`time`", False
+        if name == "if":
+            cond, yes, no = args
+            return f"if({self.truth(cond)}, {self.number(yes)}, {self.number(no)})", False
+        if name == "not":
+            return f"(NOT {self.truth(args[0])})", True
+        values = [self.number(a) for a in args]
+        if name in ("min", "max"):
+            return (f"{'least' if name == 'min' else 'greatest'}({', '.join(values)})" if len(values) > 1 else values[0]), False
+        if name in _LOGS:
+            x = values[0]
+            return f"coalesce({_LOGS[name]}({x}), CASE WHEN {x} = 0 THEN double('-Infinity') WHEN {x} < 0 THEN double('NaN') END)", False
+        return f"{name}({', '.join(values)})", False
+
+
+def _quotient(a: str, b: str) -> str:
+    """a / b as doubles divide: by zero it is infinite or not a number, never an error."""
+    if re.fullmatch(r"[0-9.eE+-]+D", b) and float(b[:-1]):
+        return f"({a} / {b})"
+    if len(a) + len(b) < 80:
+        return f"coalesce(try_divide({a}, {b}), {a} * power({b}, -1D))"
+    # long operands are computed once
+    return f"aggregate(array(CAST({b} AS DOUBLE)), CAST({a} AS DOUBLE), (x, y) -> coalesce(try_divide(x, y), x * power(y, -1D)))"
 
 
 def to_sql(text: str) -> str:
-    """Model text as Spark SQL: ``^`` becomes pow, min/max become least/greatest, ``time()`` the column ``time``."""
-    text = re.sub(r"\b(?:time\s*\(\s*\)|t\b(?!\s*\())", "time", text)
-    text = re.sub(r"\bmin\s*\(", "least(", text)
-    text = re.sub(r"\bmax\s*\(", "greatest(", text)
-    held: list[str] = []
-
-    def powers(part: str) -> str:
-        while _POWER.search(part):
-            part = _POWER.sub(lambda m: hold(f"(pow({m[1]}, {m[2]}{m[3]}))"), part, count=1)
-        return part
-
-    def hold(part: str) -> str:
-        held.append(part)
-        return f"\x01{len(held) - 1}\x01"
-
-    while re.search(r"\([^()]*\)", text):
-        text = re.sub(r"\(([^()]*)\)", lambda m: hold("(" + powers(m[1]) + ")"), text)
-    text = powers(text)
-    while "\x01" in text:
-        text = re.sub(r"\x01(\d+)\x01", lambda m: held[int(m[1])], text)
-    return text
+    """Model text as Spark SQL of a double. ``^`` binds to the right, conditions are 1 or 0, ``time()`` and ``t`` are the column ``time``."""
+    formula = _Formula(text)
+    part = formula.binary()
+    if formula.peek():
+        raise ValueError(f"formula goes on after its end: {formula.peek()!r}")
+    return formula.number(part)
 
 
 def names_in(text: str) -> list[str]:

@@ -157,7 +157,7 @@ def select_models(models: DataFrame, suites: list[str] | None = None, names: lis
     if names:
         models = models.filter(F.col("model").isin(names))
     if number_range:
-        number = F.try_to_number(F.regexp_extract("model", r"(\d+)", 1), F.lit("999999999")).cast("long")
+        number = F.regexp_extract("model", r"(\d+)", 1).try_cast("decimal(38,0)")
         models = models.filter(number.between(*number_range))
     return models.orderBy("suite", "model").limit(limit) if limit else models
 

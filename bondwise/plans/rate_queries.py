@@ -276,7 +276,9 @@ def seed_keys(spark, sf):
     """
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
            round(CASE WHEN l_quantity >= 25 AND NOT l_discount < 0.05 THEN ln(l_quantity) ELSE sqrt(l_extendedprice) END + pow(-2.0, 2) + pow(1 + l_tax, 2) - least(l_quantity, 30) * 2, 6) AS value,
-           round(exp(-l_tax) * greatest(l_discount, 0.05) * 7, 9) AS shadowed FROM lineitem
+           round(exp(-l_tax) * greatest(l_discount, 0.05) * 7, 9) AS shadowed,
+           round(CASE WHEN l_quantity <> 25 AND l_discount > 0.05 THEN CASE WHEN l_quantity = 30 THEN 'inf'::DOUBLE ELSE 512 / (l_quantity - 30) END
+                ELSE CASE WHEN l_tax > 0.04 THEN l_quantity ELSE 0 END - CASE WHEN l_tax = 0 OR l_quantity > 40 THEN 1 ELSE 0 END END, 9) AS guarded FROM lineitem
     """
 )
 def expressions_on_lines(spark, sf):
@@ -284,7 +286,10 @@ def expressions_on_lines(spark, sf):
                                                F.col("l_tax").alias("x"), F.col("l_extendedprice").alias("e"))
     one = expressions.evaluate(rows, "if(q >= 25 and not(d < 0.05), ln(q), sqrt(e)) + (-2)^2 + (1 + x)^2 - min(q, 30)*2")
     two = expressions.evaluate(one, "exp(-x)*max(d, 0.05)*q", {"q": 7.0}, "shadowed")
-    return two.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("value", 6).alias("value"), F.round("shadowed", 9).alias("shadowed"))
+    # a parameter may be named like a word of SQL; conditions count 1 or 0; a division by zero is infinite and only matters where it is taken
+    named = two.withColumn("order", F.col("d"))
+    three = expressions.evaluate(named, "if(q != 25 && order > 0.05, 2^3^2/(q - 30), (x > 0.04)*q - (x == 0 || q > 40))", name="guarded")
+    return three.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("value", 6).alias("value"), F.round("shadowed", 9).alias("shadowed"), F.round("guarded", 9).alias("guarded"))
 
 
 @query(

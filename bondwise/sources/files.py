@@ -62,7 +62,7 @@ def read_features(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     end = rows.filter(~F.col("line").startswith("#")).groupBy("model").agg(F.min("line_no").alias("end"))
     head = rows.join(end, "model", "left").filter(F.col("end").isNull() | (F.col("line_no") < F.col("end")))
     wanted = head.filter(F.col("line").rlike(r"^# (Feature|Tests:|Bug pattern:)"))
-    return wanted.select("model", "line_no", F.trim(F.substring("line", 3, 1_000_000)).alias("feature"))
+    return wanted.select("model", "line_no", F.trim(F.expr("substring(line, 3)")).alias("feature"))
 
 
 def read_actions(spark: SparkSession, path: str, suffix: str) -> DataFrame:

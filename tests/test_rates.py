@@ -49,6 +49,16 @@ def test_expressions(spark):
     assert value("if(a > b, 1, min(a, b)*max(1, 4))") == 8.0 and value("ln(exp(b)) + abs(-a) + time() + t") == 15.0
     assert value("a + b", {"b": 10.0}) == 12.0 and value("sqrt(pow(a, 4))") == 4.0
     assert expressions.evaluate(df, "a + b", {"b": 10.0}).first().b == 3.0
+    exact = {
+        "2^3^2": 512, "-2^2": -4, "-2^3": -8, "-(2^2)": -4, "2^-1": 0.5, "1.0 == 1.0": 1, "1.0 != 1.0": 0, "0.1 + 0.2 == 0.3": 0, "1e-11 == 0": 0, "2.0 <= 2.0": 1,
+        "if(0, 1/0, 5)": 5, "if(1, 5, 1/0)": 5, "(time > 4)*a": 2, "a > 1 && b > 5": 0, "a > 1 || 0": 1, "!a": 0, "not(a < 1) + 1": 2, "1/(a - 2)": float("inf"), "-a/(b - 3)": float("-inf"),
+        "ln(a - 2)": float("-inf"), "a/b/2": 2 / 3 / 2, "a - -b": 5, "10 % a": 0, "min(a, b, 1)": 1,
+    }
+    for text, want in exact.items():
+        assert value(text) == want, text
+    assert value("(a - 2)/(b - 3)") != value("(a - 2)/(b - 3)")
+    with pytest.raises(ValueError):
+        expressions.to_sql("a + (b")
     assert expressions.names_in("k1*exp(-Ea/RT) + 1e-3*Mod(x)") == ["k1", "Ea", "RT", "Mod", "x"]
 
 
