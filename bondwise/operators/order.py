@@ -10,13 +10,15 @@ from bondwise.operators import skew
 from bondwise.session import cut
 
 
-def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``rank`` (from 1 by value) and ``n`` per group.
+def ranked(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Add ``rank`` (from 1 by values) and ``n`` per group.
 
-    Rows are laid out by range of (keys, value) and written with their part number, which fixes the layout. A
-    part holds a slice of a large group, so ranks are counted inside parts and shifted by the parts before.
+    Rows are laid out by range of (keys, values) and written with their part number, which fixes the layout. A
+    part holds a slice of a large group, so ranks are counted inside parts and shifted by the parts before. Rows
+    with equal values are told apart by a hash of all their columns, so that ties spread over parts too.
     """
-    placed = rows.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id())
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    placed = rows.withColumn("tie", tie).repartitionByRange(*keys, *values, "tie").withColumn("part", F.spark_partition_id())
     placed = cut(placed, "ranked")
     sizes = placed.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("size"))
     whole = W.partitionBy(*keys)
@@ -24,9 +26,9 @@ def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     sizes = sizes.select(
         *keys, "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"), F.sum("size").over(whole).alias("n")
     )
-    inside = placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "part").orderBy(value)))
+    inside = placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*values, "tie")))
     met = inside.join(sizes, [*keys, "part"])
-    return met.withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "part")
+    return met.withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "part", "tie")
 
 
 def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
