@@ -11,8 +11,6 @@ from bondwise.plans.tables import customer_graph, kept, line_graph, talk_graph
 from bondwise.session import cut, fresh_path
 from bondwise.sources import snapshots, species
 
-FULL_LOAD = 50
-
 
 @query(
     """
@@ -171,17 +169,17 @@ def components_size_dist(spark, sf):
 
 
 @query(
-    LINE_COMPONENTS.format(where="WHERE l_quantity >= 50")
+    LINE_COMPONENTS.format(where="")
     + """
     n AS (SELECT comp, count(*) n FROM cc GROUP BY 1),
-    m AS (SELECT comp, count(*) m FROM lineitem JOIN cc ON node = l_orderkey * 4 + 1 WHERE l_quantity >= 50 GROUP BY 1)
+    m AS (SELECT comp, count(*) m FROM lineitem JOIN cc ON node = l_orderkey * 4 + 1 GROUP BY 1)
     SELECT n AS n_nodes, CAST(coalesce(m, 0) AS BIGINT) AS n_links, CAST(coalesce(m, 0) - n + 1 AS BIGINT) AS cycles,
            CAST(count(*) AS BIGINT) AS complexes
     FROM n LEFT JOIN m USING (comp) GROUP BY ALL
     """
 )
 def cycle_counts(spark, sf):
-    snap, cx = kept(line_graph(spark, sf, FULL_LOAD))
+    snap, cx = kept(line_graph(spark, sf))
     rows = components.cycle_counts(snap, cx)
     return rows.groupBy("n_nodes", "n_links", "cycles").agg(F.count(F.lit(1)).alias("complexes"))
 
@@ -303,10 +301,10 @@ def species_census_chains(spark, sf):
 
 
 WL_SQL = (
-    LINE_COMPONENTS.format(where="WHERE l_quantity >= 50")
+    LINE_COMPONENTS.format(where="")
     + """
-    h AS (SELECT l_orderkey * 4 + 1 AS u, l_partkey * 4 + 2 AS v, 'i' || l_returnflag || l_linestatus AS k FROM lineitem WHERE l_quantity >= 50
-          UNION ALL SELECT l_partkey * 4 + 2, l_orderkey * 4 + 1, 'l' || l_returnflag || l_linestatus FROM lineitem WHERE l_quantity >= 50),
+    h AS (SELECT l_orderkey * 4 + 1 AS u, l_partkey * 4 + 2 AS v, 'i' || l_returnflag || l_linestatus AS k FROM lineitem
+          UNION ALL SELECT l_partkey * 4 + 2, l_orderkey * 4 + 1, 'l' || l_returnflag || l_linestatus FROM lineitem),
     c0 AS (SELECT o_orderkey * 4 + 1 AS u, 'O' || o_orderstatus AS c FROM orders UNION ALL SELECT p_partkey * 4 + 2, 'P' || p_brand FROM part),
     """
     + "".join(
@@ -316,7 +314,7 @@ WL_SQL = (
         for i in range(1, 13)
     )
     + """
-    links AS (SELECT comp, count(*) m FROM lineitem JOIN cc ON node = l_orderkey * 4 + 1 WHERE l_quantity >= 50 GROUP BY 1),
+    links AS (SELECT comp, count(*) m FROM lineitem JOIN cc ON node = l_orderkey * 4 + 1 GROUP BY 1),
     sig AS (SELECT comp, count(*) n, string_agg(c, ',' ORDER BY c) s FROM c12 JOIN cc ON node = u GROUP BY 1)
     SELECT n AS n_nodes, CAST(coalesce(m, 0) AS BIGINT) AS n_links, CAST(count(*) AS BIGINT) AS complexes
     FROM sig LEFT JOIN links USING (comp) GROUP BY n, coalesce(m, 0), s
@@ -326,8 +324,8 @@ WL_SQL = (
 
 @query(WL_SQL)
 def species_census_lines(spark, sf):
-    """Complexes of full-load lines; cycles and repeated links occur. All orders and parts take part."""
-    snap, cx = kept(line_graph(spark, sf, FULL_LOAD))
+    """All lines as links: one complex with most nodes, many cycles and repeated links, and single nodes."""
+    snap, cx = kept(line_graph(spark, sf))
     return canonical.class_sizes(snap, cx).select("n_nodes", "n_links", "complexes")
 
 
