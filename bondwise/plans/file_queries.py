@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bondwise.operators import bench, ensemble, sampling
 from bondwise.plans.registry import query
 from bondwise.plans.series_queries import DAILY, EV
-from bondwise.plans.tables import DAYS, daily_counts, table, timed_events
+from bondwise.plans.tables import daily_counts, day_grid, table, timed_events
 from bondwise.session import cut, fresh_path
 from bondwise.sources import files, models, stats, trajectories
 from bondwise.sources.text import number_text
@@ -249,12 +249,12 @@ def sim_params_file(spark, sf):
     EV
     + """
     z AS (SELECT 1), s AS (SELECT user_id, event_type, d, (SELECT count(*) FROM ev e WHERE e.user_id = k.user_id AND e.event_type = k.event_type AND e.t < d * 86400.0) v
-      FROM (SELECT DISTINCT user_id, event_type FROM ev) k, range(31) r(d))
+      FROM (SELECT DISTINCT user_id, event_type FROM ev) k, (SELECT unnest(range(CAST(ceil(max(t) / 86400) AS BIGINT) + 1)) AS d FROM ev))
     SELECT 'u' || user_id AS model, CAST(min(CASE WHEN v > 0 THEN d END) AS INTEGER) AS step FROM s GROUP BY 1
     """
 )
 def steps_of_read_times(spark, sf):
     """Steps found from times alone, as after reading files: the first step at which each user was seen."""
-    rows = sampling.sample_counts(timed_events(spark, sf).withColumn("delta", F.lit(1)), ["user_id", "event_type"], DAYS).drop("step")
+    rows = sampling.sample_counts(timed_events(spark, sf).withColumn("delta", F.lit(1)), ["user_id", "event_type"], day_grid(spark, sf)).drop("step")
     rows = rows.withColumn("model", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     return trajectories.with_steps(rows).groupBy("model").agg(F.min(F.when(F.col("value") > 0, F.col("step"))).cast("int").alias("step"))

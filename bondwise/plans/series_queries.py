@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from bondwise.functions.expressions import duration_text
 from bondwise.operators import bench, draw, ensemble, order, quality, sampling, scores, sweep
 from bondwise.plans.registry import query
-from bondwise.plans.tables import DAYS, daily_counts, halves, table, timed_events
+from bondwise.plans.tables import daily_counts, day_grid, halves, table, timed_events
 from bondwise.session import cut
 
 EV = """
     WITH ev AS (SELECT *, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 1e6 AS t FROM events),
-    grid AS (SELECT CAST(d AS INTEGER) AS step, d * 86400.0 AS time FROM range(31) r(d)),
+    grid AS (SELECT CAST(d AS INTEGER) AS step, d * 86400.0 AS time FROM (SELECT unnest(range(CAST(ceil(max(t) / 86400) AS BIGINT) + 1)) AS d FROM ev)),
 """
 DAILY = (
     EV
@@ -38,7 +38,7 @@ DAILY = (
 )
 def sample_at_day(spark, sf):
     """State strictly before each day boundary, first state where there is none yet."""
-    return sampling.sample_at(timed_events(spark, sf), ["user_id", "event_type"], DAYS)
+    return sampling.sample_at(timed_events(spark, sf), ["user_id", "event_type"], day_grid(spark, sf))
 
 
 @query(
@@ -336,16 +336,18 @@ def time_grids(spark, sf):
 @query(
     EV
     + """
-    d AS (SELECT user_id, event_type AS obs, CAST(least(floor(t / 86400), 29) AS INTEGER) AS run_idx, arg_max(value, t) AS value FROM ev GROUP BY 1, 2, 3),
-    p AS (SELECT user_id, obs, CASE WHEN run_idx >= 15 THEN 29 - run_idx ELSE run_idx END AS point_idx, max(value) FILTER (run_idx < 15) fwd, max(value) FILTER (run_idx >= 15) bwd FROM d GROUP BY 1, 2, 3)
+    d AS (SELECT user_id, event_type AS obs, CAST(floor(t / 86400) AS INTEGER) AS run_idx, arg_max(value, t) AS value FROM ev GROUP BY 1, 2, 3),
+    h AS (SELECT (max(run_idx) + 2) // 2 AS n FROM d),
+    p AS (SELECT user_id, obs, CASE WHEN run_idx >= n THEN 2 * n - 1 - run_idx ELSE run_idx END AS point_idx, max(value) FILTER (run_idx < n) fwd, max(value) FILTER (run_idx >= n) bwd FROM d, h GROUP BY 1, 2, 3)
     SELECT *, fwd - bwd AS gap FROM p
     """
 )
 def bifurcate_align(spark, sf):
-    """Thirty days as a sweep of fifteen values up and down: endpoints per day, backward days on the ascending axis."""
-    day = F.least(F.floor(F.col("time") / 86400), F.lit(29)).cast("int")
+    """The days as a sweep up in their first half and down in the second: endpoints per day, backward days on the ascending axis."""
+    day = F.floor(F.col("time") / 86400).cast("int")
     ev = timed_events(spark, sf).withColumn("run_idx", day).withColumn("obs", F.col("event_type"))
-    ends = sweep.scan_endpoints(ev, ["user_id", "run_idx"]).withColumn("n", F.lit(15))
+    half = ev.agg(F.expr("(max(run_idx) + 2) div 2").cast("int").alias("n"))
+    ends = sweep.scan_endpoints(ev, ["user_id", "run_idx"]).crossJoin(F.broadcast(half))
     return sweep.align_branches(ends, ["user_id"])
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from bondwise.model import SITE_COLS, TYPE_DECL, Snapshot
 from bondwise.operators.components import connected_components
+from bondwise.operators.order import ranked
 from bondwise.session import cut
 
 CUSTOMER, ORDER, PART = 0, 1, 2
-TURN_BITS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,15 +94,15 @@ def line_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = No
 def talk_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
     """Conversation turns as nodes typed by role, each linked to the next: ``user(prev, next)`` and so on.
 
-    Neighbours meet by an equi-join on (conversation, turn), so a very long conversation spreads over tasks.
+    Nodes are numbered by rank, and neighbours meet by an equi-join on (conversation, turn), so a very long conversation
+    spreads over tasks and no turn number is too large.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    wide = 1 << TURN_BITS
-    key = F.col("conv_id") * wide + F.col("turn")
-    here = turns.select(key.alias("node_id"), F.col("role").alias("type"))
-    keys = here.select(F.col("node_id").alias("other"))
-    after = here.join(keys, F.col("node_id") + 1 == F.col("other"), "left").withColumnRenamed("other", "after")
-    both = after.join(keys, F.col("node_id") - 1 == F.col("other"), "left").withColumnRenamed("other", "before")
+    numbered = ranked(turns, [], "conv_id", "turn").select("conv_id", "turn", "role", F.col("rank").alias("node_id"))
+    here = numbered.select("node_id", F.col("role").alias("type"))
+    beside = lambda step, name: numbered.select("conv_id", (F.col("turn") - step).alias("turn"), F.col("node_id").alias(name))
+    mine = numbered.select("conv_id", "turn", "node_id", F.col("role").alias("type"))
+    both = mine.join(beside(1, "after"), ["conv_id", "turn"], "left").join(beside(-1, "before"), ["conv_id", "turn"], "left")
     site = lambda idx, name, far, far_site: F.struct(
         F.lit(idx).cast("long").alias("site_idx"), F.lit(name).alias("site_name"), _none("string").alias("state"),
         F.col(far).alias("partner_node"), F.when(F.col(far).isNotNull(), far_site).cast("long").alias("partner_site"),
@@ -139,7 +139,10 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.crossJoin(F.broadcast(origin)).withColumn("time", seconds / 1e6).drop("t0")
 
 
-DAYS = [86400.0 * d for d in range(31)]
+def day_grid(spark: SparkSession, sf_dir: str) -> list[float]:
+    """Day boundaries from the first event to the end of the last day; one number is fetched."""
+    last = timed_events(spark, sf_dir).agg(F.ceil(F.max("time") / 86400).alias("days")).first()["days"]
+    return [86400.0 * d for d in range((last or 0) + 1)]
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +153,7 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bondwise.operators.sampling import sample_counts
 
     ev = timed_events(spark, sf_dir).withColumn("delta", F.lit(1))
-    rows = sample_counts(ev, ["user_id", "event_type"], DAYS)
+    rows = sample_counts(ev, ["user_id", "event_type"], day_grid(spark, sf_dir))
     return rows.select(
         F.concat(F.lit("cohort"), (F.col("user_id") % 5).cast("string")).alias("model"), F.col("user_id").cast("int").alias("rep"),
         F.col("event_type").alias("obs"), "step", "time", "value",
