@@ -208,6 +208,13 @@ def model_lint(spark, sf):
     return found.groupBy("severity", "element").agg(F.count(F.lit(1)).alias("findings"))
 
 
+@query("SELECT 'document' AS kind, doc_id AS id, sha256(text) AS sha256 FROM documents UNION ALL SELECT 'page', page_id, sha256(html) FROM pages")
+def text_hashes(spark, sf):
+    """The hash of every document's and page's own text."""
+    row = lambda name, kind, key, text: table(spark, sf, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.sha2(text, 256).alias("sha256"))
+    return row("documents", "document", "doc_id", "text").unionByName(row("pages", "page", "page_id", "html"))
+
+
 @query()
 def file_hashes(spark, sf):
     """Hashes of the driver's own table files."""

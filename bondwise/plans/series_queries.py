@@ -563,8 +563,15 @@ def duration_texts(spark, sf):
     return t.groupBy(kind.alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 0
+    ORDER BY -ln((('0x' || substr(md5(concat_ws('|', 7, l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496) / l_quantity,
+             l_orderkey, l_partkey, l_suppkey, l_linenumber
+    LIMIT 100
+    """
+)
 def weighted_sample(spark, sf):
-    """A hundred lines drawn by quantity; the draw follows Spark's hash, so only Spark repeats it."""
+    """A hundred lines drawn by quantity, from the MD5 digits of their keys."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return draw.weighted_sample(lines, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "l_quantity", 100, 7).drop("key")
