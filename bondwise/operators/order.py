@@ -10,27 +10,41 @@ from bondwise.operators import skew
 from bondwise.session import cut
 
 
-def ranked(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
-    """Add ``rank`` (from 1 by values) and ``n`` per group.
+def _in_parts(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``rows`` laid out by range of (keys, values), written with their part number, which fixes the layout.
 
-    Rows are laid out by range of (keys, values) and written with their part number, which fixes the layout. A
-    part holds a slice of a large group, so ranks are counted inside parts and shifted by the parts before. Rows
-    with equal values are told apart by a hash of all their columns, so that ties spread over parts too.
+    A part holds a slice of a large group. Rows with equal values are told apart by ``tie``, a hash of all their
+    columns, so that ties spread over parts too.
     """
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
     placed = rows.withColumn("tie", tie).repartitionByRange(*keys, *values, "tie").withColumn("part", F.spark_partition_id())
-    placed = cut(placed, "ranked")
-    sizes = placed.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("size"))
+    return cut(placed, "parts")
+
+
+def _shifts(placed: DataFrame, keys: list[str], size) -> DataFrame:
+    """(keys, part, shift, n): what the parts before hold of ``size`` and what all parts hold; one row per group and part."""
+    sizes = placed.groupBy(*keys, "part").agg(size.alias("size"))
     whole = W.partitionBy(*keys)
     before = whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(
-        *keys, "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"), F.sum("size").over(whole).alias("n")
-    )
+    return sizes.select(*keys, "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"), F.sum("size").over(whole).alias("n"))
+
+
+def ranked(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Add ``rank`` (from 1 by values) and ``n`` per group: counted inside range parts and shifted by the parts before."""
+    placed = _in_parts(rows, keys, list(values))
     inside = placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*values, "tie")))
-    met = inside.join(sizes, [*keys, "part"])
+    met = inside.join(_shifts(placed, keys, F.count(F.lit(1))), [*keys, "part"])
     return met.withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "part", "tie")
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], delta: str, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``delta`` over this row and those before it in its group."""
+    placed = _in_parts(rows, keys, order)
+    fine = W.partitionBy(*keys, "part").orderBy(*order, "tie").rowsBetween(W.unboundedPreceding, 0)
+    met = placed.withColumn("inside", F.sum(delta).over(fine)).join(_shifts(placed, keys, F.sum(delta)), [*keys, "part"])
+    return met.withColumn(name, F.col("shift") + F.col("inside")).drop("shift", "n", "part", "tie", "inside")
+
+
 def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, name): exact medians. Spark's own aggregate serves while all rows together fit below the hub limit."""
     rows = rows.filter(F.col(value).isNotNull())

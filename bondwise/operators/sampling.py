@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bondwise.operators.order import running_sum
+
 CHUNKS = 512
 
 
@@ -82,20 +84,12 @@ def with_chunks(rows: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     return rows.crossJoin(F.broadcast(span)).withColumn("chunk", place).drop("t_min", "t_max")
 
 
-def running_state(events: DataFrame, keys: list[str], delta: str = "delta", chunks: int = CHUNKS) -> DataFrame:
+def running_state(events: DataFrame, keys: list[str], delta: str = "delta") -> DataFrame:
     """Add ``state``, the running sum of ``delta`` per key in time order (ties by ``seq`` if present).
 
-    Two levels: offsets run over chunk totals, the fine window over one chunk of one key.
+    Sums run inside range parts of (key, time), so a burst of one key spreads like any other rows.
     """
-    order = ["time"] + (["seq"] if "seq" in events.columns else [])
-    cut = with_chunks(events, chunks)
-    total = cut.groupBy(*keys, "chunk").agg(F.sum(delta).alias("total"))
-    before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    offset = total.select(*keys, "chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    fine = W.partitionBy(*keys, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    inside = cut.withColumn("inside", F.sum(delta).over(fine))
-    joined = inside.join(offset, [*keys, "chunk"])
-    return joined.withColumn("state", F.col("offset") + F.col("inside")).drop("offset", "inside", "chunk")
+    return running_sum(events, keys, ["time"] + (["seq"] if "seq" in events.columns else []), delta, "state")
 
 
 def order_violations(instants: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:

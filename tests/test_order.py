@@ -17,3 +17,21 @@ def test_medians_of_large_and_small_groups(spark, monkeypatch, floor):
     every = sorted(v for _, v in rows if v is not None)
     assert order.medians(df, [], "v", "m").first().m == pytest.approx(statistics.median(every))
     assert order.upper_median(df.filter("v is not null"), "v", "m").first().m == every[len(every) // 2]
+
+
+def test_one_hot_key_at_one_instant_spreads(spark):
+    """Nine tenths of the rows share key and value; no part holds more than twice the mean, and sums and ranks are exact."""
+    n = 20_000
+    df = spark.range(n).selectExpr("id", "if(id % 10 = 0, id % 7, 99) as k", "if(id % 10 = 0, id, 5) as time", "1 as delta").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        sizes = [r["count"] for r in order._in_parts(df, ["k"], ["time"]).groupBy("part").count().collect()]
+        assert len(sizes) > 4 and max(sizes) <= 2 * n / len(sizes)
+        got = order.running_sum(df, ["k"], ["time"], "delta", "s").groupBy("k").agg({"s": "max", "id": "count"}).collect()
+        assert all(r["max(s)"] == r["count(id)"] for r in got) and sum(r["count(id)"] for r in got) == n
+        ranks = order.ranked(df, ["k"], "time").selectExpr("k", "rank", "n").distinct().groupBy("k", "n").count().collect()
+        assert all(r["n"] == r["count"] for r in ranks)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")

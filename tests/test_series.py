@@ -33,7 +33,7 @@ def test_grids(spark):
 
 def test_running_state_across_slices(spark):
     ev = spark.createDataFrame([("a", float(t), t % 3 - 1) for t in range(50)], "k string, time double, delta int")
-    got = [r.state for r in sampling.running_state(ev, ["k"], chunks=7).orderBy("time").collect()]
+    got = [r.state for r in sampling.running_state(ev, ["k"]).orderBy("time").collect()]
     want, acc = [], 0
     for t in range(50):
         acc += t % 3 - 1
