@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bondwise.model import EDIT, Slot, Snapshot, mol, observable, pattern
+from bondwise.model import EDIT, SITE_COLS, TYPE_DECL, Slot, Snapshot, mol, observable, pattern
 from bondwise.operators import canonical, components, draw, edits, match
 from bondwise.plans.registry import query
 from bondwise.plans.tables import CUSTOMER, ORDER, customer_decl, customer_graph, kept, node_key, table
@@ -73,6 +73,38 @@ def bond_and_node_edits(spark, sf):
     return _state_counts(after)
 
 
+@query(
+    """
+    WITH a AS (SELECT count(*) n FROM part p WHERE p_partkey % 3 = 0 AND EXISTS (SELECT 1 FROM part q WHERE q.p_partkey = p.p_partkey + 1)),
+    b AS (SELECT count(*) n FROM supplier WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = 3 * s_suppkey))
+    SELECT CAST((SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS BIGINT) AS nodes, CAST(a.n + b.n AS BIGINT) AS links,
+           CAST((SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) - a.n - b.n AS BIGINT) AS complexes, CAST(0 AS BIGINT) AS errors FROM a, b
+    """
+)
+def add_bonds(spark, sf):
+    """Every third part is linked to the next, and a new node per supplier to the part of three times its number."""
+    part, supplier = table(spark, sf, "part"), table(spark, sf, "supplier")
+    none = lambda kind: F.lit(None).cast(kind)
+    decl = spark.createDataFrame([("Part", 0, "prev", []), ("Part", 1, "next", [])], TYPE_DECL)
+    nodes = part.select((F.col("p_partkey") * 2).alias("node_id"), F.lit("Part").alias("type"))
+    free = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("site_idx"), F.lit("prev").alias("site_name")), F.struct(F.lit(1).cast("long").alias("site_idx"), F.lit("next").alias("site_name"))))
+    sites = nodes.select("node_id", "type", free.alias("s")).select("node_id", "type", "s.*", none("string").alias("state"), none("long").alias("partner_node"), none("long").alias("partner_site"))
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"))
+    linked = part.filter("p_partkey % 3 = 0").join(after, "p_partkey", "left_semi")
+    fresh = F.col("s_suppkey") * 2 + 1
+    met = supplier.join(part.select((F.col("p_partkey")).alias("third")), F.col("third") == F.col("s_suppkey") * 3)
+    batch = (
+        _edit(linked, F.col("p_partkey") * 3, "add_bond", F.col("p_partkey") * 2, F.lit(1), far=(F.col("p_partkey") + 1) * 2, far_site=F.lit(0))
+        .unionByName(_edit(supplier, F.col("s_suppkey") * 3 + 1, "add_node", fresh, state=F.lit("Part")))
+        .unionByName(_edit(met, F.col("s_suppkey") * 3 + 2, "add_bond", fresh, F.lit(1), far=F.col("third") * 2, far_site=F.lit(0)))
+    )
+    snap, errors = edits.apply_edits(Snapshot(nodes, sites.select(*SITE_COLS)), batch, decl)
+    snap, cx = kept(snap)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    rows = count(snap.nodes, "nodes").crossJoin(count(snap.links(), "links")).crossJoin(components.complex_count(cx))
+    return rows.crossJoin(count(errors, "errors"))
+
+
 @query(
     """
     WITH c AS (SELECT c_custkey, count(o_orderkey) n FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1)

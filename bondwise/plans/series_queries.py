@@ -351,6 +351,35 @@ def bifurcate_align(spark, sf):
     return sweep.align_branches(ends, ["user_id"])
 
 
+@query(
+    """
+    WITH s AS (SELECT count(*) n, max(c_acctbal) hi FROM customer)
+    SELECT CAST(g AS INTEGER) AS step, round(g * (hi / n), 6) AS time FROM s, range(n + 1) r(g)
+    """
+)
+def even_grid(spark, sf):
+    """One even grid with as many steps as there are customers, as a distributed table."""
+    row = table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("hi")).first()
+    return sampling.grid_table(spark, 0.0, row["hi"], row["n"]).select("step", F.round("time", 6).alias("time"))
+
+
+@query(
+    """
+    WITH a AS (SELECT s_suppkey AS point_idx, s_acctbal AS a FROM supplier),
+    b AS (SELECT *, CASE WHEN a / 4 + 0.5 = 100.0 / 4 + 0.5 THEN 25.001 ELSE a / 4 + 0.5 END AS b FROM a),
+    c AS (SELECT *, CASE WHEN 2 * b + a * a = 2 * 25.001 + 100.0 * 100.0 THEN 40000.5 ELSE 2 * b + a * a END AS c FROM b)
+    SELECT CAST(point_idx AS BIGINT) AS point_idx, a AS param_value, round(b, 9) AS "B", round(c, 6) AS "C", 0.5::DOUBLE AS "D" FROM c
+    """
+)
+def sweep_scenarios(spark, sf):
+    """A point per supplier that sets A to its balance; every other parameter follows."""
+    from bondwise.plans.rate_queries import PARAMS
+
+    grid = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("point_idx"), F.col("s_acctbal").alias("param_value"))
+    rows = sweep.scan_scenarios(grid, "A", PARAMS)
+    return rows.select("point_idx", "param_value", F.round("B", 9).alias("B"), F.round("C", 6).alias("C"), "D")
+
+
 @query(
     """
     WITH s AS (SELECT p_type, p_brand, min(p_retailprice) lo, max(p_retailprice) hi, count(*) n, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) % 2 = 0 AS lg FROM part GROUP BY 1, 2)
