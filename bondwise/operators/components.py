@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bondwise.model import Snapshot
 from bondwise.operators import skew
-from bondwise.session import cut, cut_measured
+from bondwise.session import cut, cut_measured, forget
 
 
 def _with_low(edges: DataFrame, n_edges: int) -> DataFrame:
@@ -33,7 +33,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node_id, complex_id), the complex named by its smallest node id; a node without links is its own.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which reach a fixed point in about
-    log(n) rounds whatever the diameter. Each round is one written table and three shuffles.
+    log(n) rounds whatever the diameter. Each round is one written table and three shuffles; the table before goes.
     """
     edges = links.filter("node_a <> node_b").select(
         F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")
@@ -47,7 +47,8 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         # both kinds of edge of the small-star step: neighbour to low, node to low
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))
         star = small.select(F.explode(ends).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges, now = cut_measured(star, "stars", mark=print_of)
+        before, (edges, now) = edges, cut_measured(star, "stars", mark=print_of)
+        forget(before)
         if (now["n_rows"], now["mark"]) == (seen["n_rows"], seen["mark"]):
             break
         seen = now

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -54,7 +54,18 @@ def cut(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete the table behind a DataFrame that ``cut`` returned, once nothing reads it any more."""
+    path = getattr(df, "cut_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_measured(df: DataFrame, tag: str, partition_by: str | None = None, **metrics) -> tuple[DataFrame, dict]:
