@@ -250,19 +250,21 @@ def subgraph(spark, sf):
     return part.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(part.sites.agg(F.count(F.lit(1)).alias("sites")))
 
 
-@query(
-    """
+FEED_SQL = """
     SELECT 'F' AS obs, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS value FROM orders
     UNION ALL SELECT 'linked', CAST(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) FROM orders
     UNION ALL SELECT 'with F', CAST(count(*) AS BIGINT) FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
     UNION ALL SELECT 'busy', CAST(count(*) AS BIGINT) FROM (SELECT 1 FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING count(*) >= 5)
     UNION ALL SELECT 'tracked <> recount', CAST(0 AS BIGINT)
     """
-)
-def edit_feed(spark, sf):
+
+
+def _followed(spark, sf, stages):
     """All orders start open and linked; a stream sets their real states and unlinks the pending ones.
 
-    The counts kept along the stream are returned with the number of observables on which a full recount differs.
+    ``stages`` parts of the edits arrive one after the other; each is followed to its end by a new query and a new feed
+    object that find their place in the checkpoint. The counts kept along the stream are returned with the number of
+    observables on which a full recount differs.
     """
     real, decl = customer_graph(spark, sf), customer_decl(spark)
     sites = real.sites.withColumn("state", F.when(F.col("site_name") == "status", F.lit("O")).otherwise(F.col("state")))
@@ -274,20 +276,33 @@ def edit_feed(spark, sf):
         observable("with F", "Species", pattern(mol("Order", Slot("status", "F")))),
         observable("busy", "Species", many),
     ]
-    feed = CountFeed(spark, fresh_path(spark, "feed"), obs, decl)
-    feed.start(snap, cx)
+    state, source, place = (fresh_path(spark, x) for x in ("feed", "edits", "place"))
+    CountFeed(spark, state, obs, decl).start(snap, cx)
     o, node = table(spark, sf, "orders"), node_key("o_orderkey", ORDER)
     batch = _edit(o, F.col("o_orderkey"), "set_state", node, F.lit(1), F.col("o_orderstatus")).unionByName(
         _edit(o.filter("o_orderstatus = 'P'"), -F.col("o_orderkey") - 1, "delete_bond", node, F.lit(0))
     )
-    source = fresh_path(spark, "edits")
-    batch.repartition(2).write.parquet(source)
-    stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 1).parquet(source)
-    run = feed.follow(stream, fresh_path(spark, "place")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    for k in range(stages):
+        batch.filter(F.pmod(F.xxhash64("node_id"), F.lit(stages)) == k).repartition(3 - stages).write.mode("append").parquet(source)
+        feed = CountFeed(spark, state, obs, decl)
+        stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 1).parquet(source)
+        run = feed.follow(stream, place).trigger(availableNow=True).start()
+        run.awaitTermination()
     last = run.lastProgress["batchId"]
     totals = cut(feed.totals(last), "totals")
     now = feed.snapshot(last)
     recount = match.observe(Snapshot(cut(now.nodes, "nodes"), cut(now.sites, "sites")), obs, cut(feed.complexes(last), "complexes"))
     off = totals.join(recount.withColumnRenamed("value", "again"), "obs", "full").filter(~F.col("value").eqNullSafe(F.col("again")))
     return totals.unionByName(off.agg(F.count(F.lit(1)).alias("value")).select(F.lit("tracked <> recount").alias("obs"), "value"))
+
+
+@query(FEED_SQL)
+def edit_feed(spark, sf):
+    """The counts at the end of a stream of edits."""
+    return _followed(spark, sf, 1)
+
+
+@query(FEED_SQL)
+def edit_feed_resumed(spark, sf):
+    """The same counts when the stream was stopped half way and taken up again from its checkpoint."""
+    return _followed(spark, sf, 2)
