@@ -8,7 +8,14 @@ from pyspark.sql import Window as W
 
 from bondwise.sources.text import file_stem, small_files, text_rows, write_ordered_lines
 
-# The line formats of run logs and reports.
+# The line formats of run logs, reports and model comments.
+INVARIANT_LINE = r"^#\s*invariant\s*:\s*(.+?)\s*$"
+INVARIANT_KINDS = r"^(nonneg|conserved|balance)\b"
+FEATURE_LINE = r"^# (Feature|Tests:|Bug pattern:)"
+SIMULATE_ACTION = r"simulate\w*\s*\(\s*\{([^}]+)\}"
+ACTION_PARAM = r'param\s*=>\s*"([^"]*)"'
+ACTION_END = r"t_end\s*=>\s*([0-9.eE+\-]+)"
+ACTION_STEPS = r"n_steps\s*=>\s*([0-9]+)"
 EVENTS_LINE = r"events=(\d+)"
 NULLS_LINE = r"null=(\d+)"
 TOTAL_LINE = r"total=([\d.]+)s"
@@ -42,9 +49,9 @@ def inline_points(tables: DataFrame) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(model, kind, lhs, rhs, expected) of invariant comments in model text."""
     rows = text_rows(spark, path).select(file_stem(F.col("file"), suffix).alias("model"), "line")
-    spec = F.regexp_extract("line", r"^#\s*invariant\s*:\s*(.+?)\s*$", 1)
+    spec = F.regexp_extract("line", INVARIANT_LINE, 1)
     rows = rows.select("model", spec.alias("spec")).filter("spec <> ''")
-    kind = F.regexp_extract("spec", r"^(nonneg|conserved|balance)\b", 1)
+    kind = F.regexp_extract("spec", INVARIANT_KINDS, 1)
     rest = F.trim(F.regexp_replace("spec", r"^\w+\s*", ""))
     lhs = F.trim(F.get(F.split(rest, "=", 2), 0))
     rhs = F.trim(F.get(F.split(rest, "=", 2), 1))
@@ -61,7 +68,7 @@ def read_features(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     rows = small_files(spark, path).select(file_stem(F.col("file"), suffix).alias("model"), "line_no", "line")
     end = rows.filter(~F.col("line").startswith("#")).groupBy("model").agg(F.min("line_no").alias("end"))
     head = rows.join(end, "model", "left").filter(F.col("end").isNull() | (F.col("line_no") < F.col("end")))
-    wanted = head.filter(F.col("line").rlike(r"^# (Feature|Tests:|Bug pattern:)"))
+    wanted = head.filter(F.col("line").rlike(FEATURE_LINE))
     return wanted.select("model", "line_no", F.trim(F.expr("substring(line, 3)")).alias("feature"))
 
 
@@ -71,17 +78,17 @@ def read_actions(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     Actions may span lines, so model files are read whole.
     """
     whole = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path"), suffix).alias("model"), "value")
-    args = F.regexp_extract_all("value", F.lit(r"simulate\w*\s*\(\s*\{([^}]+)\}"), 1)
+    args = F.regexp_extract_all("value", F.lit(SIMULATE_ACTION), 1)
     rows = whole.withColumn("args", args)
     pick = lambda pattern: F.filter(F.transform("args", lambda a: F.regexp_extract(a, pattern, 1)), lambda x: x != "")
     last = lambda found: F.try_element_at(found, F.lit(-1))
-    param = F.transform("args", lambda a: F.regexp_extract(a, r'param\s*=>\s*"([^"]*)"', 1))
+    param = F.transform("args", lambda a: F.regexp_extract(a, ACTION_PARAM, 1))
     block = F.transform(F.filter(param, lambda x: x.contains("-bscb")), lambda x: F.lit("-bscb"))
     limit = F.transform(F.filter(param, lambda x: x.rlike(r"-utl\s+\d+")), lambda x: F.concat(F.lit("-utl "), F.regexp_extract(x, r"-utl\s+(\d+)", 1)))
     return rows.select(
         "model",
-        F.coalesce(last(pick(r"t_end\s*=>\s*([0-9.eE+\-]+)")), F.lit("100")).cast("double").alias("t_end"),
-        F.coalesce(last(pick(r"n_steps\s*=>\s*([0-9]+)")), F.lit("100")).cast("int").alias("n_steps"),
+        F.coalesce(last(pick(ACTION_END)), F.lit("100")).cast("double").alias("t_end"),
+        F.coalesce(last(pick(ACTION_STEPS)), F.lit("100")).cast("int").alias("n_steps"),
         F.array_join(F.concat(block, limit), " ").alias("flags"),
     )
 

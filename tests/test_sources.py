@@ -82,10 +82,10 @@ def test_logs_and_reports(spark, tmp_path):
 
 
 def test_tfun_files(spark, tmp_path):
-    put(tmp_path / "a.tfun", "# x y\n0 2\n 20 1\n\n50\t0.4\n")
+    put(tmp_path / "a.tfun", "# x y\n0.5 3\n 7 1.25\n\n31\t0.75\n")
     put(tmp_path / "b.tfun", "0 1\noops 3\n")
     points, bad = files.read_tfun(spark, str(tmp_path / "*.tfun"))
-    assert [(r.idx, r.x, r.y) for r in points.filter("name = 'a'").orderBy("idx").collect()] == [(0, 0.0, 2.0), (1, 20.0, 1.0), (2, 50.0, 0.4)]
+    assert [(r.idx, r.x, r.y) for r in points.filter("name = 'a'").orderBy("idx").collect()] == [(0, 0.5, 3.0), (1, 7.0, 1.25), (2, 31.0, 0.75)]
     assert [r.name for r in bad.collect()] == ["b"]
     inline = spark.createDataFrame([("c", "1, 2,3", "4,5 ,6")], "name string, xs string, ys string")
     assert [(r.x, r.y) for r in files.inline_points(inline).orderBy("idx").collect()] == [(1.0, 4.0), (2.0, 5.0), (3.0, 6.0)]
