@@ -7,7 +7,7 @@ A text takes the language whose prototype has the largest cosine with it.
 Texts are lower-cased; runs of anything but letters become one blank, which counts as a letter at word edges. Texts are
 worked on whole, a block at a time: n-grams are counted, and the counts times the n-gram vectors give the text's vector.
 
-``fit`` uses at most ``per_language`` labelled rows of each language, those with the smallest hash of doc_id;
+``fit`` uses a sample of about ``per_language`` labelled rows of each language, by a hash of doc_id;
 prototypes are the only thing sent to the driver and to the tasks (languages x ``DIM`` numbers, ``max_languages`` at most).
 
 Nulls and edges: a null text or one without letters is ``und`` with score 0; rows without a language or text teach nothing; ties go to the
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIM = 1024
@@ -131,12 +130,11 @@ def space(dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> Space:
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(text, lang): the bounded training sample. The ranking window drops surplus rows before its shuffle and carries no texts."""
-    keyed = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    keyed = keyed.filter("text is not null and lang is not null")
-    ranks = keyed.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language)
-    edge = ranks.groupBy("lang").agg(F.max("h").alias("edge")).orderBy("lang").limit(MAX_LANGUAGES + 1)
-    return keyed.join(F.broadcast(edge), "lang").filter("h <= edge").select("text", "lang")
+    """(text, lang): about ``per_language`` rows of each language, all of a rarer one, by a hash of doc_id. Only counts per language meet."""
+    part = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 33) / float(1 << 31)
+    keyed = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string"), part.alias("part")).filter("text is not null and lang is not null")
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1)
+    return keyed.join(F.broadcast(sizes), "lang").filter(F.col("part") * F.col("n") < per_language).select("text", "lang")
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
