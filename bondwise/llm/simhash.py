@@ -10,7 +10,7 @@ Equal fingerprints are one node with the smallest doc_id; components of the link
 
 ``near_duplicates`` is for similarities that few differing bits cannot express (0.8 on five-word shingles differ in 10 of 64 bits
 on average). It takes ``lanes`` fingerprints of 64 bits and blocks of ``block_bits`` over all of them, sifts pairs that share a block
-by the Hamming distance of two lanes, and verifies each by the exact Jaccard similarity of the shingle sets.
+by Hamming distance, and verifies each by the exact Jaccard similarity of the shingle sets.
 
 Nulls and edges: a text that is null, empty or white space has fingerprint 0 and links like any other; a text with fewer words than a shingle is
 one shingle; null doc_ids get a component but never name one (it is null if no member has an id); repeated rows share a fingerprint; an
@@ -31,7 +31,7 @@ from bondwise.operators.components import connected_components
 from bondwise.session import cut, cut_measured
 
 RADIUS, SHINGLE, SEED, MAX_BUCKET = 2, 3, 42, 1000
-LANES, BLOCK_BITS, SIMILARITY, SIFT_SIGMA, LARGE = 16, 16, 0.8, 4.0, 256
+LANES, BLOCK_BITS, SIMILARITY, SIFT_SIGMA, WIDE_SIGMA, LARGE = 24, 16, 0.8, 4.0, 2.0, 4
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SHORT = 512
@@ -68,6 +68,23 @@ def lane(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def majorities(hashes: np.ndarray, lanes: int) -> list[int]:
+    """The fingerprint of each lane. Bits are added eight at a time, one byte each, over runs of 255 hashes, so no byte overflows."""
+    n, run = len(hashes), 255
+    ones = np.zeros((lanes, 8, 8), np.int64)
+    for at in range(0, n, run * 256):
+        part = hashes[at : at + run * 256]
+        runs = -(-len(part) // run)
+        x = np.zeros((lanes, runs * run), np.uint64)
+        for k in range(lanes):
+            x[k, : len(part)] = lane(part, k)
+        x = x.reshape(lanes, runs, run)
+        for j in range(8):
+            sums = ((x >> np.uint64(j)) & np.uint64(0x0101010101010101)).sum(2)
+            ones[:, :, j] += sums.astype("<u8").view(np.uint8).reshape(lanes, runs, 8).sum(1, dtype=np.int64)
+    return np.packbits(2 * ones.reshape(lanes, 64) > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -235,99 +252,114 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.xxhash64(doc, text).alias("k1"), F.xxhash64(F.lit("second half"), doc, text).alias("k2"))
 
 
-PROFILE = "k1 long, k2 long, doc_id long, _id long, _p0 long, _p1 long, _blocks array<long>"
+PROFILE = "k1 long, k2 long, doc_id long, _id long, _w array<long>"
 
 
-def _profiles(docs: DataFrame, shingle: int, lanes: int, block_bits: int) -> DataFrame:
-    """Per row ``_id`` (a hash of the lower-cased words), ``_p0``, ``_p1`` (two lanes) and ``_blocks`` (place and value of each block)."""
-    per, ask = 64 // block_bits, (1 << block_bits) - 1
+def _profiles(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """Per row ``_id`` (a hash of the lower-cased words) and ``_w`` (a fingerprint of 64 bits in each lane)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, p0, p1, blocks = [], [], [], []
+            ids, wide = [], []
             for value in batch.column(3):
                 data = (value.as_py() or "").encode()
                 h = shingle_hashes(data, shingle)
-                own = [majority(lane(h, k)) for k in range(lanes)]
                 ids.append(_signed(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), SEED)))
-                p0.append(_signed(own[0]))
-                p1.append(_signed(own[1]))
-                blocks.append([((k * per + j) << block_bits) | ((own[k] >> (block_bits * j)) & ask) for k in range(lanes) for j in range(per)])
-            new = [pa.array(ids, pa.int64()), pa.array(p0, pa.int64()), pa.array(p1, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))]
+                wide.append([_signed(x) for x in majorities(h, lanes)])
+            new = [pa.array(ids, pa.int64()), pa.array(wide, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + new, [x.split()[0] for x in PROFILE.split(", ")])
 
     own = _keyed(docs).select("k1", "k2", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     return own.mapInArrow(run, PROFILE)
 
 
-def sift_limit(similarity: float, bits: int = 128, sigma: float = SIFT_SIGMA) -> int:
+def differing(similarity: float, bits: int, sigma: float) -> int:
     """Bits in which a pair of that Jaccard similarity differs, plus ``sigma`` deviations. cos = 2J / (1 + J) for sets of equal size."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(np.ceil(bits * p + sigma * np.sqrt(bits * p * (1 - p))))
 
 
-def _candidates(nodes: DataFrame, limit: int, large: int, verify) -> DataFrame:
-    """Verified links (node_a, node_b). Pairs of small buckets all meet; in large ones every member meets the smallest, then members of
-    different components meet, but for those of the component that the bucket holds most."""
-    rows = nodes.select(F.explode("_blocks").alias("key"), "_id", "_p0", "_p1")
-    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}{s}") for c in df.columns if c != "key"])
-    near = (F.bit_count(F.col("_p0a").bitwiseXOR(F.col("_p0b"))) + F.bit_count(F.col("_p1a").bitwiseXOR(F.col("_p1b")))) <= limit
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    big, seen = cut_measured(sizes.filter(F.col("n") > large).select("key"), "big-blocks")
+def _block_rows(nodes: DataFrame, block_bits: int, *also: str) -> DataFrame:
+    """One row per text and block: ``key`` holds the block's place and its bits."""
+    per, mask = 64 // block_bits, (1 << block_bits) - 1
+    lanes = nodes.select("_id", *also, F.posexplode("_w").alias("_k", "_lane"))
+    place = lambda j: F.shiftleft((F.col("_k") * per + j).cast("long"), block_bits)
+    keys = [place(j).bitwiseOR(F.shiftrightunsigned("_lane", block_bits * j).bitwiseAND(F.lit(mask))) for j in range(per)]
+    return lanes.select("_id", *also, F.explode(F.array(*keys)).alias("key"))
+
+
+def _side(df: DataFrame, s: str) -> DataFrame:
+    return df.select("key", *[F.col(c).alias(f"{c}{s}") for c in df.columns if c != "key"])
+
+
+def _bits_apart(columns: list[tuple]):
+    out = F.lit(0)
+    for a, b in columns:
+        out = out + F.bit_count(a.bitwiseXOR(b))
+    return out
+
+
+def _candidates(nodes: DataFrame, similarity: float, lanes: int, block_bits: int, large: int, verify) -> DataFrame:
+    """Verified links (node_a, node_b) between texts that share a block.
+
+    In ordinary buckets all members meet and are sifted by two lanes. Crowded ones hold more than ``large`` members above four times what chance
+    puts there; in them every member first meets the smallest, and then members of different components meet, but for two of the component that the
+    bucket holds most. They are sifted by all lanes, so a crowd of texts that are alike, but not enough, is told apart before pairs are written.
+    """
+    two = lambda df: df.withColumns({"_p0": F.get("_w", F.lit(0)), "_p1": F.get("_w", F.lit(1))})
+    rows = _block_rows(two(nodes), block_bits, "_p0", "_p1")
+    few = _bits_apart([(F.col("_p0a"), F.col("_p0b")), (F.col("_p1a"), F.col("_p1b"))]) <= differing(similarity, 128, SIFT_SIGMA)
+    ids = [F.least("_ida", "_idb").alias("node_a"), F.greatest("_ida", "_idb").alias("node_b")]
+    chance = F.broadcast(nodes.agg((F.count(F.lit(1)) * (4.0 / (1 << block_bits)) + large).alias("chance")))
+    sizes = _block_rows(nodes, block_bits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).crossJoin(chance)
+    big, seen = cut_measured(sizes.filter("n > chance").select("key"), "crowded-blocks")
     small = rows.join(big, "key", "left_anti") if seen["n_rows"] else rows
-    ids = [F.col("_ida").alias("node_a"), F.col("_idb").alias("node_b")]
-    pairs = side(small, "a").join(side(small, "b"), "key").filter(near & (F.col("_ida") < F.col("_idb"))).select(*ids)
+    pairs = _side(small, "a").join(_side(small, "b"), "key").filter((F.col("_ida") < F.col("_idb")) & few).select(*ids)
     if not seen["n_rows"]:
         return verify(pairs.distinct())
-    hot = cut(rows.join(big, "key", "left_semi"), "big-block-rows")
-    first = hot.groupBy("key").agg(F.min(F.struct("_id", "_p0", "_p1")).alias("f")).select("key", "f.*")
-    stars = side(first, "a").join(side(hot, "b"), "key").filter(near & (F.col("_ida") < F.col("_idb"))).select(*ids)
+    hot = _block_rows(nodes, block_bits).join(big, "key", "left_semi").join(nodes.select("_id", "_w"), "_id")
+    hot = cut(hot.select("key", "_id", *[F.get("_w", F.lit(k)).alias(f"_w{k}") for k in range(lanes)]), "crowded-rows")
+    near = _bits_apart([(F.col(f"_w{k}a"), F.col(f"_w{k}b")) for k in range(lanes)]) <= differing(similarity, 64 * lanes, WIDE_SIGMA)
+    first = hot.groupBy("key").agg(F.min(F.struct("_id", *[f"_w{k}" for k in range(lanes)])).alias("f")).select("key", "f.*")
+    stars = _side(first, "a").join(_side(hot, "b"), "key").filter((F.col("_ida") < F.col("_idb")) & near).select(*ids)
     links = cut(verify(pairs.unionByName(stars).distinct()), "links")
-    groups = grouped(links)
-    placed = hot.join(groups.withColumnRenamed("node_id", "_id"), "_id", "left").withColumn("_c", F.coalesce("complex_id", "_id")).drop("complex_id")
-    placed = cut(placed, "placed")
-    held = placed.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("_c", "n").alias("main"))
-    minor = placed.join(held, "key").filter("_c <> main").drop("main")
-    cross = side(minor, "a").join(side(placed, "b"), "key").filter(near & (F.col("_ca") != F.col("_cb")))
-    cross = cross.select(F.least("_ida", "_idb").alias("node_a"), F.greatest("_ida", "_idb").alias("node_b")).distinct()
+    placed = hot.join(grouped(links).withColumnRenamed("node_id", "_id"), "_id", "left").withColumn("_c", F.coalesce("complex_id", "_id")).drop("complex_id")
+    placed = cut(placed, "crowded-components")
+    held = placed.groupBy("key", "_c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("_c", F.struct("n", "_c")).alias("main"))
+    told = placed.join(held, "key").withColumn("_main", F.col("_c") == F.col("main")).drop("main")
+    apart = (F.col("_ca") != F.col("_cb")) & (F.col("_mainb") | (F.col("_ida") < F.col("_idb")))
+    cross = _side(told.filter("not _main"), "a").join(_side(told, "b"), "key").filter(apart & near).select(*ids).distinct()
     return links.unionByName(verify(cross))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, lanes: int = LANES, block_bits: int = BLOCK_BITS, large: int = LARGE) -> DataFrame:
     """(k1, k2, doc_id, _id, group_id) of every row: rows with the same words share ``_id``, rows linked by ``similarity`` or more share
     ``group_id``; k1 and k2 name the row, as in ``_keyed``."""
-    rows = cut(_profiles(docs, shingle, lanes, block_bits), "profiles")
-    pick = [F.first(c).alias(c) for c in ("_p0", "_p1", "_blocks")]
-    nodes = cut(rows.groupBy("_id").agg(F.min(F.struct("k1", "k2")).alias("k"), *pick), "texts")
+    rows = cut(_profiles(docs, shingle, lanes), "profiles")
+    nodes = cut(rows.groupBy("_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("_w").alias("_w")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "candidates")
         asked = pairs.select(F.explode(F.array("node_a", "node_b")).alias("_id")).distinct()
         keys = nodes.join(asked, "_id", "left_semi").select("_id", "k.k1", "k.k2")
         texts = _keyed(docs.select("doc_id", "text")).join(keys, ["k1", "k2"]).select("_id", F.col("row.text").cast("string").alias("text"))
-        texts = cut(texts.dropDuplicates(["_id"]), "candidate-texts")
-        side = lambda s: texts.select(F.col("_id").alias(f"node_{s}"), F.col("text").alias(f"text_{s}"))
-        both = pairs.join(side("a"), "node_a").join(side("b"), "node_b").select("node_a", "node_b", "text_a", "text_b")
-        return both.mapInArrow(_similar(similarity, shingle), "node_a long, node_b long")
+        sets = cut(texts.dropDuplicates(["_id"]).mapInArrow(_shingle_sets(shingle), "_id long, held array<long>"), "shingle-sets")
+        side = lambda s: sets.select(F.col("_id").alias(f"node_{s}"), F.col("held").alias(f"held_{s}"), F.size("held").alias(f"n_{s}"))
+        both = pairs.join(side("a"), "node_a").join(side("b"), "node_b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+        common = F.size(F.array_intersect("held_a", "held_b"))
+        return both.withColumn("common", common).filter(F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("node_a", "node_b")
 
-    links = cut(_candidates(nodes, sift_limit(similarity), large, verify), "links")
+    links = cut(_candidates(nodes, similarity, lanes, block_bits, large, verify), "links")
     groups = grouped(links)
     named = rows.select("k1", "k2", "doc_id", "_id").join(groups.withColumnRenamed("node_id", "_id"), "_id", "left")
     return named.select("k1", "k2", "doc_id", "_id", F.coalesce("complex_id", "_id").alias("group_id"))
 
 
-def _similar(similarity: float, shingle: int):
+def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last[0]:
-                    last = (a, np.unique(shingle_hashes((a or "").encode(), shingle)))
-                other = np.unique(shingle_hashes((b or "").encode(), shingle))
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(both >= similarity * (len(last[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["node_a", "node_b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [np.unique(shingle_hashes((t.as_py() or "").encode(), shingle)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_id", "held"])
 
     return run
 
