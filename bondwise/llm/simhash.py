@@ -256,7 +256,8 @@ PROFILE = "k1 long, k2 long, doc_id long, _id long, _w array<long>"
 
 
 def _profiles(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """Per row ``_id`` (a hash of the lower-cased words) and ``_w`` (a fingerprint of 64 bits in each lane)."""
+    """Per row ``_id`` (a hash of the lower-cased words) and ``_w`` (a fingerprint of 64 bits in each lane). A shingle counts once, as in the
+    similarity, however often it stands in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +266,7 @@ def _profiles(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
                 data = (value.as_py() or "").encode()
                 h = shingle_hashes(data, shingle)
                 ids.append(_signed(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), SEED)))
-                wide.append([_signed(x) for x in majorities(h, lanes)])
+                wide.append([_signed(x) for x in majorities(np.unique(h), lanes)])
             new = [pa.array(ids, pa.int64()), pa.array(wide, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + new, [x.split()[0] for x in PROFILE.split(", ")])
 

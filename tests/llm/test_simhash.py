@@ -94,3 +94,15 @@ def test_near_duplicates_match_exact_similarity(spark):
         assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == want
         assert got.filter("doc_id is null").count() == 1
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_repeated_lines_do_not_part_near_duplicates(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = []
+    for k in range(20):
+        own, line = words(300), words(6)
+        rows += [(2 * k, f"{own}\n{line}"), (2 * k + 1, own + f"\n{line}" * (20 + 4 * k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for large in (1000, 1):
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs, large=large).collect()) == list(range(0, 40, 2))
