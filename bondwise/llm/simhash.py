@@ -10,7 +10,10 @@ Equal fingerprints are one node with the smallest doc_id; components of the link
 
 ``near_duplicates`` is for similarities that few differing bits cannot express (0.8 on five-word shingles differ in 10 of 64 bits
 on average). It takes ``lanes`` fingerprints of 64 bits and blocks of ``block_bits`` over all of them, sifts pairs that share a block
-by Hamming distance, and verifies each by the exact Jaccard similarity of the shingle sets.
+by Hamming distance, and verifies each by the exact Jaccard similarity of the shingle sets. The sift leaves what a pair of just that similarity
+may differ in, with ties of even shingle counts, plus ``SIFT_SIGMA`` deviations. Texts of fewer than ``SHORT`` shingles, whose bits say less, do
+not depend on blocks: they also meet by shingle. Two sets of n shingles or more that are alike share one of the first n - ceil(similarity * n) + 1
+of each in any common order.
 
 Nulls and edges: a text that is null, empty or white space has fingerprint 0 and links like any other; a text with fewer words than a shingle is
 one shingle; null doc_ids get a component but never name one (it is null if no member has an id); repeated rows share a fingerprint; an
@@ -19,6 +22,7 @@ empty table gives no rows; other columns are ignored (``components``) or pass th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,8 @@ from bondwise.operators.components import connected_components
 from bondwise.session import cut, cut_measured
 
 RADIUS, SHINGLE, SEED, MAX_BUCKET = 2, 3, 42, 1000
-LANES, BLOCK_BITS, SIMILARITY, SIFT_SIGMA, WIDE_SIGMA, LARGE = 24, 16, 0.8, 4.0, 2.0, 4
+LANES, BLOCK_BITS, SIMILARITY, SIFT_SIGMA, LARGE = 24, 16, 0.8, 4.0, 4
+SHORT, SHORT_SIGMA = 32, 6.0
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _SHORT = 512
@@ -252,41 +257,82 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.xxhash64(doc, text).alias("k1"), F.xxhash64(F.lit("second half"), doc, text).alias("k2"))
 
 
-PROFILE = "k1 long, k2 long, doc_id long, _id long, _w array<long>"
+PROFILE = "k1 long, k2 long, doc_id long, _id long, _n int, _s array<long>, _w array<long>"
 
 
-def _profiles(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """Per row ``_id`` (a hash of the lower-cased words) and ``_w`` (a fingerprint of 64 bits in each lane). A shingle counts once, as in the
-    similarity, however often it stands in the text."""
+def _first_shingles(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Of a text that is short, or as long as one alike to a short one can be: the shingles of which any text alike to it has one among its own.
+    They are negative, so as not to be taken for blocks."""
+    n = len(hashes)
+    if n * similarity >= SHORT:
+        return []
+    return [_signed(int(h) | (1 << 63)) for h in hashes[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _profiles(docs: DataFrame, shingle: int, lanes: int, similarity: float) -> DataFrame:
+    """Per row ``_id`` (a hash of the lower-cased words), ``_n`` (its number of shingles), ``_s`` (the shingles by which it meets others, if it
+    is short) and ``_w`` (a fingerprint of 64 bits in each lane). A shingle counts once, as in the similarity, however often it stands in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wide = [], []
+            ids, counts, firsts, wide = [], [], [], []
             for value in batch.column(3):
                 data = (value.as_py() or "").encode()
-                h = shingle_hashes(data, shingle)
+                h = np.unique(shingle_hashes(data, shingle))
                 ids.append(_signed(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), SEED)))
-                wide.append([_signed(x) for x in majorities(np.unique(h), lanes)])
-            new = [pa.array(ids, pa.int64()), pa.array(wide, pa.list_(pa.int64()))]
+                counts.append(len(h))
+                firsts.append(_first_shingles(h, similarity))
+                wide.append([_signed(x) for x in majorities(h, lanes)])
+            new = [pa.array(ids, pa.int64()), pa.array(counts, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + new, [x.split()[0] for x in PROFILE.split(", ")])
 
     own = _keyed(docs).select("k1", "k2", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     return own.mapInArrow(run, PROFILE)
 
 
-def differing(similarity: float, bits: int, sigma: float) -> int:
-    """Bits in which a pair of that Jaccard similarity differs, plus ``sigma`` deviations. cos = 2J / (1 + J) for sets of equal size."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * p + sigma * np.sqrt(bits * p * (1 - p))))
+def _binomial(n: int) -> np.ndarray:
+    return np.array([math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(n + 1)])
+
+
+def unequal(n_a: int, n_b: int, common: int) -> float:
+    """The probability that a fingerprint bit differs between sets of ``n_a`` and ``n_b`` shingles with ``common`` in both. Ties give 0."""
+    ones = np.arange(common + 1)
+
+    def is_set(n: int) -> np.ndarray:
+        least = np.append(np.cumsum(_binomial(n - common)[::-1])[::-1], 0.0)
+        return least[np.clip(n // 2 + 1 - ones, 0, n - common + 1)]
+
+    a, b = is_set(n_a), is_set(n_b)
+    return float(_binomial(common) @ (a * (1 - b) + b * (1 - a)))
+
+
+def differing(similarity: float, bits: int, sigma: float, sizes: range) -> int:
+    """Bits in which a pair that is just similar differs, plus ``sigma`` deviations: the most for any smaller set of ``sizes``."""
+    p = 0.0
+    for small in sizes:
+        for large in range(small, math.floor(small / similarity + 1e-9) + 1):
+            common = math.ceil(similarity * (small + large) / (1 + similarity) - 1e-9)
+            if common <= small:
+                p = max(p, unequal(small, large, common))
+    return math.ceil(bits * p + sigma * math.sqrt(bits * p * (1 - p)))
+
+
+def _may_be_alike(similarity: float, columns: list[tuple]):
+    """Whether a pair can be similar by its shingle counts and by the bits of some lanes. The more shingles, the fewer bits differ, but for ties
+    of even counts, so that the limit of ``SHORT`` to four times that holds for all that are longer."""
+    low, high = F.least("_na", "_nb"), F.greatest("_na", "_nb")
+    short = differing(similarity, 64 * len(columns), SHORT_SIGMA, range(1, SHORT))
+    long = differing(similarity, 64 * len(columns), SIFT_SIGMA, range(SHORT, 4 * SHORT))
+    return (low >= F.lit(similarity) * high) & (_bits_apart(columns) <= F.when(low < SHORT, short).otherwise(long))
 
 
 def _block_rows(nodes: DataFrame, block_bits: int, *also: str) -> DataFrame:
-    """One row per text and block: ``key`` holds the block's place and its bits."""
+    """One row per text and block: ``key`` holds the block's place and its bits; and one per shingle by which a short text meets others."""
     per, mask = 64 // block_bits, (1 << block_bits) - 1
     lanes = nodes.select("_id", *also, F.posexplode("_w").alias("_k", "_lane"))
     place = lambda j: F.shiftleft((F.col("_k") * per + j).cast("long"), block_bits)
     keys = [place(j).bitwiseOR(F.shiftrightunsigned("_lane", block_bits * j).bitwiseAND(F.lit(mask))) for j in range(per)]
-    return lanes.select("_id", *also, F.explode(F.array(*keys)).alias("key"))
+    return lanes.select("_id", *also, F.explode(F.array(*keys)).alias("key")).unionByName(nodes.select("_id", *also, F.explode("_s").alias("key")))
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
@@ -301,15 +347,15 @@ def _bits_apart(columns: list[tuple]):
 
 
 def _candidates(nodes: DataFrame, similarity: float, lanes: int, block_bits: int, large: int, verify) -> DataFrame:
-    """Verified links (node_a, node_b) between texts that share a block.
+    """Verified links (node_a, node_b) between texts that share a block, or one of the shingles of short texts.
 
     In ordinary buckets all members meet and are sifted by two lanes. Crowded ones hold more than ``large`` members above four times what chance
     puts there; in them every member first meets the smallest, and then members of different components meet, but for two of the component that the
     bucket holds most. They are sifted by all lanes, so a crowd of texts that are alike, but not enough, is told apart before pairs are written.
     """
     two = lambda df: df.withColumns({"_p0": F.get("_w", F.lit(0)), "_p1": F.get("_w", F.lit(1))})
-    rows = _block_rows(two(nodes), block_bits, "_p0", "_p1")
-    few = _bits_apart([(F.col("_p0a"), F.col("_p0b")), (F.col("_p1a"), F.col("_p1b"))]) <= differing(similarity, 128, SIFT_SIGMA)
+    rows = _block_rows(two(nodes), block_bits, "_n", "_p0", "_p1")
+    few = _may_be_alike(similarity, [(F.col("_p0a"), F.col("_p0b")), (F.col("_p1a"), F.col("_p1b"))])
     ids = [F.least("_ida", "_idb").alias("node_a"), F.greatest("_ida", "_idb").alias("node_b")]
     chance = F.broadcast(nodes.agg((F.count(F.lit(1)) * (4.0 / (1 << block_bits)) + large).alias("chance")))
     sizes = _block_rows(nodes, block_bits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).crossJoin(chance)
@@ -318,10 +364,10 @@ def _candidates(nodes: DataFrame, similarity: float, lanes: int, block_bits: int
     pairs = _side(small, "a").join(_side(small, "b"), "key").filter((F.col("_ida") < F.col("_idb")) & few).select(*ids)
     if not seen["n_rows"]:
         return verify(pairs.distinct())
-    hot = _block_rows(nodes, block_bits).join(big, "key", "left_semi").join(nodes.select("_id", "_w"), "_id")
-    hot = cut(hot.select("key", "_id", *[F.get("_w", F.lit(k)).alias(f"_w{k}") for k in range(lanes)]), "crowded-rows")
-    near = _bits_apart([(F.col(f"_w{k}a"), F.col(f"_w{k}b")) for k in range(lanes)]) <= differing(similarity, 64 * lanes, WIDE_SIGMA)
-    first = hot.groupBy("key").agg(F.min(F.struct("_id", *[f"_w{k}" for k in range(lanes)])).alias("f")).select("key", "f.*")
+    hot = _block_rows(nodes, block_bits).join(big, "key", "left_semi").join(nodes.select("_id", "_n", "_w"), "_id")
+    hot = cut(hot.select("key", "_id", "_n", *[F.get("_w", F.lit(k)).alias(f"_w{k}") for k in range(lanes)]), "crowded-rows")
+    near = _may_be_alike(similarity, [(F.col(f"_w{k}a"), F.col(f"_w{k}b")) for k in range(lanes)])
+    first = hot.groupBy("key").agg(F.min(F.struct("_id", "_n", *[f"_w{k}" for k in range(lanes)])).alias("f")).select("key", "f.*")
     stars = _side(first, "a").join(_side(hot, "b"), "key").filter((F.col("_ida") < F.col("_idb")) & near).select(*ids)
     links = cut(verify(pairs.unionByName(stars).distinct()), "links")
     placed = hot.join(grouped(links).withColumnRenamed("node_id", "_id"), "_id", "left").withColumn("_c", F.coalesce("complex_id", "_id")).drop("complex_id")
@@ -336,8 +382,9 @@ def _candidates(nodes: DataFrame, similarity: float, lanes: int, block_bits: int
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, lanes: int = LANES, block_bits: int = BLOCK_BITS, large: int = LARGE) -> DataFrame:
     """(k1, k2, doc_id, _id, group_id) of every row: rows with the same words share ``_id``, rows linked by ``similarity`` or more share
     ``group_id``; k1 and k2 name the row, as in ``_keyed``."""
-    rows = cut(_profiles(docs, shingle, lanes), "profiles")
-    nodes = cut(rows.groupBy("_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("_w").alias("_w")), "texts")
+    rows = cut(_profiles(docs, shingle, lanes, similarity), "profiles")
+    own = [F.first(c).alias(c) for c in ("_n", "_s", "_w")]
+    nodes = cut(rows.groupBy("_id").agg(F.min(F.struct("k1", "k2")).alias("k"), *own), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "candidates")

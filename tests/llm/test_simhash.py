@@ -106,3 +106,42 @@ def test_repeated_lines_do_not_part_near_duplicates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for large in (1000, 1):
         assert sorted(r["doc_id"] for r in simhash.keep_one(docs, large=large).collect()) == list(range(0, 40, 2))
+
+
+def test_short_texts_just_similar_are_found(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(150):  # 4 shingles against 5, and 12 against 15: exactly 0.8
+        own = words(19)
+        rows += [(4 * k, " ".join(own[:8])), (4 * k + 1, " ".join(own[:9]))]
+        own = words(19)
+        rows += [(4 * k + 2, " ".join(own[:16])), (4 * k + 3, " ".join(own))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for large in (1000, 1):
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs, large=large).collect()) == list(range(0, 600, 2))
+
+
+def test_crowd_of_short_texts_matches_exact_similarity(spark):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(14)]
+    texts = [" ".join(base[: rng.randint(5, 12)] + [f"v{rng.randrange(4)}" for _ in range(rng.randint(0, 3))]) for _ in range(150)]
+    texts += [" ".join(base[a:b]) for a in range(5) for b in range(a + 1, 15)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {k: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for k, t in enumerate(texts)}
+    want = brute_groups(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    for large in (1000, 0):
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs, large=large).collect()) == sorted(set(want.values()))
+
+
+def test_sift_leaves_just_similar_sets():
+    rng = np.random.default_rng(8)
+    for n_a, n_b, common in ((4, 5, 4), (22, 23, 20), (40, 40, 36), (45, 36, 36), (300, 302, 268)):
+        limit = simhash.differing(0.8, 1536, 4.0, range(min(n_a, n_b), min(n_a, n_b) + 1))
+        apart = []
+        for _ in range(300):
+            h = rng.integers(0, 2**64, n_a + n_b - common, dtype=np.uint64)
+            a, b = simhash.majorities(h[:n_a], 24), simhash.majorities(h[n_a - common :], 24)
+            apart.append(sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True)))
+        assert max(apart) <= limit
+        assert abs(np.mean(apart) / 1536 - simhash.unequal(n_a, n_b, common)) < 0.005
