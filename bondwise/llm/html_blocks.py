@@ -11,9 +11,11 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT_TAGS = frozenset("button canvas embed head iframe math noscript object option script select style svg template textarea title video audio".split())
+SILENT_TAGS = frozenset("button canvas datalist embed head iframe noscript object option script select style svg template textarea title video audio".split())
 RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD_TAGS = frozenset("html head base link meta title style script noscript template".split())
+FLAT_TAGS = frozenset("button datalist head option select".split())  # silent tags that do not nest
 CLOSED_BY = {
     "p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
@@ -34,12 +36,63 @@ class Block(NamedTuple):
     linked: int
 
 
+class Tag(NamedTuple):
+    name: str
+    ends: bool
+    more: str
+    empty: bool
+
+
+def _tokens(page: str) -> list[tuple[str, Tag | None]]:
+    """Each run of text with the tag after it, without comments and the contents of raw elements."""
+    out: list[tuple[str, Tag | None]] = []
+    at = 0
+    while True:
+        tag = TAG.search(page, at)
+        piece = page[at : tag.start() if tag else len(page)]
+        name = (tag[2] or tag[5] or "").lower() if tag else ""
+        if not name:
+            out.append((piece, None))
+        if not tag:
+            return out
+        at = tag.end()
+        if name:
+            ends, more = bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
+            if name in RAW_TAGS and not ends:
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            out.append((piece, Tag(name, ends, more, name in VOID_TAGS or (tag[3] or "").endswith("/"))))
+
+
+def _ended(tokens: list[tuple[str, Tag | None]]) -> set[int]:
+    """The places of silent start tags that have an end tag of their own."""
+    found: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    for k, (_, tag) in enumerate(tokens):
+        if tag and tag.name in SILENT_TAGS and not tag.empty:
+            held = opened.setdefault(tag.name, [])
+            if not tag.ends:
+                if tag.name in FLAT_TAGS:
+                    held.clear()
+                held.append(k)
+            elif held:
+                found.add(held.pop())
+    return found
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. White space inside a block is one blank; character references are decoded."""
+    """The blocks of a page in order. White space inside a block is one blank; character references are decoded.
+
+    Silent elements end with their end tag, with that of an element around them, or, if theirs is left out, with the next block tag;
+    an option also with the next option, a button or select with the next of its kind, and the head with the first text or tag of the body.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    silent: list[tuple[str, bool]] = []  # the open silent element and all in it, each with whether its end is known
     parts: list[str] = []
-    linked, in_link, silent, at = 0, 0, 0, 0
+    linked, in_link = 0, 0
+    tokens = _tokens(page)
+    ended = _ended(tokens)
 
     def close() -> None:
         nonlocal linked
@@ -50,35 +103,47 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    while True:
-        tag = TAG.search(page, at)
-        piece = page[at : tag.start() if tag else len(page)]
+    for k, (piece, tag) in enumerate(tokens):
+        if silent and silent[-1][0] == "head" and (piece.strip() or (tag and not tag.ends and tag.name not in HEAD_TAGS)):
+            silent.pop()
         if piece and not silent:
             piece = html.unescape(piece)
             parts.append(piece)
             if in_link:
                 linked += len(piece)
         if not tag:
-            close()
-            return out
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
             continue
-        ends = bool(tag[1] or tag[4])
+        name, ends = tag.name, tag.ends
+        if silent and name in BLOCK_TAGS:
+            while silent and not silent[-1][1]:
+                silent.pop()
+            if name == "body" and not ends:
+                silent.clear()
+        if silent and not ends and name in FLAT_TAGS | {"optgroup"}:
+            kind = "option" if name == "optgroup" else name
+            for j in range(len(silent) - 1, -1, -1):
+                if silent[j][0] == kind:
+                    del silent[j:]
+                    break
+        if silent and ends:
+            j = max((j for j, (held, _) in enumerate(silent) if held == name), default=-1)
+            if j >= 0:
+                del silent[j:]
+                if not silent:
+                    parts.append(" ")
+                continue
+            if name in BLOCK_TAGS and any(held == name for held, _ in stack):
+                silent.clear()
         if name in SILENT_TAGS:
-            if ends:
-                silent = max(0, silent - 1)
-            elif name in RAW_TAGS:
-                end = RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
-            elif name not in VOID_TAGS and not (tag[3] or "").endswith("/"):
-                silent += 1
+            if not ends and name not in RAW_TAGS and not tag.empty:
+                silent.append((name, k in ended))
             if not silent:
                 parts.append(" ")
             continue
-        if name in ("body", "article", "main") and silent:
-            silent = 0  # an element left open in the head does not hide the page
+        if silent:
+            if name in BLOCK_TAGS and not ends and not tag.empty:
+                silent.append((name, True))
+            continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
@@ -87,19 +152,21 @@ def blocks(page: str) -> list[Block]:
             close()
             in_link = 0
             if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                for j in range(len(stack) - 1, -1, -1):
+                    if stack[j][0] == name:
+                        del stack[j:]
                         break
             elif name not in VOID_TAGS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if name in CLOSED_BY.get(stack[k][0], ()):
-                        del stack[k:]
+                for j in range(len(stack) - 1, -1, -1):
+                    if name in CLOSED_BY.get(stack[j][0], ()):
+                        del stack[j:]
                         break
-                    if stack[k][0] in SCOPES:
+                    if stack[j][0] in SCOPES:
                         break
-                names = " ".join(a or b or c for a, b, c in NAMES.findall(tag[3] or tag[6] or "")).lower()
+                names = " ".join(a or b or c for a, b, c in NAMES.findall(tag.more)).lower()
                 stack.append((name, " ".join(PART.findall(names))))
+    close()
+    return out
 
 
 def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:

@@ -23,6 +23,22 @@ def test_blocks_read_broken_markup():
     assert blocks("") == [] and [b.text for b in blocks("plain")] == ["plain"] and blocks("<script>x") == []
 
 
+def test_left_out_end_tags_of_silent_elements():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<head><title>T</title><meta x><div>one</div><section>two</section>") == ["one", "two"]
+    assert texts("<head><style>p{}</style>plain") == ["plain"]
+    assert texts("<form><select><option>A<option>B</select></form><div>text</div>") == ["text"]
+    assert texts("<form><select><optgroup><option>A<optgroup><option>B</form><section>text</section>") == ["text"]
+    assert texts("<p>a <select><option>A<option selected>B</select> b</p><p>c") == ["a b", "c"]
+    assert texts("<input list=x><datalist id=x><option>A<option>B</datalist><p>text") == ["text"]
+    for name in ("button", "object", "svg", "select", "video"):
+        assert texts(f"<article><p>a<{name}>x</p><p>b</p><{name}>y<p>c</p><p>d <{name}>z</{name}> e</p></article>") == ["a", "b", "c", "d e"]
+    assert texts("<div>a<button><div>x</div>y</button>b</div>") == ["a b"]
+    assert texts("<object>x<object>y</object>z</object><p>text") == ["text"]
+    assert texts("<template><article>x</article></template><p>text") == ["text"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+
+
 def test_marginals_and_viterbi_match_enumeration():
     rng = np.random.default_rng(3)
     step = rng.normal(size=(2, 2))
