@@ -2,7 +2,8 @@
 
 A run holds, for each line key of one batch, a 128-bit hash and the number of documents with it, sorted by hash. New batches become
 runs of level 0; when a level holds ``fanout`` runs, they are merged into one run of the next level, so that n batches leave about
-fanout * log(n) runs. A new batch is joined with the runs before it adds its own.
+fanout * log(n) runs. ``dedup`` does not join a batch with the runs before it: a line is dropped by the number of all documents with it,
+so each batch adds its counts, and the counts of all runs are summed at the end. ``known`` asks the runs for the keys of a batch.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased. Lines whose key is empty never count as
 repeated. A key counts once per document, however often it stands there.
