@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bondwise.llm import text as text_rules
-from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash, token_rollup, warc
+from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash, token_rollup, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -216,3 +216,9 @@ def op2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, events in (("load", first), ("revise", moved), ("load", first), ("delete", gone), ("revise", moved)):
         rollup.commit(name, events)
     return rollup.totals()
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the sixteen leading components of the distinct ones, scaled to variance 1."""
+    return whitening.whitened_table(table(spark, sf_dir, "embeddings"))
