@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bondwise.llm import text as text_rules
-from bondwise.llm import decontaminate, forest, html_crf, language, licenses, lines, packing, simhash, spelling, token_rollup, warc, whitening
+from bondwise.llm import decontaminate, disclosure, forest, html_crf, language, licenses, lines, packing, simhash, spelling, token_rollup, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -253,3 +253,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, how many others are one edit away, and the frequent form each goes back to."""
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms near it that the corpus shows to give it away."""
+    return disclosure.report(table(spark, sf_dir, "documents"))
