@@ -31,16 +31,40 @@ def test_drop_matches_brute_force(spark):
     assert {r["text"] for r in lines.dedup(copies, 2, by_text=True).collect()} == {"once", ""}
 
 
-def test_runs_merge_by_level_and_keep_totals(spark):
-    docs = spark.createDataFrame([(k, f"l{k % 3}\nm{k}", "z", 0) for k in range(30)], SCHEMA)
-    runs = lines.LineRuns.fresh(spark, fanout=2)
+def test_runs_settle_keys_and_merge_by_level(spark):
+    docs = spark.createDataFrame([(k, f"l{k % 3}\nm{k}\nall", "z", 0) for k in range(35)], SCHEMA)
+    runs = lines.LineRuns.fresh(spark, min_docs=10, fanout=2)
+    added = []
     for k in range(7):
-        part = docs.filter(f"doc_id % 7 = {k}")
-        seen = {(r["h1"], r["h2"]) for r in runs.known(part).collect()}
-        runs.add(part)
-        assert len(seen) == (3 if k >= 1 else 0) and all(len(level) < 2 for level in runs.levels)
+        dealt = spark.table(runs.deal(lines.key_counts(docs.filter(f"doc_id % 7 = {k}")))).drop("batch")
+        left = runs.unsettled(dealt)
+        # batch and runs lie in equal buckets: every join merges without a shuffle
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == sum(len(level) for level in runs.levels)
+        added.append(left.count())
+        runs.add(dealt)
+        assert all(len(level) < 2 for level in runs.levels)
+    # 5 lines of their own and 3 or 4 shared ones a batch: the line of all is settled after two batches, the three others after six
+    assert added == [9, 9, 8, 8, 8, 8, 5]
     assert [len(level) for level in runs.levels] == [1, 1, 1]
-    assert sorted(r["docs"] for r in runs.totals().collect()) == [1] * 30 + [10] * 3
-    for path in runs.levels[2]:
-        for part in spark.read.parquet(path).rdd.glom().collect():
-            assert [(r["h1"], r["h2"]) for r in part] == sorted((r["h1"], r["h2"]) for r in part)
+    docs_of = sorted(r["docs"] for r in runs.totals().collect())
+    assert docs_of[:35] == [1] * 35 and all(n >= 10 for n in docs_of[35:]) and len(docs_of) == 39
+    top = spark.table(runs.levels[2][0])
+    for part in top.rdd.glom().collect():
+        assert [(r["h1"], r["h2"]) for r in part] == sorted((r["h1"], r["h2"]) for r in part)
+    assert sum(docs_of) == runs.totals().agg({"docs": "sum"}).first()[0] and runs.totals().select("h1", "h2").distinct().count() == 39
+
+
+def test_the_query_builds_three_levels(spark, monkeypatch):
+    seen = []
+    whole = lines.LineRuns.totals
+    monkeypatch.setattr(lines.LineRuns, "totals", lambda self: seen.append([len(level) for level in self.levels]) or whole(self))
+    lines.dedup(spark.createDataFrame([(k, f"a\nb{k}", "z", 0) for k in range(30)], SCHEMA)).count()
+    assert seen == [[1, 1, 1]]
+
+
+def test_a_line_of_most_documents_is_met_by_broadcast(spark):
+    docs = spark.createDataFrame([(k, f"Menu\nown {k}\n" + "pair" * (k % 3), "z", 0) for k in range(40)], SCHEMA)
+    out = lines.dedup(docs)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["n_dropped"] for r in out.collect()} == {1, 2}
