@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bondwise.llm.text import LOW_BYTE, rolling, spans_of_words, word_hashes
+from bondwise.llm.text import LOW_BYTE, packed, rolling, spans_of_words, unpacked, word_hashes
 
 N = 10
 SLICE_BYTES = 8 << 20
@@ -161,13 +161,14 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
-    """The documents without any benchmark window."""
-    return scan(docs, bench, n).filter(F.size("hit_spans") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """The documents without any benchmark window. All their columns stay as they are, whatever their names."""
+    found = scan(packed(docs, "text"), bench, n).filter(F.size("hit_spans") == 0)
+    return found.select(*unpacked(found, docs, ("text",)))
 
 
 def clean_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """All documents, with the words of benchmark windows cut out of their text."""
-    found = scan(docs, bench, n)
+    found = scan(packed(docs, "text"), bench, n)
     schema = found.schema
 
     def cut_out(batches):
@@ -182,4 +183,5 @@ def clean_spans(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return found.mapInArrow(cut_out, schema).select(*[f"`{c}`" for c in docs.columns])
+    done = found.mapInArrow(cut_out, schema)
+    return done.select(*unpacked(done, docs, ("text",)))

@@ -30,6 +30,19 @@ def ensure(docs: DataFrame, **kinds: str) -> DataFrame:
     return docs.withColumns({name: F.col(f"`{name}`").cast(kind) for name, kind in kinds.items()})
 
 
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns an operator reads, and all others as one struct ``rest``, where no result column can clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in read]
+    return docs.select(*[F.col(f"`{c}`") for c in read], F.struct(*rest, *([] if rest else [F.lit(True).alias("none")])).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, read: tuple[str, ...], **new: Column) -> list[Column]:
+    """The columns of ``docs`` from packed rows, in their order and types; ``new`` gives those that change."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    own = lambda c: new[c] if c in new else F.col(f"`{c}`") if c in read else F.col(f"rest.`{c}`")
+    return [own(c).cast(kinds[c]).alias(c) if c in new or c in read else own(c).alias(c) for c in docs.columns]
+
+
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     low = np.arange(256, dtype=np.uint64)
     low[65:91] += 32

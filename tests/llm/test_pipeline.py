@@ -58,6 +58,33 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == set(seen["pack"])
 
 
+CLASHING = [
+    ("lang_pred", "int"), ("score", "string"), ("n_lines", "int"), ("n_dropped", "string"), ("n_words", "long"), ("hit_spans", "string"), ("hit_items", "array<string>"), ("row", "string"), ("rest", "double"),
+    ("k1", "string"), ("_id", "string"), ("group_id", "string"), ("fp", "double"), ("h1", "string"), ("start", "string"), ("odd name.x", "string"), ("batch", "string"),
+]
+
+
+def test_own_columns_travel_unchanged(spark, tmp_path):
+    """Columns named like the results of the stages keep names, types and values; repeated rows and very long texts take part."""
+    rng = random.Random(9)
+    rows, item = corpus(rng)
+    rows.append((500, "word " * 300_000 + " ".join(words(rng, 40)), "en", "s", 1))
+    rows += [rows[3], rows[3]]
+    value = lambda kind, k: [str(k)] if kind.startswith("array") else k if kind in ("int", "long") else float(k) if kind == "double" else f"mine {k}"
+    wide = [(*r, *[value(kind, r[0]) for _, kind in CLASHING]) for r in rows]
+    named = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in CLASHING)
+    docs = spark.createDataFrame(wide, f"doc_id long, text string, lang string, source string, n_chars long, {named}")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes, name
+        out.write.parquet(str(tmp_path / f"wide{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"wide{k}"))
+        got = docs.collect()
+        assert len(got) > 60 and all(r[5 + j] == value(kind, r["doc_id"]) for r in got for j, (_, kind) in enumerate(CLASHING)), name
+    assert sum(r["doc_id"] == 500 for r in got) == 1 and sum(r["doc_id"] == 3 for r in got) == 1
+
+
 def test_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
