@@ -9,7 +9,7 @@ Stages read what the stage before kept, as written Parquet, and all but the last
 5. pack: all that is left, in sequences of 2048 tokens.
 
 Nulls and edges are those of the operators: null texts end in the first stage, rows repeated in full in the third; an empty table ends as an
-empty table of pieces; further columns travel with their documents.
+empty table of pieces; further columns travel with their documents unchanged, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -21,25 +21,21 @@ from pyspark.sql import functions as F
 
 from bondwise.llm import decontaminate, language, lines, packing, simhash
 from bondwise.llm.queries import table, vocabulary
+from bondwise.llm.text import packed, unpacked
 from bondwise.session import shared_dir
 
 
-def _as(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: learn from the labelled documents, drop those it finds to have no language."""
-    model = language.fit(docs)
-    return _as(language.predict(docs, model).filter(F.col("lang_pred") != language.UNKNOWN), docs.columns)
+    found = language.predict(packed(docs, "text"), language.fit(docs)).filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.select(*unpacked(found, docs, ("text",)))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go, the documents stay. Copies of a text count once; the next stage is for them."""
-    kept = lines.dedup(docs, by_text=True)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return _as(kept, docs.columns)
+    kept = lines.dedup(packed(docs, "doc_id", "text"), by_text=True)
+    new = {"n_chars": F.char_length("text")} if "n_chars" in docs.columns else {}
+    return kept.select(*unpacked(kept, docs, ("doc_id", "text"), **new))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
