@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bondwise.model import SITE_COLS, Snapshot
-from bondwise.operators.components import connected_components, members
 from bondwise.operators.draw import first_n
+from bondwise.operators.spanning import cut_labels, judge
 from bondwise.session import cut
 
 STATE_OPS = ("set_state", "inc_state", "dec_state")
@@ -175,24 +176,57 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
     return Snapshot(nodes, out), errors
 
 
-def still_connected(snap: Snapshot, complexes: DataFrame, edits: DataFrame, type_decl: DataFrame) -> DataFrame:
-    """(edit_id, connected): for each delete_bond, whether its two ends still share a complex after the batch.
+MATCH_ROW = "edit_id long, node_id long, site_idx long, connected boolean"
 
-    Only complexes that lose a bond are searched again; all others keep their labels.
+
+def still_connected(snap: Snapshot, complexes: DataFrame, edits: DataFrame) -> DataFrame:
+    """(edit_id, node_id, site_idx, connected): for each delete_bond, whether its two ends still share a complex after the edits of its own match.
+
+    A match is all rows with one edit_id; every match is judged on the snapshot as it is, whatever the others do. All bonds it deletes and adds count, also
+    those to nodes it adds. Only complexes that lose a bond are looked at, once for all matches; a match is then judged from the labels of its few links.
+    A match holds no more edits than a rule has operations, so its rows meet in one task. A bond from a node to itself leaves its ends connected.
     """
-    cuts = edits.filter("op = 'delete_bond'").select("edit_id", "node_id", "site_idx")
-    ends = cuts.join(snap.sites, ["node_id", "site_idx"]).filter("partner_node is not null").select(
-        "edit_id", "node_id", "partner_node"
+    gone = edits.filter("op = 'delete_bond'").select("edit_id", "node_id", "site_idx").join(
+        snap.sites.select("node_id", "site_idx", "partner_node", "partner_site"), ["node_id", "site_idx"]
+    ).filter("partner_node is not null")
+    gone = cut(gone, "cut-bonds")
+    hit = complexes.join(gone.select("node_id"), "node_id", "left_semi").select("complex_id").distinct()
+    inside = cut(complexes.join(hit, "complex_id", "left_semi").select("node_id", "complex_id"), "cut-complexes")
+    links = snap.links().join(inside.select(F.col("node_id").alias("node_a")), "node_a", "left_semi")
+    labelled, places = cut_labels(cut(links, "cut-links"), inside)
+    swap = (F.col("node_id") > F.col("partner_node")) | ((F.col("node_id") == F.col("partner_node")) & (F.col("site_idx") > F.col("partner_site")))
+    lower = lambda one, two: F.when(swap, F.col(two)).otherwise(F.col(one))
+    known = gone.withColumns({"node_a": lower("node_id", "partner_node"), "site_a": lower("site_idx", "partner_site")})
+    known = known.join(labelled.select("node_a", "site_a", "label", "first", "last"), ["node_a", "site_a"], "left")
+    at = lambda name, cx, place: places.select(F.col("node_id").alias(name), F.col("complex_id").alias(cx), F.col("place").alias(place))
+    known = known.join(at("node_id", "complex_id", "place"), "node_id").join(at("partner_node", "far_complex", "far_place"), "partner_node")
+    add = edits.filter("op = 'add_bond'").select("edit_id", "node_id", "partner_node").join(gone.select("edit_id").distinct(), "edit_id", "left_semi")
+    # a complex without deleted bonds is one piece, and so is a node that the match adds
+    home = complexes.select("node_id", "complex_id").join(places.select("node_id", "place"), "node_id", "left")
+    end = lambda name, cx, place: home.select(F.col("node_id").alias(name), F.col("complex_id").alias(cx), F.col("place").alias(place))
+    add = add.join(end("node_id", "complex_id", "place"), "node_id", "left").join(end("partner_node", "far_complex", "far_place"), "partner_node", "left")
+    add = add.withColumns({
+        "complex_id": F.coalesce("complex_id", "node_id"), "far_complex": F.coalesce("far_complex", "partner_node"),
+        "place": F.coalesce("place", F.lit(-1)), "far_place": F.coalesce("far_place", F.lit(-1)),
+    })
+    row = F.struct("node_id", "site_idx", "label", "first", "last", "complex_id", "place", "far_place", "far_complex")
+    rows = known.select("edit_id", F.lit(True).alias("cut"), row.alias("row")).unionByName(
+        add.withColumns({c: F.lit(None).cast("long") for c in ("site_idx", "label", "first", "last")}).select("edit_id", F.lit(False).alias("cut"), row.alias("row"))
     )
-    hit = complexes.join(ends.select("node_id"), "node_id", "left_semi").select("complex_id").distinct()
-    part = members(snap, complexes, hit)
-    after, _ = apply_edits(part, edits, type_decl, complexes)
-    after = Snapshot(after.nodes, cut(after.sites, "after-sites"))
-    parts = cut(connected_components(after.nodes, after.links()), "after-complexes")
-    a = parts.select("node_id", F.col("complex_id").alias("ca"))
-    b = parts.select(F.col("node_id").alias("partner_node"), F.col("complex_id").alias("cb"))
-    joined = ends.join(a, "node_id", "left").join(b, "partner_node", "left")
-    return joined.select("edit_id", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("connected"))
+    matches = rows.groupBy("edit_id").agg(F.collect_list(F.when(F.col("cut"), F.col("row"))).alias("gone"), F.collect_list(F.when(~F.col("cut"), F.col("row"))).alias("added"))
+
+    def each(batches):
+        for batch in batches:
+            out = {"edit_id": [], "node_id": [], "site_idx": [], "connected": []}
+            for edit_id, cuts, added in zip(*(batch.column(c).to_pylist() for c in ("edit_id", "gone", "added"))):
+                proper = [c for c in cuts if c["label"] is not None]
+                kept = [True] * (len(cuts) - len(proper)) + judge(proper, added)
+                for c, good in zip([c for c in cuts if c["label"] is None] + proper, kept):
+                    for name, value in (("edit_id", edit_id), ("node_id", c["node_id"]), ("site_idx", c["site_idx"]), ("connected", good)):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({name: pa.array(v, pa.bool_() if name == "connected" else pa.int64()) for name, v in out.items()})
+
+    return matches.mapInArrow(each, MATCH_ROW)
 
 
 def instantiate(copies: DataFrame, template: DataFrame, first_id: int) -> Snapshot:

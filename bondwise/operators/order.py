@@ -10,7 +10,7 @@ from bondwise.operators import skew
 from bondwise.session import cut
 
 
-def _in_parts(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def in_parts(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``rows`` laid out by range of (keys, values), written with their part number, which fixes the layout.
 
     A part holds a slice of a large group. Rows with equal values are told apart by ``tie``, a hash of all their
@@ -31,7 +31,7 @@ def _shifts(placed: DataFrame, keys: list[str], size) -> DataFrame:
 
 def ranked(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
     """Add ``rank`` (from 1 by values) and ``n`` per group: counted inside range parts and shifted by the parts before."""
-    placed = _in_parts(rows, keys, list(values))
+    placed = in_parts(rows, keys, list(values))
     inside = placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*values, "tie")))
     met = inside.join(_shifts(placed, keys, F.count(F.lit(1))), [*keys, "part"])
     return met.withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "part", "tie")
@@ -39,7 +39,7 @@ def ranked(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
 
 def running_sum(rows: DataFrame, keys: list[str], order: list[str], delta: str, name: str) -> DataFrame:
     """Add ``name``, the sum of ``delta`` over this row and those before it in its group."""
-    placed = _in_parts(rows, keys, order)
+    placed = in_parts(rows, keys, order)
     fine = W.partitionBy(*keys, "part").orderBy(*order, "tie").rowsBetween(W.unboundedPreceding, 0)
     met = placed.withColumn("inside", F.sum(delta).over(fine)).join(_shifts(placed, keys, F.sum(delta)), [*keys, "part"])
     return met.withColumn(name, F.col("shift") + F.col("inside")).drop("shift", "n", "part", "tie", "inside")

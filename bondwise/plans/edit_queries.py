@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bondwise.model import EDIT, SITE_COLS, TYPE_DECL, Slot, Snapshot, mol, observable, pattern
 from bondwise.operators import canonical, components, draw, edits, match
+from bondwise.operators.order import ranked
 from bondwise.plans.registry import query
 from bondwise.plans.tables import CUSTOMER, ORDER, customer_decl, customer_graph, kept, node_key, table
 from bondwise.session import cut, fresh_path
@@ -161,10 +162,69 @@ def still_connected(spark, sf):
     snap, cx = kept(customer_graph(spark, sf))
     o = table(spark, sf, "orders").filter("o_orderstatus = 'P'")
     batch = _edit(o, F.col("o_orderkey"), "delete_bond", node_key("o_orderkey", ORDER), F.lit(0))
-    r = edits.still_connected(snap, cx, batch, customer_decl(spark))
+    r = edits.still_connected(snap, cx, batch)
     return r.agg(F.count(F.lit(1)).alias("cut"), F.count_if("connected").alias("still_connected"))
 
 
+def order_rings(spark, sf):
+    """(snapshot, orders): a customer's orders form a chain by number, and the filled ones also hang on the customer, which closes rings.
+
+    ``Order(cust, prev, next)`` has sites 0, 1 and 2; the customer's site for an order is numbered by the order. An order knows its customer and the next order.
+    """
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    numbered = ranked(o, ["o_custkey"], "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus", "rank")
+    after = numbered.select("o_custkey", (F.col("rank") - 1).alias("rank"), F.col("o_orderkey").alias("next"))
+    o = cut(numbered.join(after, ["o_custkey", "rank"], "left").drop("rank"), "chained-orders")
+    customer = table(spark, sf, "customer")
+    nodes = customer.select(node_key("c_custkey", CUSTOMER).alias("node_id"), F.lit("Customer").alias("type")).unionByName(
+        o.select(node_key("o_orderkey", ORDER).alias("node_id"), F.lit("Order").alias("type"))
+    )
+    none, long = F.lit(None), lambda v: F.lit(v).cast("long")
+    me, kept = node_key("o_orderkey", ORDER), F.col("o_orderstatus") == "F"
+    site = lambda rows, node, kind, idx, name, far, far_site: rows.select(
+        node.alias("node_id"), F.lit(kind).alias("type"), idx.cast("long").alias("site_idx"), F.lit(name).alias("site_name"), none.cast("string").alias("state"),
+        far.alias("partner_node"), F.when(far.isNotNull(), far_site).cast("long").alias("partner_site"),
+    )
+    sites = (
+        site(o, me, "Order", long(0), "cust", F.when(kept, node_key("o_custkey", CUSTOMER)), F.col("o_orderkey"))
+        .unionByName(site(o, me, "Order", long(2), "next", node_key("next", ORDER), long(1)))
+        .unionByName(site(o.filter("next is not null"), node_key("next", ORDER), "Order", long(1), "prev", me, long(2)))
+        .unionByName(site(o.filter(kept), node_key("o_custkey", CUSTOMER), "Customer", F.col("o_orderkey"), "order", me, long(0)))
+    )
+    return Snapshot(nodes, sites.select(*SITE_COLS)), o
+
+
+@query(
+    """
+    WITH RECURSIVE o AS (SELECT o_orderkey k, o_custkey c, o_orderstatus s, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) nx FROM orders),
+    l AS (SELECT 'L' || k AS id, 'C' || c AS a, 'O' || k AS b FROM o WHERE s = 'F' UNION ALL SELECT 'N' || k, 'O' || k, 'O' || nx FROM o WHERE nx IS NOT NULL),
+    adj AS (SELECT id, a, b FROM l UNION ALL SELECT id, b, a FROM l),
+    gone AS (SELECT k, 'N' || k AS id, 2 AS site, 'O' || k AS a, 'O' || nx AS b FROM o WHERE nx IS NOT NULL
+             UNION ALL SELECT k, 'L' || k, 0, 'O' || k, 'C' || c FROM o WHERE k % 3 = 1 AND s = 'F'),
+    dels AS (SELECT k, list(id) AS ids FROM gone GROUP BY k),
+    extra AS (SELECT k, 'C' || c AS a, 'O' || nx AS b FROM o WHERE k % 3 = 2 AND nx IS NOT NULL UNION ALL SELECT k, 'O' || nx, 'C' || c FROM o WHERE k % 3 = 2 AND nx IS NOT NULL),
+    reach AS (
+      SELECT g.k, g.site, ids, g.a AS start, g.a AS here FROM gone g JOIN dels USING (k)
+      UNION SELECT r.k, r.site, r.ids, r.start, e.b FROM reach r JOIN (SELECT NULL::BIGINT AS k, id, a, b FROM adj UNION ALL SELECT k, '', a, b FROM extra) e
+        ON e.a = r.here AND (e.k IS NULL OR e.k = r.k) AND NOT list_contains(r.ids, e.id)
+    )
+    SELECT g.k AS edit_id, CAST(g.site AS BIGINT) AS site_idx, r.here IS NOT NULL AS connected
+    FROM gone g LEFT JOIN reach r ON r.k = g.k AND r.site = g.site AND r.here = g.b
+    """
+)
+def match_connectivity(spark, sf):
+    """One match per order, each judged by itself: all cut the link to the next order, a third also the one to the customer, a third add a bond from the customer to the next order."""
+    snap, o = order_rings(spark, sf)
+    snap, cx = kept(snap)
+    me, key, linked = node_key("o_orderkey", ORDER), F.col("o_orderkey"), o.filter("next is not null")
+    batch = (
+        _edit(linked, key, "delete_bond", me, F.lit(2))
+        .unionByName(_edit(o.filter("o_orderkey % 3 = 1 and o_orderstatus = 'F'"), key, "delete_bond", me, F.lit(0)))
+        .unionByName(_edit(linked.filter("o_orderkey % 3 = 2"), key, "add_bond", node_key("o_custkey", CUSTOMER), -key, far=node_key("next", ORDER), far_site=F.lit(3)))
+    )
+    return edits.still_connected(snap, cx, batch).select("edit_id", "site_idx", "connected")
+
+
 TEMPLATE = "species_id string, pos long, type string, site_idx long, site_name string, state string, partner_pos long, partner_site long"
 
 

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from bondwise.model import EDIT, TYPE_DECL, Slot, mol, observable, pattern
-from bondwise.operators import canonical, edits, match, quality
+from bondwise.operators import canonical, edits, match, quality, spanning
 from bondwise.operators.components import complexes_of
 from bondwise.session import fresh_path
 from bondwise.sources import snapshots, species
@@ -65,10 +67,69 @@ def test_still_connected(spark):
     nodes = {n: "R" for n in range(4)}
     sites = [(n, i, "s", None) for n in nodes for i in (0, 1)]
     ring = graph(spark, nodes, sites, [((k, 1), ((k + 1) % 4, 0)) for k in range(4)])
-    cx, d = complexes_of(ring), spark.createDataFrame([("R", 0, "s", []), ("R", 1, "s", [])], TYPE_DECL)
-    one = edits.still_connected(ring, cx, batch(spark, (1, "delete_bond", 0, 1)), d).collect()
-    two = edits.still_connected(ring, cx, batch(spark, (1, "delete_bond", 0, 1), (2, "delete_bond", 2, 1)), d).collect()
-    assert [r.connected for r in one] == [True] and {r.connected for r in two} == {False}
+    cx = complexes_of(ring)
+    one = edits.still_connected(ring, cx, batch(spark, (1, "delete_bond", 0, 1))).collect()
+    both = edits.still_connected(ring, cx, batch(spark, (1, "delete_bond", 0, 1), (1, "delete_bond", 2, 1))).collect()
+    apart = edits.still_connected(ring, cx, batch(spark, (1, "delete_bond", 0, 1), (2, "delete_bond", 2, 1))).collect()
+    joined = edits.still_connected(ring, cx, batch(spark, (1, "delete_bond", 0, 1), (1, "delete_bond", 2, 1), (1, "add_bond", 1, 5, None, 3, 5))).collect()
+    assert [r.connected for r in one] == [True] and [r.connected for r in both] == [False, False]
+    # two matches do not see each other's cuts
+    assert [r.connected for r in apart] == [True, True] and [r.connected for r in joined] == [True, True]
+
+
+def connected_by_search(links, gone, added, one, two):
+    near = {}
+    for a, b in [(a[0], b[0]) for a, b in links if (a, b) not in gone] + added:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, todo = {one}, [one]
+    while todo:
+        for n in near.get(todo.pop(), ()):
+            if n not in seen:
+                seen.add(n)
+                todo.append(n)
+    return two in seen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matches_are_judged_by_themselves_as_a_search_would(spark, seed):
+    rng = random.Random(seed)
+    n = 24
+    # sparse random links with parallel ones, rings, bridges and links from a node to itself
+    ends, links = {k: 0 for k in range(n)}, []
+    for _ in range(int(n * (0.9, 1.2, 1.6)[seed])):
+        a = rng.randrange(n)
+        b = a if rng.random() < 0.05 else min(n - 1, max(0, a + rng.choice((-2, -1, 1, 1, 2))))
+        link = ((a, ends[a]), (b, ends[b] + (a == b)))
+        ends[a] += 1
+        ends[b] += 1
+        links.append(link)
+    nodes = {k: "R" for k in range(n)}
+    snap = graph(spark, nodes, [(k, i, "s", None) for k in nodes for i in range(ends[k])], links)
+    cx = complexes_of(snap)
+    rows, want = [], {}
+    for match in range(60):
+        gone = rng.sample(links, rng.choice((1, 1, 2, 3)))
+        added = [(rng.randrange(n + 2), rng.randrange(n + 2)) for _ in range(rng.choice((0, 0, 1, 2)))]
+        added = [(x if x < n else 1000 + match, y) for x, y in added if y < n]
+        for link in gone:
+            (a, sa), (b, _) = link if rng.random() < 0.5 else link[::-1]
+            rows.append((match, "delete_bond", a, sa))
+            want[match, a, sa] = connected_by_search(links, gone, added, a, b)
+        rows += [(match, "add_bond", x, 50, None, y, 51) for x, y in added]
+    got = {(r.edit_id, r.node_id, r.site_idx): r.connected for r in edits.still_connected(snap, cx, batch(spark, *rows)).collect()}
+    assert got == want and set(want.values()) == {True, False}
+
+
+def test_tours_of_deep_and_wide_trees(spark):
+    """Places of a chain of 3000 nodes and of a star are those of a walk around them."""
+    deep = [(k, 0, k + 1, 1) for k in range(3000)]
+    wide = [(5000, k, 5001 + k, 0) for k in range(500)]
+    forest = spark.createDataFrame(deep + wide, "node_a long, site_a long, node_b long, site_b long")
+    cx = spark.createDataFrame([(k, 0) for k in range(3001)] + [(k, 5000) for k in range(5000, 5501)], "node_id long, complex_id long")
+    place = {(r.u, r.v): r.place for r in spanning.tours(forest, cx).collect()}
+    assert all(place[k, k + 1] == k and place[k + 1, k] == 5999 - k for k in range(3000))
+    assert all(place[5000, 5001 + k] == 2 * k and place[5001 + k, 5000] == 2 * k + 1 for k in range(500))
 
 
 def test_species_counts_can_be_set(spark):
