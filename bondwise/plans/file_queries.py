@@ -157,7 +157,7 @@ def report_sections(spark, sf):
     return files.read_reports(spark, path).select("model", "wall_s")
 
 
-def _write_documents(rows, path, tag):
+def write_documents(rows, path, tag):
     """Rows (model, line) as one XML document per model, its lines in between an opening and a closing one."""
     models_of = rows.select("model").distinct()
     edge = lambda at, text: models_of.select("model", F.lit(at).alias("at"), F.lit(text).alias("line"))
@@ -175,7 +175,7 @@ def model_parameters(spark, sf):
     path = fresh_path(spark, "xml")
     expr = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("2*k"), F.col("p_size").cast("string"))).otherwise(F.col("p_retailprice").cast("string"))
     line = F.concat(F.lit('<Parameter id="'), F.col("p_partkey").cast("string"), F.lit('" type="Constant" value="'), F.col("p_retailprice").cast("string"), F.lit('" expr="'), expr, F.lit('"/>'))
-    _write_documents(table(spark, sf, "part").select(F.translate("p_brand", "#", "-").alias("model"), line.alias("line")), path, "ListOfParameters")
+    write_documents(table(spark, sf, "part").select(F.translate("p_brand", "#", "-").alias("model"), line.alias("line")), path, "ListOfParameters")
     return models.read_parameters(spark, path).select("name", "expr", "value")
 
 
@@ -203,7 +203,7 @@ def model_lint(spark, sf):
     text = F.lit(RULE_XML)
     for name, value in fill.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
-    _write_documents(o.select(F.date_format("o_orderdate", "yyyy-MM").alias("model"), text.alias("line")), path, "ListOfReactionRules")
+    write_documents(o.select(F.date_format("o_orderdate", "yyyy-MM").alias("model"), text.alias("line")), path, "ListOfReactionRules")
     found = models.lint_models(spark, path)
     return found.groupBy("severity", "element").agg(F.count(F.lit(1)).alias("findings"))
 

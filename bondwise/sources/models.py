@@ -111,6 +111,31 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def observable_patterns(observables: DataFrame) -> DataFrame:
+    """(model, obs, kind, pattern_id, pattern, relation, quantity): rows of ``read_observables`` with their patterns named and their conditions read."""
+    quantity = F.col("pattern._quantity").try_cast("long")
+    name = F.concat_ws("/", "model", "obs_id", "pattern._id")
+    return observables.filter("pattern is not null").select("model", "obs", "kind", name.alias("pattern_id"), "pattern", F.col("pattern._relation").alias("relation"), quantity.alias("quantity"))
+
+
+def rule_patterns(rules: DataFrame) -> DataFrame:
+    """(pattern_id, pattern) of the reactants of ``read_rules``; ``pattern_id`` names model, rule and place."""
+    pats = rules.select("model", "rule_id", F.posexplode("reactants").alias("at", "pattern"))
+    return pats.select(F.concat_ws("/", "model", "rule_id", F.col("at").cast("string")).alias("pattern_id"), "pattern")
+
+
+def pricing_table(rules: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """(model, rule_id, symmetry, law, constants, formula, total_rate, pattern_ids): what ``catalogue.price_models`` reads."""
+    ids = F.transform(F.sequence(F.lit(0), F.size("reactants") - 1), lambda k: F.concat_ws("/", "model", "rule_id", k.cast("string")))
+    ids = F.when(F.size("reactants") > 0, ids).otherwise(F.array().cast("array<string>"))
+    rows = rules.withColumn("pattern_ids", F.coalesce(ids, F.array().cast("array<string>")))
+    if functions is None:
+        rows = rows.withColumn("formula", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(functions.select("model", F.col("name").alias("law_name"), F.col("expr").alias("formula")), ["model", "law_name"], "left")
+    return rows.select("model", "rule_id", "symmetry", "law", "constants", "formula", "total_rate", "pattern_ids")
+
+
 def pattern_sites(rules: DataFrame) -> DataFrame:
     """(model, rule_id, reactant, mol, type, site_id, site_name, state, bonds) of reactant patterns."""
     pats = rules.select("model", "rule_id", F.posexplode("reactants").alias("reactant", "p"))
