@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bondwise.model import SITE_COLS, Snapshot
+from bondwise.functions.combinatorics import distinct_sum, subsets
+from bondwise.model import SITE_COLS, Mol, Snapshot
 from bondwise.operators.draw import first_n
 from bondwise.operators.spanning import cut_labels, judge
 from bondwise.session import cut
@@ -176,6 +177,72 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
     return Snapshot(nodes, out), errors
 
 
+def touched_sites(snap: Snapshot, edits: DataFrame, type_decl: DataFrame) -> DataFrame:
+    """(edit_id, node_id, site_idx, type, site_name, state, partner_node, new_state, new_partner): an overlay of each match, the sites it touches before and after.
+
+    Every match sees its own edits only; nothing is written to the snapshot. Both ends of a bond are touched, and so are sites that a deleted node lets go.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    named = edits.filter(F.col("op").isin(*STATE_OPS, "add_bond", "delete_bond"))
+    change = lambda op, far, free: F.struct(op.alias("op"), F.col("new_state").alias("to_state"), far.alias("to_node"), F.lit(free).alias("free"))
+    state = F.when(F.col("op").isin(*STATE_OPS), F.col("op"))
+    near = named.select("edit_id", "node_id", "site_idx", F.when(F.col("op") == "delete_bond", change(none("string"), none("long"), True)).otherwise(
+        change(state, F.when(F.col("op") == "add_bond", F.col("partner_node")), False)).alias("x"))
+    bare = F.struct(none("string").alias("op"), none("string").alias("to_state"), none("long").alias("to_node"), F.lit(True).alias("free"))
+    far = edits.filter("op = 'add_bond'").select("edit_id", F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx"),
+                                                 F.struct(none("string").alias("op"), none("string").alias("to_state"), F.col("node_id").alias("to_node"), F.lit(False).alias("free")).alias("x"))
+    ends = snap.sites.filter("partner_node is not null")
+    let_go = edits.filter("op = 'delete_bond'").select("edit_id", "node_id", "site_idx").join(ends.select("node_id", "site_idx", "partner_node", "partner_site"), ["node_id", "site_idx"])
+    lost = edits.filter("op = 'delete_node'").select("edit_id", "node_id").join(ends.select("node_id", "partner_node", "partner_site"), "node_id")
+    freed = let_go.select("edit_id", "partner_node", "partner_site").unionByName(lost.select("edit_id", "partner_node", "partner_site"))
+    freed = freed.select("edit_id", F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx"), bare.alias("x"))
+    every = near.unionByName(far).unionByName(freed).groupBy("edit_id", "node_id", "site_idx").agg(
+        F.max("x.op").alias("op"), F.max("x.to_state").alias("to_state"), F.max("x.to_node").alias("to_node"), F.max("x.free").alias("free")
+    )
+    allowed = type_decl.select("type", "site_name", "allowed_states").dropDuplicates(["type", "site_name"])
+    rows = every.join(snap.sites.select("node_id", "site_idx", "type", "site_name", "state", "partner_node"), ["node_id", "site_idx"]).join(allowed, ["type", "site_name"], "left")
+    at = F.array_position("allowed_states", F.col("state")).cast("int")
+    step = F.when(F.col("op") == "inc_state", F.element_at("allowed_states", F.least(at + 1, F.size("allowed_states")))).when(F.col("op") == "dec_state", F.element_at("allowed_states", F.greatest(at - 1, F.lit(1))))
+    new_state = F.when(F.col("op") == "set_state", F.col("to_state")).when((at > 0) & F.col("op").isNotNull(), step).otherwise(F.col("state"))
+    new_partner = F.when(F.col("to_node").isNotNull(), F.col("to_node")).when(~F.col("free"), F.col("partner_node"))
+    return rows.select("edit_id", "node_id", "site_idx", "type", "site_name", "state", "partner_node", new_state.alias("new_state"), new_partner.alias("new_partner"))
+
+
+def constrained_after(snap: Snapshot, matches: DataFrame, edits: DataFrame, type_decl: DataFrame, include: tuple[Mol, ...] = (), exclude: tuple[Mol, ...] = ()) -> DataFrame:
+    """Matches (edit_id, node_id) whose node fits at least one of ``include`` and none of ``exclude`` once the match's own edits are made.
+
+    A node's condition counts are taken once for all its matches; each match adds what its touched sites change, so no match reads its node's other sites.
+    """
+    touched = touched_sites(snap, edits, type_decl).join(matches, ["edit_id", "node_id"], "left_semi")
+    before = touched.select("edit_id", "node_id", "type", "site_name", "state", "partner_node", F.lit(-1).alias("sign"))
+    after = touched.select("edit_id", "node_id", "type", "site_name", F.col("new_state").alias("state"), F.col("new_partner").alias("partner_node"), F.lit(1).alias("sign"))
+    moved = cut(before.unionByName(after), "overlay")
+    own = snap.sites.join(matches.select("node_id").distinct(), "node_id", "left_semi")
+
+    def fitting(m: Mol) -> DataFrame:
+        here = matches.join(snap.nodes.filter(F.col("type") == m.type), "node_id", "left_semi")
+        if not m.slots:
+            return here
+        names: dict[str, list] = {}
+        for s in m.slots:
+            names.setdefault(s.name, []).append(s)
+        label = {(n, b): f"n{k}_" + "_".join(map(str, b)) for k, (n, slots) in enumerate(names.items()) for b in subsets(len(slots))}
+        cond = lambda n, b: reduce(lambda x, y: x & y, (names[n][i].predicate() for i in b))
+        base = own.filter(F.col("type") == m.type).groupBy("node_id").agg(*[F.count_if(cond(*key)).alias(name) for key, name in label.items()])
+        delta = moved.groupBy("edit_id", "node_id").agg(*[F.sum(F.when(cond(*key), F.col("sign")).otherwise(0)).alias("d" + name) for key, name in label.items()])
+        rows = here.join(base, "node_id", "left").join(delta, ["edit_id", "node_id"], "left")
+        count = lambda n: lambda b: F.coalesce(label[n, b], F.lit(0)) + F.coalesce("d" + label[n, b], F.lit(0))
+        ways = reduce(lambda x, y: x * y, (distinct_sum(tuple(range(len(slots))), count(n)) for n, slots in names.items()))
+        return rows.filter(ways > 0).select("edit_id", "node_id")
+
+    kept = matches.select("edit_id", "node_id")
+    if include:
+        kept = kept.join(reduce(DataFrame.unionByName, (fitting(m).select("edit_id", "node_id") for m in include)), ["edit_id", "node_id"], "left_semi")
+    for m in exclude:
+        kept = kept.join(fitting(m).select("edit_id", "node_id"), ["edit_id", "node_id"], "left_anti")
+    return kept
+
+
 MATCH_ROW = "edit_id long, node_id long, site_idx long, connected boolean"
 
 

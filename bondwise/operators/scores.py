@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from bondwise.operators.draw import unit_hash
 from bondwise.operators.ensemble import sample_std
 from bondwise.operators.order import ranked
+from bondwise.session import cut
 
 # Fixed values of the published scoring rules.
 SCREEN_LIMIT = 5.0
@@ -317,35 +319,47 @@ def two_sample_scores(stats: DataFrame, ref: DataFrame, limit: float = TWO_SAMPL
     return per.withColumn("verdict", F.when(F.col("z") <= limit, "PASS").otherwise("FAIL"))
 
 
-def noise_floor(per_rep: DataFrame, sizes: tuple[int, ...] = CALIBRATED_N, splits: int = 20, seed: int = 7) -> DataFrame:
+def random_parts(sizes: DataFrame, n: int, splits: int, seed: int) -> DataFrame:
+    """(model, split, rank): ``n`` different ranks from 1 to the model's ``reps`` for each split, all choices alike likely (Floyd's method).
+
+    The draws come from MD5 digits. A split is a row with its n members, whatever the number of replicates; models with n replicates or fewer have none.
+    """
+    rows = sizes.filter(F.col("reps") > n).crossJoin(sizes.sparkSession.range(splits).withColumnRenamed("id", "split"))
+
+    def draw(members, j):
+        t = F.floor(unit_hash(F.lit(seed), F.col("model"), F.col("split"), F.lit(n), j) * j) + 1
+        return F.concat(members, F.array(F.when(F.array_contains(members, t), j).otherwise(t)))
+
+    chosen = F.aggregate(F.sequence(F.col("reps") - n + 1, F.col("reps")), F.array().cast("array<bigint>"), draw)
+    return rows.select("model", "split", F.explode(chosen).alias("rank"))
+
+
+def noise_floor(per_rep: DataFrame, sizes: tuple[int, ...] = CALIBRATED_N, splits: int = 500, seed: int = 7) -> DataFrame:
     """(model, tz_p95_n*, tz_p99_n*, tz_max_n*): integral z between random parts of one ensemble.
 
-    ``per_rep`` has integrals per (model, rep, obs). In split s, the n replicates of least hash form the sample
-    and the rest the reference; the largest z over observables of each split gives the null distribution.
+    ``per_rep`` has integrals per (model, rep, obs). In each split n replicates form the sample and the rest the reference; the largest z over observables of
+    each split gives the null distribution. Only the sample is gathered: the rest has what it lacks of the ensemble's own sums, taken about the mean.
     """
-    out = None
-    reps = per_rep.select("model", "rep").distinct()
-    drawn = reps.crossJoin(per_rep.sparkSession.range(splits).withColumnRenamed("id", "split"))
-    drawn = drawn.withColumn("u", F.xxhash64("model", "rep", "split", F.lit(seed)))
-    drawn = ranked(drawn, ["model", "split"], "u").select("model", "rep", "split", F.col("rank").alias("pos"))
-    rows = per_rep.join(drawn, ["model", "rep"])
+    reps = cut(ranked(per_rep.select("model", "rep").distinct(), ["model"], "rep").select("model", "rep", "rank", F.col("n").alias("reps")), "replicates")
+    mean = per_rep.groupBy("model", "obs").agg(F.avg("integral").alias("mean"))
+    rows = cut(per_rep.join(mean, ["model", "obs"]).join(reps.select("model", "rep", "rank"), ["model", "rep"]).select("model", "rank", "obs", (F.col("integral") - F.col("mean")).alias("x")), "centred")
+    sums = [F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("x").alias("k")]
+    whole = rows.groupBy("model", "obs").agg(*[c.alias(f"all_{n}") for c, n in zip(sums, "sqk")])
+    models = reps.groupBy("model").agg(F.max("reps").alias("reps"))
+    out = models.select("model")
     for n in sizes:
-        mine = F.when(F.col("pos") <= n, F.col("integral"))
-        rest = F.when(F.col("pos") > n, F.col("integral"))
-        parts = rows.groupBy("model", "split", "obs").agg(
-            F.avg(mine).alias("m1"), F.avg(rest).alias("m2"),
-            F.coalesce(F.stddev_samp(mine), F.lit(0.0)).alias("s1"), F.coalesce(F.stddev_samp(rest), F.lit(0.0)).alias("s2"),
-            F.count(mine).alias("n1"), F.count(rest).alias("n2"),
-        ).filter("n1 > 0 and n2 > 0")
-        se = F.sqrt(F.col("s1") * F.col("s1") / F.col("n1") + F.col("s2") * F.col("s2") / F.col("n2"))
-        tz = F.when(se >= ZERO_EPS, F.abs(F.col("m1") - F.col("m2")) / F.nullif(se, F.lit(0.0)))
+        members = random_parts(models, n, splits, seed)
+        parts = rows.join(members, ["model", "rank"]).groupBy("model", "split", "obs").agg(*sums).join(whole, ["model", "obs"]).filter("k > 0 and all_k > k")
+        rest = {c: F.col(f"all_{c}") - F.col(c) for c in "sqk"}
+        spread = lambda s, q, k: F.when(k > 1, F.greatest((q - s * s / k) / F.nullif(k - 1, F.lit(0)), F.lit(0.0))).otherwise(0.0) / k
+        se = F.sqrt(spread(F.col("s"), F.col("q"), F.col("k")) + spread(rest["s"], rest["q"], rest["k"]))
+        gap = F.abs(F.col("s") / F.col("k") - rest["s"] / rest["k"])
+        tz = F.when(se >= ZERO_EPS, gap / F.nullif(se, F.lit(0.0)))
         tops = parts.groupBy("model", "split").agg(F.coalesce(F.max(tz), F.lit(0.0)).alias("tz"))
         stats = tops.groupBy("model").agg(
-            F.percentile("tz", 0.95).alias(f"tz_p95_n{n}"),
-            F.percentile("tz", 0.99).alias(f"tz_p99_n{n}"),
-            F.max("tz").alias(f"tz_max_n{n}"),
+            F.percentile("tz", 0.95).alias(f"tz_p95_n{n}"), F.percentile("tz", 0.99).alias(f"tz_p99_n{n}"), F.max("tz").alias(f"tz_max_n{n}"),
         )
-        out = stats if out is None else out.join(stats, "model", "full")
+        out = out.join(stats, "model", "left")
     return out
 
 

@@ -13,7 +13,7 @@ from bondwise.functions.expressions import to_sql
 from bondwise.model import Mol, Observable, Pattern, Snapshot
 from bondwise.operators.match import local_values, pinned_counts, seed_counts
 
-KINDS = ("elementary", "total", "michaelis_menten")
+KINDS = ("elementary", "total", "michaelis_menten", "local", "product")
 
 
 @dataclass(frozen=True)
@@ -24,37 +24,54 @@ class Rule:
     Michaelis-Menten it is the turnover number and ``km`` the half-saturation. ``context`` marks reactants the
     rule leaves as they are, which count once per complex. ``same_site`` names the reacting slots of two like
     reactants. ``same_complex_ok`` lets two reactants of one complex meet.
+
+    A "local" rule of one reactant sums its law over the matches; a "product" rule of two sums ``law`` at the first times ``law_b`` at the second over
+    pairs of matches, where a law that is None is 1. Names of ``local`` observables are read at the matched node, or at its complex where ``scopes`` says so.
+    A context reactant of such a rule is priced at the canonically first match of its complex.
     """
 
     name: str
     reactants: tuple[Pattern, ...]
-    law: str
+    law: str | None
     kind: str = "elementary"
     symmetry: float = 1.0
     context: tuple[bool, ...] = ()
     same_site: tuple[int, int] | None = None
     same_complex_ok: bool = True
     km: str | None = None
+    law_b: str | None = None
+    local: tuple[Observable, ...] = ()
+    scopes: tuple[str, ...] = ()
 
     def is_context(self, i: int) -> bool:
         return i < len(self.context) and self.context[i]
 
 
-def context_tally(counts: DataFrame, complexes: DataFrame, place: DataFrame | None = None) -> DataFrame:
-    """(node_id, c): one match per complex, held by its lowest node or, with ``place``, its canonically first one."""
+def context_tally(counts: DataFrame, complexes: DataFrame, colours: DataFrame | None = None) -> DataFrame:
+    """(node_id, c): one match per complex, held by its lowest node or, with ``colours``, by its canonically first one.
+
+    ``colours`` are those of ``canonical.classes``, which copies of a complex share however they were built. The first match has the least colour; matches of
+    equal colour can be mapped on each other, so it makes no difference which of them is taken, and no node needs a number.
+    """
     rows = counts.join(complexes, "node_id")
     first = F.min("node_id")
-    if place is not None:
-        rows = rows.join(place.select("node_id", "pos"), "node_id")
-        first = F.min_by("node_id", "pos")
+    if colours is not None:
+        rows = rows.join(colours.select("node_id", "c1", "c2"), "node_id")
+        first = F.min_by("node_id", F.struct("c1", "c2", "node_id"))
     return rows.groupBy("complex_id").agg(first.alias("node_id")).select("node_id", F.lit(1).cast("long").alias("c"))
 
 
-def reactant_counts(snap: Snapshot, rule: Rule, complexes: DataFrame | None) -> list[DataFrame]:
+def reactant_counts(snap: Snapshot, rule: Rule, complexes: DataFrame | None, colours: DataFrame | None = None) -> list[DataFrame]:
     found = []
     for i, p in enumerate(rule.reactants):
         counts = seed_counts(snap, p, complexes)
-        found.append(context_tally(counts, complexes) if rule.is_context(i) else counts)
+        if rule.is_context(i):
+            # only a law read at the node itself tells the matches of one complex apart
+            by_node = rule.kind in ("local", "product") and rule.local and (rule.scopes[i] if i < len(rule.scopes) else "node") == "node"
+            if by_node and colours is None:
+                raise ValueError(f"rule {rule.name!r} prices a context reactant by node and needs colours")
+            counts = context_tally(counts, complexes, colours if by_node else None)
+        found.append(counts)
     return found
 
 
@@ -98,7 +115,7 @@ def _weights(counts: list[DataFrame]) -> DataFrame:
     return merged.groupBy("node_id").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)])
 
 
-def score_rules(snap: Snapshot, rules: list[Rule], symbols: DataFrame, complexes: DataFrame | None = None) -> DataFrame:
+def score_rules(snap: Snapshot, rules: list[Rule], symbols: DataFrame, complexes: DataFrame | None = None, colours: DataFrame | None = None) -> DataFrame:
     """(rule, n_1 .. n_k, rate, clamped, share): the price of every rule on the snapshot.
 
     ``symbols`` is one wide row with parameters, observables and ``time``. A rule's table never holds more than
@@ -110,13 +127,16 @@ def score_rules(snap: Snapshot, rules: list[Rule], symbols: DataFrame, complexes
         if rule.kind not in KINDS:
             raise ValueError(f"unknown kind {rule.kind!r}")
         k = len(rule.reactants)
-        counts = reactant_counts(snap, rule, complexes)
+        counts = reactant_counts(snap, rule, complexes, colours)
         row = symbols
         for i, c in enumerate(counts):
             row = row.crossJoin(c.agg(F.coalesce(F.sum("c").cast("double"), F.lit(0.0)).alias(f"reactant_{i + 1}")))
         n = [F.col(f"reactant_{i + 1}") for i in range(k)]
-        law = F.expr(to_sql(rule.law)).cast("double")
-        if rule.kind == "total":
+        law = F.lit(1.0) if rule.law is None or rule.kind in ("local", "product") else F.expr(to_sql(rule.law)).cast("double")
+        if rule.kind in ("local", "product"):
+            row = row.crossJoin(factor_sums(snap, rule, counts, symbols, complexes))
+            rate = (F.col("sum_1") * (F.col("sum_2") if k == 2 else 1.0) - F.col("pairs")) * rule.symmetry
+        elif rule.kind == "total":
             rate = rates.total_rate(law, n)
         elif rule.kind == "michaelis_menten":
             s, e = rates.with_symmetry(n[0], n[1], rule.symmetry, rule.is_context(0), rule.is_context(1))
@@ -148,13 +168,15 @@ def score_rules(snap: Snapshot, rules: list[Rule], symbols: DataFrame, complexes
     return every.crossJoin(F.broadcast(total)).withColumn("share", share).drop("total")
 
 
-def local_rate_sum(snap: Snapshot, weights: DataFrame, local: list[Observable], law: str, symbols: DataFrame,
-                   complexes: DataFrame | None = None, scope: str = "node") -> DataFrame:
-    """(total): sum over matches of weight times the law at the matched node.
+def local_weights(snap: Snapshot, weights: DataFrame, local: tuple[Observable, ...] | list[Observable], law: str | None, symbols: DataFrame,
+                  complexes: DataFrame | None = None, scope: str = "node") -> DataFrame:
+    """(node_id, c): each match weight times the law at the matched node; a law that is None is 1.
 
     Observables listed in ``local`` are read at the node, or its complex for scope "complex"; all other names
     come from the one-row ``symbols`` table and keep their global value.
     """
+    if law is None:
+        return weights.select("node_id", F.col("c").cast("double").alias("c"))
     names = [o.name for o in local]
     rows = weights
     for o in local:
@@ -162,7 +184,37 @@ def local_rate_sum(snap: Snapshot, weights: DataFrame, local: list[Observable],
         rows = rows.join(values, "node_id", "left").withColumn(o.name, F.coalesce(o.name, F.lit(0)))
     rest = [c for c in symbols.columns if c not in names]
     rows = rows.crossJoin(F.broadcast(symbols.select(*rest)))
-    return rows.agg(F.coalesce(F.sum(F.col("c") * F.expr(to_sql(law)).cast("double")), F.lit(0.0)).alias("total"))
+    return rows.select("node_id", (F.col("c") * F.expr(to_sql(law)).cast("double")).alias("c"))
+
+
+def local_rate_sum(snap: Snapshot, weights: DataFrame, local: list[Observable], law: str, symbols: DataFrame,
+                   complexes: DataFrame | None = None, scope: str = "node") -> DataFrame:
+    """(total): sum over matches of weight times the law at the matched node, as in ``local_weights``."""
+    rows = local_weights(snap, weights, local, law, symbols, complexes, scope)
+    return rows.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("total"))
+
+
+def factor_sums(snap: Snapshot, rule: Rule, counts: list[DataFrame], symbols: DataFrame, complexes: DataFrame | None) -> DataFrame:
+    """(sum_1, sum_2, pairs): factor sums of both sides, and what pairs that may not meet add to their product.
+
+    The sum over pairs is bilinear, so it is the product of the sides' sums; pairs in one complex, or of a node with itself, leave as sums of per-complex or
+    per-node products. No pair is formed.
+    """
+    if rule.kind == "local" and len(counts) != 1 or rule.kind == "product" and len(counts) != 2:
+        raise ValueError(f"rule {rule.name!r}: a local law takes one reactant, a product law two")
+    scope = lambda i: rule.scopes[i] if i < len(rule.scopes) else "node"
+    sides = [local_weights(snap, c, rule.local, law, symbols, complexes, scope(i)) for i, (c, law) in enumerate(zip(counts, (rule.law, rule.law_b)))]
+    total = lambda rows, name: rows.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias(name))
+    row = total(sides[0], "sum_1")
+    if len(sides) == 1:
+        return row.withColumns({"sum_2": F.lit(1.0), "pairs": F.lit(0.0)})
+    row = row.crossJoin(total(sides[1], "sum_2"))
+    if not rule.same_complex_ok:
+        return row.crossJoin(same_complex_pairs(*sides, complexes))
+    if rule.same_site:
+        own = sides[0].select("node_id", F.col("node_id").alias("complex_id")).unionByName(sides[1].select("node_id", F.col("node_id").alias("complex_id"))).distinct()
+        return row.crossJoin(same_complex_pairs(*sides, own))
+    return row.withColumn("pairs", F.lit(0.0))
 
 
 def first_clamps(rates_over_time: DataFrame) -> DataFrame:

@@ -225,6 +225,31 @@ def match_connectivity(spark, sf):
     return edits.still_connected(snap, cx, batch).select("edit_id", "site_idx", "connected")
 
 
+@query(
+    """
+    WITH o AS (SELECT o_orderkey k, o_custkey c, substr(o_orderpriority, 1, 1) p FROM orders),
+    n AS (SELECT c, count(*) FILTER (p = '3') n3 FROM o GROUP BY 1)
+    SELECT k AS edit_id FROM o JOIN n USING (c) JOIN customer ON c_custkey = c
+    WHERE (p = '1' OR n3 - CASE WHEN p = '3' THEN 1 ELSE 0 END >= 2) AND k % 2 = 1 AND c_mktsegment <> 'MACHINERY'
+    """
+)
+def constrained_after(spark, sf):
+    """One match per order that cuts its link, and for even numbers moves the customer to another segment; the constraints hold on the customer as the match leaves it.
+
+    Kept are matches after which an urgent site is free or two medium orders are still linked, unless the customer is then in the excluded segment.
+    """
+    snap = customer_graph(spark, sf)
+    o = table(spark, sf, "orders")
+    at, key = node_key("o_custkey", CUSTOMER), F.col("o_orderkey")
+    batch = _edit(o, key, "delete_bond", node_key("o_orderkey", ORDER), F.lit(0)).unionByName(
+        _edit(o.filter("o_orderkey % 2 = 0"), key, "set_state", at, F.lit(0), F.lit("MACHINERY"))
+    )
+    matches = o.select(key.alias("edit_id"), at.alias("node_id"))
+    include = (mol("Customer", Slot("order", "1", "free")), mol("Customer", Slot("order", "3", "bound"), Slot("order", "3", "bound")))
+    exclude = (mol("Customer", Slot("seg", "MACHINERY")),)
+    return edits.constrained_after(snap, matches, batch, customer_decl(spark), include, exclude).select("edit_id")
+
+
 TEMPLATE = "species_id string, pos long, type string, site_idx long, site_name string, state string, partner_pos long, partner_site long"
 
 

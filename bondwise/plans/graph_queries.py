@@ -359,15 +359,35 @@ def name_ranks(spark, sf):
 
 @query(
     """
-    SELECT c_custkey * 4 AS node_id, CAST(1 AS BIGINT) AS pos FROM customer
+    WITH o AS (SELECT c_custkey k, c_mktsegment seg, o_orderstatus || substr(o_orderpriority, 1, 1) s FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
+    c AS (SELECT k, 1 + count(s) AS n, seg || ':' || coalesce(string_agg(s, ',' ORDER BY s), '') AS form FROM o GROUP BY k, seg)
+    SELECT CAST(n AS BIGINT) AS nodes, CAST(count(*) AS BIGINT) AS complexes, CAST(sum(n * (n + 1) / 2) AS BIGINT) AS places, CAST(count(*) AS BIGINT) AS customers_first,
+           CAST(count(DISTINCT form) AS BIGINT) AS forms, CAST(count(DISTINCT form) AS BIGINT) AS spellings FROM c GROUP BY 1
     """
 )
 def canonical_positions(spark, sf):
-    """The canonical place of every customer: its type sorts first in each complex."""
+    """Complexes read out in canonical order, by size: places run from 1, customers come first, and alike complexes read alike.
+
+    ``forms`` counts complexes that differ as multisets of orders, ``spellings`` those that differ when their nodes are read by place: the places of alike
+    complexes agree just when both are equal.
+    """
     snap, cx = kept(customer_graph(spark, sf))
     _, colours, half = canonical.classes(snap, cx)
-    place = canonical.positions(colours, snap.nodes, half)
-    return place.filter("type = 'Customer'").select("node_id", F.col("pos").cast("long").alias("pos"))
+    place = cut(canonical.positions(colours, snap.nodes, half), "places")
+    # an order is told by its own state and that of the customer's site for it; equal places and texts are summed as hashes, so a complex is never one row
+    far = snap.sites.filter("type = 'Customer' and partner_node is not null").select(F.col("partner_node").alias("node_id"), F.col("state").alias("far_state"))
+    own = snap.sites.filter("site_name in ('seg', 'status')").select("node_id", "state")
+    text = F.concat(F.col("state"), F.coalesce("far_state", F.lit("")))
+    told = place.join(own, "node_id").join(far, "node_id", "left").select("complex_id", "pos", "type", text.alias("t"))
+    wide = lambda *cols: F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+    per = told.groupBy("complex_id").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum("pos").alias("places"), F.max(((F.col("type") == "Customer") & (F.col("pos") == 1)).cast("long")).alias("first"),
+        F.struct(wide("t"), wide("t", F.lit("b"))).alias("form"), F.struct(wide("pos", "t"), wide("pos", "t", F.lit("b"))).alias("spelling"),
+    )
+    return per.groupBy("nodes").agg(
+        F.count(F.lit(1)).alias("complexes"), F.sum("places").cast("long").alias("places"), F.sum("first").alias("customers_first"),
+        F.countDistinct("form").alias("forms"), F.countDistinct("spelling").alias("spellings"),
+    )
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bondwise.functions import expressions, params, rates, tfun
 from bondwise.model import Slot, mol, observable, pattern
-from bondwise.operators import match, scoring
+from bondwise.operators import canonical, match, scoring
 from bondwise.plans.registry import query
 from bondwise.plans.tables import customer_graph, kept, line_graph, table, timed_events
 
@@ -172,6 +172,33 @@ def rule_rates(spark, sf):
     return r.select("rule", "n_1", "n_2", "n_3", F.round(F.col("rate") / 1e3, 4).alias("rate"), "clamped", F.round("share", 9).alias("share"))
 
 
+@query(
+    """
+    WITH c AS (SELECT o_custkey k, (count(*) FILTER (o_orderstatus = 'F'))::DOUBLE f, (count(*) FILTER (o_orderstatus = 'O'))::DOUBLE o FROM orders GROUP BY 1),
+    t AS (SELECT sum(f) f, sum(o) o, count(*) FILTER (f > 0) cf FROM c),
+    p AS (SELECT sum(0.02 * a.f * a.f * 2 * b.o) twice, sum(0.02 * a.f * a.f * b.o) half, sum(CASE WHEN a.f > 0 THEN 0.02 * b.o ELSE 0 END) context FROM c a JOIN c b ON a.k <> b.k),
+    r AS (SELECT 'local' AS rule, f AS n_1, NULL::DOUBLE AS n_2, (SELECT sum(0.02 * f * f) FROM c) AS rate FROM t UNION ALL SELECT 'product', f, o, twice FROM t, p
+          UNION ALL SELECT 'half', f, o, half * 0.5 FROM t, p UNION ALL SELECT 'context', cf, o, context FROM t, p)
+    SELECT rule, n_1, n_2, round(rate / 1e3, 4) AS rate, round(rate / (SELECT sum(rate) FROM r), 9) AS share FROM r
+    """
+)
+def product_rates(spark, sf):
+    """Laws read at each match: a sum, products of two sums with and without a factor on the second side, and a context side priced once per complex."""
+    snap, cx = kept(customer_graph(spark, sf))
+    f, o = (pattern(mol("Order", Slot("status", s))) for s in "FO")
+    near = pattern(mol("Customer", Slot("order", None, 1)), mol("Order", Slot("cust", None, 1), Slot("status", "F")))
+    filled, open_ = observable("filled", "Molecules", f), observable("open", "Molecules", o)
+    symbols = spark.range(1).select(F.lit(0.02).alias("k"))
+    rules = [
+        scoring.Rule("local", (f,), "k*filled", kind="local", local=(filled,), scopes=("complex",)),
+        scoring.Rule("product", (f, o), "k*filled", kind="product", law_b="1 + open", local=(filled, open_), scopes=("complex", "node"), same_complex_ok=False),
+        scoring.Rule("half", (f, o), "k*filled", kind="product", symmetry=0.5, local=(filled,), scopes=("complex",), same_complex_ok=False),
+        scoring.Rule("context", (near, o), "k*(1 + filled)", kind="product", local=(filled,), context=(True, False), same_complex_ok=False),
+    ]
+    r = scoring.score_rules(snap, rules, symbols, cx, canonical.classes(snap, cx)[1])
+    return r.select("rule", "n_1", "n_2", F.round(F.col("rate") / 1e3, 4).alias("rate"), F.round("share", 9).alias("share"))
+
+
 @query(
     """
     WITH c AS (SELECT o_custkey k, count(*) FILTER (o_orderstatus = 'F') f, count(*) n FROM orders GROUP BY 1),

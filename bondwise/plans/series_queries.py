@@ -212,15 +212,41 @@ def two_sample_verdict(spark, sf):
     return v.select("model", F.round("z", 6).alias("z"), "verdict")
 
 
-@query()
+UNIT = "((('0x' || substr(md5(concat_ws('|', {})), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+
+
+@query(
+    DAILY
+    + f"""
+    ints AS (SELECT model, rep, obs, sum(0.5 * (value + prev) * (time - before)) AS x FROM (
+        SELECT *, lag(value) OVER w AS prev, lag(time) OVER w AS before FROM traj WINDOW w AS (PARTITION BY model, rep, obs ORDER BY step)) GROUP BY ALL),
+    ranks AS (SELECT model, rep, row_number() OVER (PARTITION BY model ORDER BY rep) AS r, count(*) OVER (PARTITION BY model) AS reps FROM (SELECT DISTINCT model, rep FROM ints)),
+    models AS (SELECT model, max(reps) AS reps FROM ranks GROUP BY 1),
+    splits AS (SELECT model, reps, n, split FROM models, (SELECT unnest([2, 3, 10]) AS n), (SELECT unnest(range(500)) AS split) WHERE reps > n),
+    chosen AS (SELECT model, n, split, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(reps - n + 1, reps + 1), lambda j: [j])), lambda acc, j: CASE
+          WHEN list_contains(acc, CAST(floor({UNIT.format("7, model, split, n, j[1]")} * j[1]) AS BIGINT) + 1) THEN list_append(acc, j[1])
+          ELSE list_append(acc, CAST(floor({UNIT.format("7, model, split, n, j[1]")} * j[1]) AS BIGINT) + 1) END) AS members FROM splits),
+    cells AS (SELECT c.model, n, split, obs, x, list_contains(members, r) AS mine FROM chosen c JOIN ranks USING (model) JOIN ints USING (model, rep)),
+    parts AS (SELECT model, n, split, obs, avg(x) FILTER (mine) m1, avg(x) FILTER (NOT mine) m2, coalesce(var_samp(x) FILTER (mine), 0) v1, coalesce(var_samp(x) FILTER (NOT mine), 0) v2,
+          count(*) FILTER (mine) k1, count(*) FILTER (NOT mine) k2 FROM cells GROUP BY ALL),
+    zs AS (SELECT model, n, split, CASE WHEN sqrt(v1 / k1 + v2 / k2) >= 1e-9 THEN abs(m1 - m2) / sqrt(v1 / k1 + v2 / k2) END AS z FROM parts WHERE k1 > 0 AND k2 > 0),
+    tops AS (SELECT model, n, split, coalesce(max(z), 0) AS z FROM zs GROUP BY ALL),
+    stats AS (SELECT model, {", ".join(f"quantile_cont(z, 0.95) FILTER (n = {n}) tz_p95_n{n}, quantile_cont(z, 0.99) FILTER (n = {n}) tz_p99_n{n}, max(z) FILTER (n = {n}) tz_max_n{n}" for n in (2, 3, 10))} FROM tops GROUP BY 1)
+    SELECT models.model, {", ".join(f"round(tz_p95_n{n}, 4) AS tz_p95_n{n}, round(tz_p99_n{n}, 4) AS tz_p99_n{n}, round(tz_max_n{n}, 4) AS tz_max_n{n}" for n in (2, 3, 10))},
+        round(greatest(5.0, 1.2 * coalesce(tz_p99_n10, 0)), 4) AS t_model,
+        CAST(CASE WHEN coalesce(tz_p99_n10, 0) <= 5.0 / 1.2 THEN 10 ELSE greatest(10, least(ceil(10 * pow(tz_p99_n10 / (5.0 / 1.2), 2)), 100)) END AS BIGINT) AS reps
+    FROM models LEFT JOIN stats USING (model)
+    """
+)
 def noise_floor(spark, sf):
-    """Null distribution of the integral z by random splits, with the limits it implies; splits follow Spark's hash."""
+    """Null distribution of the integral z by 500 random splits into 2, 3 or 10 replicates and the rest, with the limits it implies."""
     daily = cut(daily_counts(spark, sf), "daily")
     floor = scores.noise_floor(ensemble.integrals(daily))
     n = F.lit(10)
+    stats = [f"tz_{s}_n{k}" for k in scores.CALIBRATED_N for s in ("p95", "p99", "max")]
     return floor.select(
-        "model", "tz_p95_n10", "tz_p99_n10", "tz_max_n10", scores.threshold(scores.noise_stat("tz_p99", n)).alias("t_model"),
-        scores.adaptive_reps(F.col("tz_p99_n10"), n).alias("reps"),
+        "model", *[F.round(c, 4).alias(c) for c in stats], F.round(scores.threshold(scores.noise_stat("tz_p99", n)), 4).alias("t_model"),
+        scores.adaptive_reps(F.col("tz_p99_n10"), n).cast("long").alias("reps"),
     )
 
 
@@ -604,3 +630,21 @@ def weighted_sample(spark, sf):
     """A hundred lines drawn by quantity, from the MD5 digits of their keys."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return draw.weighted_sample(lines, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "l_quantity", 100, 7).drop("key")
+
+
+@query(
+    f"""
+    WITH o AS (SELECT o_custkey c, o_orderkey + 1 AS site, substr(o_orderpriority, 1, 1) AS p FROM orders),
+    e AS (SELECT a.c, a.site AS s0, b.site AS s1, d.site AS s2, row_number() OVER (PARTITION BY a.c ORDER BY a.site, b.site, d.site) - 1 AS place, count(*) OVER (PARTITION BY a.c) AS total
+          FROM o a JOIN o b ON a.c = b.c AND a.site <> b.site JOIN o d ON a.c = d.c AND d.site <> a.site AND d.site <> b.site WHERE a.p = '1' AND d.p = '2')
+    SELECT c AS draw_id, s0, s1, s2 FROM e WHERE place = CAST(floor({UNIT.format("'pick', c")} * total) AS BIGINT)
+    """
+)
+def drawn_embeddings(spark, sf):
+    """For every customer one of the ways to place an urgent order, any order and a high order, all different; none is listed but the one drawn."""
+    from bondwise.model import Slot, mol
+    from bondwise.plans.tables import CUSTOMER, customer_graph, node_key
+
+    m = mol("Customer", Slot("order", "1"), Slot("order"), Slot("order", "2"))
+    draws = table(spark, sf, "customer").select(F.col("c_custkey").alias("draw_id"), node_key("c_custkey", CUSTOMER).alias("node_id"), draw.unit_hash(F.lit("pick"), F.col("c_custkey")).alias("u"))
+    return draw.draw_embeddings(customer_graph(spark, sf), m, draws).drop("node_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bondwise.model import EDIT, TYPE_DECL, Slot, mol, observable, pattern
 from bondwise.operators import canonical, edits, match, quality, spanning
 from bondwise.operators.components import complexes_of
-from bondwise.session import fresh_path
+from bondwise.session import cut, fresh_path
 from bondwise.sources import snapshots, species
 from bondwise.streaming.feed import CountFeed
 from tests.graphs import graph
@@ -207,3 +207,25 @@ def test_feed_equals_recount_and_resumes(spark, tmp_path):
         assert quality.tracked_differences(feed.totals(n), recount).count() == 0
     assert {r.obs: r.value for r in feed.totals(2).collect()} == {"p": 2, "links": 4, "big": 1}
     assert {r.obs: r.value for r in feed.compact(2, str(tmp_path / "next")).totals(2).collect()} == {"p": 2, "links": 4, "big": 1}
+
+
+def test_constraints_hold_on_the_edited_match(spark):
+    """The overlay of each match against the snapshot really edited by that match alone."""
+    snap, d = chain(spark), decl(spark)
+    steps = [
+        (1, ("set_state", 1, 2, "q")), (2, ("inc_state", 1, 2)), (3, ("add_bond", 4, 0, None, 1, 0)), (4, ("delete_bond", 2, 1)), (5, ("delete_node", 3)), (6, ("dec_state", 2, 2)),
+        (7, ("delete_bond", 1, 1)), (7, ("set_state", 1, 2, "p")),
+    ]
+    e = batch(spark, *[(k, *s) for k, s in steps])
+    mols = [mol("A", Slot("m", "q")), mol("A", Slot("s", None, "bound"), Slot("s", None, "bound")), mol("A", Slot("s", None, "free"), Slot("s", None, "free")), mol("A", Slot("m", "p"), Slot("s", None, "free"))]
+    seeds = spark.createDataFrame([(k, n) for k in range(1, 8) for n in (1, 2, 4)], "edit_id long, node_id long")
+    every = {(k, n) for k in range(1, 8) for n in (1, 2, 4)}
+    want = {m: set() for m in mols}
+    for k in range(1, 8):
+        after, _ = edits.apply_edits(snap, e.filter(f"edit_id = {k}"), d)
+        after.sites = cut(after.sites, "one-match")
+        for m in mols:
+            want[m] |= {(k, r.node_id) for r in match.node_counts(after, m).collect()} & every
+    for m in mols:
+        got = {(r.edit_id, r.node_id) for r in edits.constrained_after(snap, seeds, e, d, include=(m,), exclude=(mols[0],) if m is not mols[0] else ()).collect()}
+        assert got == (want[m] - want[mols[0]] if m is not mols[0] else want[m]) and want[m]

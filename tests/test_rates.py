@@ -1,4 +1,5 @@
 import math
+import random
 from itertools import permutations
 
 import pytest
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 from bondwise.functions import expressions, grids, params, rates, tfun
 from bondwise.functions.combinatorics import partitions, weight
 from bondwise.model import Slot, mol, observable, pattern
-from bondwise.operators import draw, scoring
+from bondwise.operators import canonical, draw, scoring
 from bondwise.operators.components import complexes_of
-from tests.graphs import graph
+from tests.graphs import graph, random_graph
 
 
 def test_partition_weights():
@@ -140,3 +141,47 @@ def test_draws(spark):
     assert len(set(picked)) == 200 and sum(i >= 1000 for i in picked) > 150
     assert picked == [r.id for r in draw.weighted_sample(df, ["id"], "w", 200, 3).collect()]
     assert draw.first_n(df, "id", 777).distinct().count() == 777
+
+
+def test_copies_built_in_another_order_price_alike(spark):
+    """A context reactant read at the node: three copies of a complex, their nodes numbered differently, get one rate each and the same."""
+    # a chain of three A, of which the ends hold different states and the law reads the state
+    state, nodes, sites, links = ["u", "p", "q"], {}, [], []
+    for copy, order in enumerate(([0, 1, 2], [2, 0, 1], [1, 2, 0])):
+        ids = [10 * copy + k for k in order]
+        for k, n in enumerate(ids):
+            nodes[n] = "A"
+            sites += [(n, 0, "l", None), (n, 1, "r", None), (n, 2, "m", state[k])]
+        links += [((ids[0], 1), (ids[1], 0)), ((ids[1], 1), (ids[2], 0))]
+    snap = graph(spark, nodes, sites, links)
+    cx = complexes_of(snap)
+    weight = observable("w", "Molecules", pattern(mol("A", Slot("m", "p"))), pattern(mol("A", Slot("m", "q"))), pattern(mol("A", Slot("m", "q"))))
+    rule = scoring.Rule("r", (pattern(mol("A")),), "1 + w", kind="local", local=(weight,), context=(True,))
+    symbols = spark.range(1).select(F.lit(1.0).alias("k"))
+    colours = canonical.classes(snap, cx)[1]
+    r = scoring.score_rules(snap, [rule], symbols, cx, colours).first()
+    assert r.n_1 == 3 and r.rate in (3.0, 6.0, 9.0)
+    lowest = scoring.context_tally(scoring.seed_counts(snap, rule.reactants[0]), cx)
+    # by node numbers the three copies would price differently
+    assert scoring.local_weights(snap, lowest, rule.local, rule.law, symbols, cx).agg({"c": "sum"}).first()[0] == 6.0 and {r.node_id for r in lowest.collect()} == {0, 10, 20}
+    with pytest.raises(ValueError):
+        scoring.score_rules(snap, [rule], symbols, cx)
+
+
+def test_products_of_two_local_sums_match_all_pairs(spark):
+    nodes, sites, links = random_graph(spark, random.Random(4), 9)
+    snap = graph(spark, nodes, sites, links)
+    cx = complexes_of(snap)
+    home = {r.node_id: r.complex_id for r in cx.collect()}
+    hits = lambda n, st: sum(s[0] == n and s[2] == "s" and s[3] == st for s in sites)
+    up, pp = (observable(st, "Molecules", *[pattern(mol(t, Slot("s", st))) for t in "AB"]) for st in "up")
+    a, b = pattern(mol("A", Slot("s", "u"))), pattern(mol("B", Slot("s", "p")))
+    symbols = spark.range(1).select(F.lit(2.0).alias("k"))
+    for apart in (True, False):
+        rule = scoring.Rule("x", (a, b), "k*u", kind="product", law_b="1 + p", local=(up, pp), same_complex_ok=not apart)
+        got = scoring.score_rules(snap, [rule], symbols, cx).first().rate
+        want = sum(
+            hits(i, "u") * 2.0 * hits(i, "u") * hits(j, "p") * (1 + hits(j, "p"))
+            for i in nodes for j in nodes if nodes[i] == "A" and nodes[j] == "B" and not (apart and home[i] == home[j])
+        )
+        assert abs(got - want) < 1e-9
