@@ -368,9 +368,10 @@ def _followed(spark, sf, stages):
         _edit(o.filter("o_orderstatus = 'P'"), -F.col("o_orderkey") - 1, "delete_bond", node, F.lit(0))
     )
     for k in range(stages):
-        batch.filter(F.pmod(F.xxhash64("node_id"), F.lit(stages)) == k).repartition(3 - stages).write.mode("append").parquet(source)
+        # edits of one order stay together; a trigger takes several of the files
+        batch.filter(F.pmod(F.xxhash64("node_id"), F.lit(stages)) == k).repartition(8, "node_id").write.mode("append").parquet(source)
         feed = CountFeed(spark, state, obs, decl)
-        stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 4 * stages).parquet(source)
         run = feed.follow(stream, place).trigger(availableNow=True).start()
         run.awaitTermination()
     last = run.lastProgress["batchId"]

@@ -1,7 +1,8 @@
 """Counts kept current from a stream of edits.
 
-State lives in append-only tables keyed by node, site and complex: each micro-batch writes the rows it changed
-under its own batch number, and a reader keeps the newest row per key. Writing a batch again replaces it, so a
+State lives in append-only tables keyed by node, site and complex, dealt to hash buckets: each micro-batch writes the rows it changed
+under its own batch number, bucket by bucket, and a reader keeps the newest row per key. A batch reads only the buckets of the nodes it names and of the members of
+their complexes; which these are is a list of bucket numbers, at most ``BUCKETS``. Writing a batch again replaces it, so a
 restarted query repeats the interrupted batch and goes on with the same counts.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,26 +27,39 @@ SHARE = T.StructType(
 TOTAL = T.StructType([T.StructField("obs", T.StringType()), T.StructField("value", T.LongType())])
 
 
+BUCKETS = 64
+
+
 class KeyedLog:
-    """Rows by key and batch; ``gone`` marks a key as deleted."""
+    """Rows by key and batch; ``gone`` marks a key as deleted. Rows with equal ``place``, one of the keys, share a bucket."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], place: str, buckets: int):
+        self.spark, self.path, self.keys, self.place, self.buckets = spark, path, keys, place, buckets
         self.schema, self.rest = schema, [c for c in schema.fieldNames() if c not in keys]
-        self.stored = T.StructType([*schema.fields, T.StructField("gone", T.BooleanType()), T.StructField("batch", T.LongType())])
+        self.stored = T.StructType([*schema.fields, T.StructField("gone", T.BooleanType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.place), F.lit(self.buckets)).cast("int")
 
     def write(self, rows: DataFrame, batch: int, gone: DataFrame | None = None) -> None:
         rows = rows.select(*self.schema.fieldNames()).withColumn("gone", F.lit(False))
         if gone is not None:
             rows = rows.unionByName(gone.select(*self.keys).withColumn("gone", F.lit(True)), allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        # one file for each bucket that a batch touches; a crowded bucket is dealt to several tasks
+        rows = rows.withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(4)))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
 
-    def raw(self, upto: int) -> DataFrame:
-        return self.spark.read.schema(self.stored).parquet(self.path).filter(F.col("batch") <= upto)
+    def numbers(self, only: DataFrame) -> list[int]:
+        """The buckets of the keys in ``only``: a list of at most as many numbers as there are buckets."""
+        return [r[0] for r in only.select(self.bucket().alias("b")).distinct().collect()]
+
+    def raw(self, upto: int, only: DataFrame | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.stored).parquet(self.path).filter(F.col("batch") <= upto)
+        return rows if only is None else rows.filter(F.col("bucket").isin(self.numbers(only)))
 
     def read(self, upto: int, only: DataFrame | None = None) -> DataFrame:
-        """Newest rows up to a batch, of the keys in ``only`` if given; the semi-join comes before any shuffle by key."""
-        rows = self.raw(upto)
+        """Newest rows up to a batch, of the keys in ``only`` if given: other buckets are not opened, and other keys go before any shuffle."""
+        rows = self.raw(upto, only)
         if only is not None:
             rows = rows.join(only, only.columns, "left_semi")
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct("gone", *self.rest), "batch").alias("r"))
@@ -56,12 +70,15 @@ class KeyedLog:
 class CountFeed:
     """Observables over a snapshot that follows a feed of edits."""
 
-    def __init__(self, spark: SparkSession, path: str, observables: list[Observable], type_decl: DataFrame):
-        self.spark, self.path, self.observables, self.type_decl = spark, path, observables, type_decl
-        self.nodes = KeyedLog(spark, f"{path}/nodes", NODE, ["node_id"])
-        self.sites = KeyedLog(spark, f"{path}/sites", SITE, ["node_id", "site_idx"])
-        self.members = KeyedLog(spark, f"{path}/members", MEMBER, ["node_id"])
-        self.shares = KeyedLog(spark, f"{path}/shares", SHARE, ["complex_id", "obs"])
+    def __init__(self, spark: SparkSession, path: str, observables: list[Observable], type_decl: DataFrame, buckets: int = BUCKETS):
+        self.spark, self.path, self.observables, self.type_decl, self.buckets = spark, path, observables, type_decl, buckets
+        log = lambda name, schema, keys, place: KeyedLog(spark, f"{path}/{name}", schema, keys, place, buckets)
+        self.nodes = log("nodes", NODE, ["node_id"], "node_id")
+        self.sites = log("sites", SITE, ["node_id", "site_idx"], "node_id")
+        self.members = log("members", MEMBER, ["node_id"], "node_id")
+        # the same rows by complex, so that members are found without reading all nodes
+        self.inside = log("inside", MEMBER, ["complex_id", "node_id"], "complex_id")
+        self.shares = log("shares", SHARE, ["complex_id", "obs"], "complex_id")
         self.errors = f"{path}/errors"
 
     def _shares_of(self, snap: Snapshot, complexes: DataFrame) -> DataFrame:
@@ -81,6 +98,7 @@ class CountFeed:
         self.nodes.write(snap.nodes, -1)
         self.sites.write(snap.sites, -1)
         self.members.write(complexes, -1)
+        self.inside.write(complexes, -1)
         self.shares.write(self._shares_of(snap, complexes), -1)
 
     def apply(self, edits: DataFrame, batch: int) -> None:
@@ -95,7 +113,7 @@ class CountFeed:
         ).distinct()
         hit = self.members.read(old, named).select("complex_id").distinct()
         hit = cut(hit, "touched")
-        inside = cut(self.members_in(hit, old), "inside")
+        inside = cut(self.inside.read(old, hit), "inside")
         ids = inside.select("node_id")
         part = Snapshot(cut(self.nodes.read(old, ids), "part-nodes"), cut(self.sites.read(old, ids), "part-sites"))
         edits = cut(expand_complex_deletes(edits, inside), "edits")
@@ -111,13 +129,9 @@ class CountFeed:
         self.nodes.write(after.nodes, batch, lost_nodes)
         self.sites.write(after.sites, batch, lost_sites)
         self.members.write(joined, batch, lost_nodes)
+        self.inside.write(joined, batch, inside.join(joined, ["complex_id", "node_id"], "left_anti"))
         self.shares.write(shares, batch, lost_shares)
 
-    def members_in(self, hit: DataFrame, upto: int) -> DataFrame:
-        """Members of the given complexes; nodes that were ever there are found first, the newest rows then decide."""
-        ever = self.members.raw(upto).join(hit, "complex_id", "left_semi").select("node_id").distinct()
-        return self.members.read(upto, ever).join(hit, "complex_id", "left_semi")
-
     def totals(self, upto: int) -> DataFrame:
         """(obs, value) after a batch, zero included."""
         zero = self.spark.createDataFrame([(o.name, 0) for o in self.observables], TOTAL)
@@ -132,8 +146,9 @@ class CountFeed:
 
     def compact(self, upto: int, path: str) -> CountFeed:
         """The state after a batch as the first batch of a new set of tables, so that reads stay short."""
-        new = CountFeed(self.spark, path, self.observables, self.type_decl)
-        for mine, theirs in zip((self.nodes, self.sites, self.members, self.shares), (new.nodes, new.sites, new.members, new.shares)):
+        new = CountFeed(self.spark, path, self.observables, self.type_decl, self.buckets)
+        for name in ("nodes", "sites", "members", "inside", "shares"):
+            mine, theirs = getattr(self, name), getattr(new, name)
             theirs.write(mine.read(upto), upto)
         return new
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bondwise.model import EDIT, TYPE_DECL, Slot, mol, observable, pattern
+from bondwise.model import EDIT, TYPE_DECL, Slot, Snapshot, mol, observable, pattern
 from bondwise.operators import canonical, edits, match, quality, spanning
 from bondwise.operators.components import complexes_of
 from bondwise.session import cut, fresh_path
@@ -229,3 +229,34 @@ def test_constraints_hold_on_the_edited_match(spark):
     for m in mols:
         got = {(r.edit_id, r.node_id) for r in edits.constrained_after(snap, seeds, e, d, include=(m,), exclude=(mols[0],) if m is not mols[0] else ()).collect()}
         assert got == (want[m] - want[mols[0]] if m is not mols[0] else want[m]) and want[m]
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
+    """3000 small complexes in 32 buckets: three edits open a few of them, and the totals stay those of a recount."""
+    nodes = spark.range(6000).select(F.col("id").alias("node_id"), F.lit("A").alias("type"))
+    far = (F.col("node_id").bitwiseXOR(F.lit(1))).alias("partner_node")
+    one = lambda k, name, linked: nodes.select(
+        "node_id", "type", F.lit(k).cast("long").alias("site_idx"), F.lit(name).alias("site_name"), F.lit("u" if name == "m" else None).cast("string").alias("state"),
+        far if linked else F.lit(None).cast("long").alias("partner_node"), F.lit(0 if linked else None).cast("long").alias("partner_site"))
+    snap = Snapshot(nodes, one(0, "s", True).unionByName(one(1, "s", False)).unionByName(one(2, "m", False)))
+    obs = [observable("p", "Molecules", pattern(mol("A", Slot("m", "p")))), observable("pairs", "Species", pattern(mol("A"), relation=">=", quantity=2))]
+    feed = CountFeed(spark, str(tmp_path / "state"), obs, decl(spark), buckets=32)
+    feed.start(snap, complexes_of(snap))
+    step = batch(spark, (1, "inc_state", 10, 2), (2, "delete_bond", 400, 0), (3, "add_bond", 2000, 1, None, 3000, 1))
+    named = step.select("node_id").unionByName(step.filter("partner_node is not null").select(F.col("partner_node").alias("node_id")))
+    assert len(feed.members.numbers(named)) <= 4
+
+    def opened(rows):
+        """Directories that the scan really opened, from its own metrics."""
+        run = rows._jdf.queryExecution()
+        run.toRdd().count()
+        return run.executedPlan().collectLeaves().apply(0).metrics().apply("numPartitions").value()
+
+    for log in (feed.nodes, feed.sites, feed.members):
+        assert opened(log.raw(0, named)) <= 4 and opened(log.raw(0)) == 32
+    feed.apply(step, 0)
+    # what the batch wrote lies in the buckets of the eight members of its complexes
+    assert len(list((tmp_path / "state" / "sites" / "batch=0").glob("bucket=*"))) <= 8
+    now = feed.snapshot(0)
+    assert quality.tracked_differences(feed.totals(0), match.observe(now, obs, complexes_of(now))).count() == 0
+    assert {r.obs: r.value for r in feed.totals(0).collect()} == {"p": 1, "pairs": 2998}
