@@ -80,9 +80,8 @@ def distinct_tuple_sum(weights: DataFrame, slots: list[str], keys: tuple[str, ..
     return grouped.select(*keys, F.greatest(total, F.lit(0.0)).alias("total"))
 
 
-def energy_rates(matches: DataFrame, contexts: DataFrame, terms: DataFrame, phi: float, ea0: float, rt: float,
-                 forward: bool = True) -> DataFrame:
-    """(match_id, dg, rate): Arrhenius rate of each match from the energy terms its context switches on.
+def energy_rates(matches: DataFrame, contexts: DataFrame, terms: DataFrame, phi: float, ea0: float, rt: float) -> DataFrame:
+    """(match_id, dg, rate, reverse): Arrhenius rates of each match, both ways, from the energy terms its context switches on.
 
     ``contexts`` is (match_id, context) with a row for each context present; ``terms`` is (term, energy,
     context), with null context where the term always applies and several rows where any of several contexts
@@ -95,6 +94,6 @@ def energy_rates(matches: DataFrame, contexts: DataFrame, terms: DataFrame, phi:
     once = gated.groupBy("match_id", "term").agg(F.max("energy").alias("energy"))
     extra = once.groupBy("match_id").agg(F.sum("energy").alias("extra"))
     dg = F.col("base") + F.coalesce("extra", F.lit(0.0))
-    share = phi if forward else phi - 1.0
+    arrhenius = lambda share: F.exp(-(F.lit(ea0) + share * F.col("dg")) / rt)
     rows = matches.join(extra, "match_id", "left").crossJoin(F.broadcast(base)).withColumn("dg", dg)
-    return rows.select("match_id", "dg", F.exp(-(F.lit(ea0) + share * F.col("dg")) / rt).alias("rate"))
+    return rows.select("match_id", "dg", arrhenius(phi).alias("rate"), arrhenius(phi - 1.0).alias("reverse"))

@@ -11,11 +11,11 @@ Bonds are listed, so a pattern with two bonds at one hub costs the square of its
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +108,7 @@ def program(p: Pattern) -> list[dict]:
             steps.append({"kind": "count", "mol": at, "groups": groups, "type": p.mols[i].type})
     parent, out = 0, []
     for depth, step in enumerate(steps):
-        name = xxhash.xxh64_intdigest(f"{parent} {sorted(step.items())}".encode()) - (1 << 63)
+        name = int.from_bytes(hashlib.blake2b(f"{parent} {sorted(step.items())}".encode(), digest_size=8).digest(), "big", signed=True)
         out.append({**blank, **step, "parent": parent, "id": name, "depth": depth})
         parent = name
     return out

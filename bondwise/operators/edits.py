@@ -7,11 +7,11 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from bondwise.functions.combinatorics import distinct_sum, subsets
 from bondwise.model import SITE_COLS, Mol, Snapshot
 from bondwise.operators.draw import first_n
+from bondwise.operators.order import running_sum
 from bondwise.operators.spanning import cut_labels, judge
 from bondwise.session import cut
 
@@ -93,10 +93,11 @@ def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_dec
     clash = clash.select("edit_id", F.lit("site touched twice").alias("error"))
     twice = deletes.unionByName(added).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node_id")
     doubled = deletes.unionByName(added).join(twice, "node_id", "left_semi").select("edit_id", F.lit("node given twice").alias("error"))
+    # a node that is both touched and deleted gets one flag; touches and deletes then meet the flag, not each other
     live_touch = touch.filter("not by_delete").select("edit_id", "node_id")
-    doomed = deletes.select(F.col("edit_id").alias("killer"), "node_id")
-    met = live_touch.join(doomed, "node_id").select("edit_id", "killer")
-    killed = met.select("edit_id").unionByName(met.select(F.col("killer").alias("edit_id")))
+    both = live_touch.select("node_id", F.lit(True).alias("touched")).unionByName(deletes.select("node_id", F.lit(False).alias("touched")))
+    flagged = both.groupBy("node_id").agg(F.bool_or("touched").alias("touched"), F.bool_or(~F.col("touched")).alias("deleted")).filter("touched and deleted").select("node_id")
+    killed = live_touch.unionByName(deletes).join(flagged, "node_id", "left_semi").select("edit_id")
     killed = killed.select("edit_id", F.lit("touches a deleted node").alias("error"))
     parts = [bad_site, on_free, on_bound, loop, bad_state, no_node, in_use, clash, doubled, killed]
     return reduce(DataFrame.unionByName, parts).distinct()
@@ -305,18 +306,16 @@ def instantiate(copies: DataFrame, template: DataFrame, first_id: int) -> Snapsh
     """
     size = template.groupBy("species_id").agg((F.max("pos") + 1).alias("size"))
     plan = copies.filter("copies > 0").join(size, "species_id").withColumn("ids", F.col("copies") * F.col("size"))
-    # the window runs over the list of species, a model constant
-    before = W.orderBy("species_id").rowsBetween(W.unboundedPreceding, -1)
-    plan = plan.withColumn("start", F.lit(first_id) + F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    plan = running_sum(plan, [], ["species_id"], "ids", "upto").withColumn("start", F.lit(first_id) + F.col("upto") - F.col("ids"))
     last = F.expr(f"(copies - 1) div {COPY_CHUNK}")
     chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("species_id", "chunk")
     lo = F.col("chunk") * COPY_CHUNK
     hi = F.least(lo + COPY_CHUNK, F.col("copies")) - 1
     each = chunks.select("species_id", "size", "start", F.explode(F.sequence(lo, hi)).alias("copy"))
     each = each.select("species_id", (F.col("start") + F.col("copy") * F.col("size")).alias("base"))
-    rows = each.join(F.broadcast(template), "species_id")
+    rows = each.join(template, "species_id")
     node_id = F.col("base") + F.col("pos")
-    nodes = each.join(F.broadcast(template.select("species_id", "pos", "type").distinct()), "species_id").select(
+    nodes = each.join(template.select("species_id", "pos", "type").distinct(), "species_id").select(
         node_id.alias("node_id"), "type"
     )
     sites = rows.filter("site_idx is not null").select(

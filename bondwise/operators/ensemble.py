@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bondwise.operators.sampling import CHUNKS, with_chunks
+from bondwise.operators.order import in_parts
 
 
 def sample_std(value: str) -> Column:
@@ -35,28 +35,29 @@ def ensemble_stats(traj: DataFrame, align: str = "shortest") -> DataFrame:
     return stats.withColumn("sem", F.col("std") / F.sqrt("n"))
 
 
-def integrals(traj: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+def integrals(traj: DataFrame) -> DataFrame:
     """(model, rep, obs, integral): trapezoid over each replicate's own times; fewer than two samples give 0.
 
-    A series is integrated in slices of time; the joints between slices are added from one row per slice, so a
-    very long series never sits in one task.
+    A series is integrated inside range parts of (key, time); the joints between parts are added from one row per part. Parts are even in rows, so
+    neither a very long series nor a burst of samples at one instant sits in one task.
     """
     keys = ["model", "rep", "obs"]
-    cut = with_chunks(traj.select(*keys, "time", "value"), chunks)
-    order = W.partitionBy(*keys, "chunk").orderBy("time")
+    placed = in_parts(traj.select(*keys, "time", "value"), keys, ["time"])
+    order = W.partitionBy(*keys, "part").orderBy("time", "tie")
     area = 0.5 * (F.col("value") + F.lag("value").over(order)) * (F.col("time") - F.lag("time").over(order))
+    at = F.struct("time", "tie")
     slices = (
-        cut.withColumn("area", area)
-        .groupBy(*keys, "chunk")
+        placed.withColumn("area", area)
+        .groupBy(*keys, "part")
         .agg(
             F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"),
             F.min("time").alias("t0"),
-            F.min_by("value", "time").alias("v0"),
+            F.min_by("value", at).alias("v0"),
             F.max("time").alias("t1"),
-            F.max_by("value", "time").alias("v1"),
+            F.max_by("value", at).alias("v1"),
         )
     )
-    along = W.partitionBy(*keys).orderBy("chunk")
+    along = W.partitionBy(*keys).orderBy("part")
     joint = 0.5 * (F.col("v0") + F.lag("v1").over(along)) * (F.col("t0") - F.lag("t1").over(along))
     joined = slices.withColumn("joint", F.coalesce(joint, F.lit(0.0)))
     return joined.groupBy(*keys).agg(F.sum(F.col("area") + F.col("joint")).alias("integral"))

@@ -12,8 +12,6 @@ from pyspark.sql import Window as W
 
 from bondwise.operators.order import running_sum
 
-CHUNKS = 512
-
 
 def time_grid(t_start: float, t_end: float, n: int, instants: list[float] | None = None) -> list[float]:
     """Explicit instants if given, else n + 1 even ones; n = 0 keeps the two ends. Descending instants are an error."""
@@ -76,14 +74,6 @@ def sample_counts(events: DataFrame, keys: list[str], grid: list[float], delta:
     return rows.select(*keys, "step", "time", F.sum("delta").over(upto).cast("double").alias("value"))
 
 
-def with_chunks(rows: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """Add ``chunk``: which of ``chunks`` even slices of the table's time span a row falls in."""
-    span = rows.agg(F.min("time").alias("t_min"), F.max("time").alias("t_max"))
-    width = (F.col("t_max") - F.col("t_min")) / chunks
-    place = F.when(width > 0, F.floor((F.col("time") - F.col("t_min")) / width)).otherwise(0)
-    return rows.crossJoin(F.broadcast(span)).withColumn("chunk", place).drop("t_min", "t_max")
-
-
 def running_state(events: DataFrame, keys: list[str], delta: str = "delta") -> DataFrame:
     """Add ``state``, the running sum of ``delta`` per key in time order (ties by ``seq`` if present).
 

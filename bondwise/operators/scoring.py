@@ -12,6 +12,7 @@ from bondwise.functions import rates
 from bondwise.functions.expressions import to_sql
 from bondwise.model import Mol, Observable, Pattern, Snapshot
 from bondwise.operators.match import local_values, pinned_counts, seed_counts
+from bondwise.session import cut
 
 KINDS = ("elementary", "total", "michaelis_menten", "local", "product")
 
@@ -61,10 +62,13 @@ def context_tally(counts: DataFrame, complexes: DataFrame, colours: DataFrame |
     return rows.groupBy("complex_id").agg(first.alias("node_id")).select("node_id", F.lit(1).cast("long").alias("c"))
 
 
-def reactant_counts(snap: Snapshot, rule: Rule, complexes: DataFrame | None, colours: DataFrame | None = None) -> list[DataFrame]:
-    found = []
+def reactant_counts(snap: Snapshot, rule: Rule, complexes: DataFrame | None, colours: DataFrame | None = None, known: dict[Pattern, DataFrame] | None = None) -> list[DataFrame]:
+    """Match counts of each reactant; ``known`` keeps those of patterns seen before, also under other rules."""
+    found, known = [], {} if known is None else known
     for i, p in enumerate(rule.reactants):
-        counts = seed_counts(snap, p, complexes)
+        if p not in known:
+            known[p] = cut(seed_counts(snap, p, complexes), "reactants")
+        counts = known[p]
         if rule.is_context(i):
             # only a law read at the node itself tells the matches of one complex apart
             by_node = rule.kind in ("local", "product") and rule.local and (rule.scopes[i] if i < len(rule.scopes) else "node") == "node"
@@ -122,12 +126,12 @@ def score_rules(snap: Snapshot, rules: list[Rule], symbols: DataFrame, complexes
     one row, so putting rules side by side costs nothing.
     """
     width = max([len(r.reactants) for r in rules] + [1])
-    priced = []
+    priced, known = [], {}
     for rule in rules:
         if rule.kind not in KINDS:
             raise ValueError(f"unknown kind {rule.kind!r}")
         k = len(rule.reactants)
-        counts = reactant_counts(snap, rule, complexes, colours)
+        counts = reactant_counts(snap, rule, complexes, colours, known)
         row = symbols
         for i, c in enumerate(counts):
             row = row.crossJoin(c.agg(F.coalesce(F.sum("c").cast("double"), F.lit(0.0)).alias(f"reactant_{i + 1}")))

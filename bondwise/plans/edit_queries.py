@@ -344,6 +344,10 @@ FEED_SQL = """
     """
 
 
+# every batch here touches every bucket, so few of them do
+FEED_BUCKETS = 8
+
+
 def _followed(spark, sf, stages):
     """All orders start open and linked; a stream sets their real states and unlinks the pending ones.
 
@@ -362,7 +366,7 @@ def _followed(spark, sf, stages):
         observable("busy", "Species", many),
     ]
     state, source, place = (fresh_path(spark, x) for x in ("feed", "edits", "place"))
-    CountFeed(spark, state, obs, decl).start(snap, cx)
+    CountFeed(spark, state, obs, decl, FEED_BUCKETS).start(snap, cx)
     o, node = table(spark, sf, "orders"), node_key("o_orderkey", ORDER)
     batch = _edit(o, F.col("o_orderkey"), "set_state", node, F.lit(1), F.col("o_orderstatus")).unionByName(
         _edit(o.filter("o_orderstatus = 'P'"), -F.col("o_orderkey") - 1, "delete_bond", node, F.lit(0))
@@ -370,7 +374,7 @@ def _followed(spark, sf, stages):
     for k in range(stages):
         # edits of one order stay together; a trigger takes several of the files
         batch.filter(F.pmod(F.xxhash64("node_id"), F.lit(stages)) == k).repartition(8, "node_id").write.mode("append").parquet(source)
-        feed = CountFeed(spark, state, obs, decl)
+        feed = CountFeed(spark, state, obs, decl, FEED_BUCKETS)
         stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 4 * stages).parquet(source)
         run = feed.follow(stream, place).trigger(availableNow=True).start()
         run.awaitTermination()

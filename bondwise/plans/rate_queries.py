@@ -129,9 +129,8 @@ def energy_rates(spark, sf):
         [("base", 1.5, None), ("gated", -2.0, "flag R"), ("gated", -2.0, "status F"), ("open", 0.75, "status O")], "term string, energy double, context string"
     )
     keys = lines.select("match_id", *ids)
-    fwd = rates.energy_rates(keys.select("match_id"), contexts, terms, 0.3, 0.5, 2.478).select("match_id", F.round(F.ln("rate"), 9).alias("ln_fwd"))
-    rev = rates.energy_rates(keys.select("match_id"), contexts, terms, 0.3, 0.5, 2.478, forward=False).select("match_id", F.round(F.ln("rate"), 9).alias("ln_rev"))
-    return keys.join(fwd, "match_id").join(rev, "match_id").drop("match_id")
+    both = rates.energy_rates(keys.select("match_id"), contexts, terms, 0.3, 0.5, 2.478)
+    return keys.join(both, "match_id").select(*ids, F.round(F.ln("rate"), 9).alias("ln_fwd"), F.round(F.ln("reverse"), 9).alias("ln_rev"))
 
 
 PRICED = """

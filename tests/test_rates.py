@@ -131,8 +131,8 @@ def test_energy_terms_apply_once_for_any_context(spark):
     m = spark.createDataFrame([("a",), ("b",)], ["match_id"])
     ctx = spark.createDataFrame([("a", "x"), ("a", "y")], ["match_id", "context"])
     terms = spark.createDataFrame([("base", 1.0, None), ("g", -3.0, "x"), ("g", -3.0, "y")], "term string, energy double, context string")
-    got = {r.match_id: (r.dg, r.rate) for r in rates.energy_rates(m, ctx, terms, 0.5, 1.0, 2.0).collect()}
-    assert got["a"] == pytest.approx((-2.0, math.exp(0.0))) and got["b"] == pytest.approx((1.0, math.exp(-0.75)))
+    got = {r.match_id: (r.dg, r.rate, r.reverse) for r in rates.energy_rates(m, ctx, terms, 0.5, 1.0, 2.0).collect()}
+    assert got["a"] == pytest.approx((-2.0, math.exp(0.0), math.exp(-1.0))) and got["b"] == pytest.approx((1.0, math.exp(-0.75), math.exp(-0.25)))
 
 
 def test_draws(spark):

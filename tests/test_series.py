@@ -41,14 +41,31 @@ def test_running_state_across_slices(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("chunks", [1, 5])
-def test_integrals(spark, chunks):
+def test_integrals(spark):
     rows = [("m", r, k, float(k), "x", float(k * k + r)) for r in (1, 2) for k in range(11)] + [("m", 3, 0, 0.0, "x", 4.0)]
-    got = {r.rep: r.integral for r in ensemble.integrals(traj(spark, rows), chunks).collect()}
+    got = {r.rep: r.integral for r in ensemble.integrals(traj(spark, rows)).collect()}
     area = lambda r: sum(0.5 * (k * k + (k + 1) ** 2 + 2 * r) for k in range(10))
     assert got == pytest.approx({1: area(1), 2: area(2), 3: 0.0})
 
 
+def test_a_burst_at_one_instant_spreads_over_parts(spark):
+    """Nine tenths of a key at one time: parts stay even, and the area does not change."""
+    from bondwise.operators.order import in_parts
+
+    names = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        rows = traj(spark, [("m", 1, 0, 5.0, "x", 2.0 + k * 1e-6) for k in range(9000)] + [("m", 1, 0, k / 100, "x", 2.0) for k in range(1000)])
+        sizes = [r["count"] for r in in_parts(rows, ["model", "rep", "obs"], ["time"]).groupBy("part").count().collect()]
+        assert len(sizes) >= 6 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+        assert ensemble.integrals(rows).first().integral == pytest.approx(2.0 * 9.99, abs=0.05)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_alignment(spark):
     rows = [("m", 1, k, float(k), "x", 1.0) for k in range(3)] + [("m", 2, k, float(k), "x", 3.0) for k in range(2)]
     short = ensemble.ensemble_stats(traj(spark, rows)).orderBy("step").collect()
