@@ -188,7 +188,7 @@ END_MARKS = (".", "!", "?", ":", "…", ".”", '."')
 
 
 def text_features(block: Block, k: int, n: int) -> tuple[str, ...]:
-    """Length, link share, punctuation and place, each in a few steps."""
+    """Length, link share, punctuation, place and the number of blocks on the page, each in a few steps."""
     text = block.text
     words = text.count(" ") + 1
     share = block.linked / len(text)
@@ -200,4 +200,5 @@ def text_features(block: Block, k: int, n: int) -> tuple[str, ...]:
         f"sign:{'©' in text or '·' in text or '|' in text or '»' in text}",
         f"place:{_step(k / n, (0.1, 0.3, 0.7, 0.9))}",
         f"short:{words < 6 and not text.endswith(END_MARKS)}",
+        f"blocks:{_step(n, (2, 4, 8))}",
     )

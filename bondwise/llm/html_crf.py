@@ -93,16 +93,20 @@ def marginals(e: list[float], step: np.ndarray) -> tuple[list[float], np.ndarray
 
 
 def training_rows(pages: list[tuple[str, list[tuple[str, bool]]]]) -> list[tuple[list[list[str]], list[bool]]]:
-    """Features and labels of each page's blocks."""
+    """Features and labels of each page's blocks. A page with a block that its plan does not know is an error of the plan."""
     out = []
     for page, labels in pages:
         found = blocks(page)
         known: dict[str, list[bool]] = {}
         for text, main in labels:
             known.setdefault(" ".join(html.unescape(text).split()), []).append(main)
-        if found and all(b.text in known for b in found):
+        strange = [b.text for b in found if b.text not in known]
+        if strange:
+            raise ValueError(f"unknown block {strange[0]!r} in {page!r}")
+        if found:
             feats = [["bias", *path_features(b.path), *text_features(b, k, len(found))] for k, b in enumerate(found)]
-            out.append((feats, [known[b.text][0] for b in found]))
+            # equal texts are taken in the order of the plan
+            out.append((feats, [known[b.text].pop(0) if len(known[b.text]) > 1 else known[b.text][0] for b in found]))
     return out
 
 

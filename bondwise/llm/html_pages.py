@@ -126,7 +126,9 @@ class Maker:
                 out.append("<ul>" + "".join(f"<li>{self.say(self.sentences(1), True)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
             elif kind < 0.9:
                 out.append(f"<blockquote>{self.say(self.sentences(2), True)}</blockquote>")
-            elif kind < 0.93:
+            elif kind < 0.915:
+                out.append(f'<figure><img src="x.png"><figcaption>{self.say(self.words(1, 9).capitalize(), True)}</figcaption></figure>')
+            elif kind < 0.935:
                 out.append("<table><tr>" + "".join(f"<td>{self.say(self.words(1, 4), True)}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(self.aside_inside())
@@ -134,8 +136,38 @@ class Maker:
             out.append(f"<p>{self.say(self.words(1, 3).capitalize(), True)}</p>")
         return "".join(out)
 
+    def bare(self) -> str:
+        """An article with nothing or little around it: paragraphs in the body, one block of text, lines with breaks, or bare text in a box."""
+        rng = self.rng
+        style, parts = rng.randrange(4), [self.sentences(rng.randint(1, 6)) for _ in range(rng.randint(1, 4))]
+        before = self.links("nav", "nav", 2, 6) if rng.random() < 0.25 else ""
+        head = f"<h1>{self.say(self.words(2, 9).capitalize(), True)}</h1>" if rng.random() < 0.4 else ""
+        if style == 0:
+            text = head + "".join(f"<p>{self.say(t, True)}</p>" for t in parts)
+        elif style == 1:
+            text = head + f"<p>{self.say(parts[0], True)}"
+        else:
+            # breaks are white space inside one block
+            box = "" if style == 2 else self.attr("article")
+            text = f"{head}<{(tag := rng.choice(('div', 'section', 'td')))}{box}>{rng.choice(('<br><br>', '<br>')).join(parts)}</{tag}>"
+            self.say(" ".join(parts), True)
+            text = f"<table><tr>{text}</tr></table>" if tag == "td" and not head else text.replace("<td", "<div").replace("</td", "</div")
+        after = self.box("footer", "footer", ["&copy; " + self.words(1, 6)]) if rng.random() < 0.25 else ""
+        return before + text + after
+
+    def columns(self) -> str:
+        """A layout table: a cell of links beside the cell that holds the article."""
+        items = [self.words(1, 3) for _ in range(self.rng.randint(2, 8))]
+        links = "".join(f'<a href="/x">{t}</a>{self.rng.choice(("<br>", " "))}' for t in items)
+        self.labels.append((" ".join(items), False))
+        return f"<table><tr><td>{links}</td><td>{self.body()}</td></tr></table>"
+
     def page(self) -> str:
         rng, out = self.rng, []
+        plan = rng.random()
+        if plan < 0.2:
+            inner = self.bare() if plan < 0.14 else self.columns()
+            return f"<html><head><title>{self.words(2, 6)}</title></head><body>{inner}</body></html>" if rng.random() < 0.7 else f"<body>{inner}"
         if rng.random() < 0.5:
             out.append(self.box("header", "header", [self.words(1, 5)]))
         if rng.random() < 0.2:

@@ -85,3 +85,20 @@ def test_edges(spark):
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got)[-1][1] > 600_000 and len(got) == 6
     assert {r["page_id"]: r["text"] for r in got if r["page_id"] in (1, 2, 4)} == {1: "", 2: "", 4: ""}
     assert html_crf.extract(spark.createDataFrame(rows[:0], "page_id long, html string")).collect() == []
+
+
+def test_pages_that_are_little_but_their_article():
+    """One block, breaks in one box, bare text, captions, and a layout table with a cell of links."""
+    model, s = html_crf.train(), "A first sentence of the text, plain and long enough. Another one follows it here."
+    text = lambda page: html_crf.extract_page(page, model)
+    assert text(f"<body><p>{s}</p><p>{s}</p></body>") == f"{s}\n\n{s}" and text(f"<p>{s}") == s
+    assert text(f"<div>{s}<br><br>{s}</div>") == f"{s} {s}" and text(f"<div class=content>{s}</div>") == s
+    page = f"<article><h1>Title of it</h1><p>{s}</p><figure><img src=x><figcaption>A short caption</figcaption></figure><p>{s}</p></article>"
+    assert text(page) == f"Title of it\n\n{s}\n\nA short caption\n\n{s}"
+    assert text(f"<table><tr><td><a href=1>Home</a> <a href=2>News</a> <a href=3>About</a></td><td><p>{s}</p><p>{s}</p></td></tr></table>") == f"{s}\n\n{s}"
+    assert text(f"<body><nav><a href=1>Home</a><a href=2>About</a></nav><p>{s}</p><footer>&copy; Some site</footer></body>") == s
+
+
+def test_every_block_of_the_plans_is_known():
+    for page in labelled(400, 5):
+        assert html_crf.training_rows([page])
