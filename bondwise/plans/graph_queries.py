@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bondwise.model import Slot, Snapshot, mol, observable, pattern
+from bondwise.model import Slot, Snapshot, mol, observable, pattern, snapshot_from_links
 from bondwise.operators import canonical, components, match, quality
 from bondwise.plans.registry import query
-from bondwise.plans.tables import customer_graph, kept, line_graph, talk_graph
+from bondwise.plans.tables import customer_graph, kept, line_graph, table, talk_graph
 from bondwise.session import cut, fresh_path
 from bondwise.sources import snapshots, species
 
@@ -440,3 +440,39 @@ def snapshot_round_trip(spark, sf):
     back = snapshots.read_snapshot(spark, path, "s1", decl)
     nodes = back.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("nodes"))
     return nodes.join(back.sites.groupBy("type").agg(F.count(F.lit(1)).alias("sites")), "type")
+
+
+# two graphs of eight nodes in which all nodes have three neighbours: rings with chords, a cube and a Moebius ladder
+RING = [(i, (i + 1) % 8) for i in range(8)]
+CUBE, LADDER = RING + [(0, 3), (4, 7), (1, 6), (2, 5)], RING + [(i, i + 4) for i in range(4)]
+
+
+@query(
+    """
+    WITH c AS (SELECT s_suppkey % 2 + (s_suppkey // 2) % 2 AS ladders, count(*) AS n FROM supplier GROUP BY 1)
+    SELECT CAST(n AS BIGINT) AS complexes, CAST(count(*) AS BIGINT) AS classes FROM c GROUP BY 1
+    """
+)
+def symmetric_cores(spark, sf):
+    """A complex per supplier: a hub linked to all nodes of two cores, each a cube or a ladder by a bit of the supplier's number.
+
+    Refinement leaves the nodes of a core alike and takes both kinds for one; the classes tell complexes by how many of their cores are ladders.
+    """
+    k = F.col("s_suppkey")
+    pairs = lambda links: F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in enumerate(links)])
+    cores = table(spark, sf, "supplier").select((k * 32).alias("hub"), F.explode(F.array(F.struct(F.lit(0).alias("at"), (k % 2).alias("ladder")), F.struct(F.lit(1).alias("at"), (F.floor(k / 2) % 2).alias("ladder")))).alias("core"))
+    node = lambda i: F.col("hub") + 1 + F.col("core.at") * 8 + i
+    inner = cores.withColumn("l", F.explode(F.when(F.col("core.ladder") == 1, pairs(LADDER)).otherwise(pairs(CUBE)))).select(
+        node(F.col("l.a")).alias("node_a"), F.col("l.n").cast("long").alias("site_a"), node(F.col("l.b")).alias("node_b"), F.col("l.n").cast("long").alias("site_b"), F.lit("core").alias("name")
+    )
+    spokes = cores.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
+        F.col("hub").alias("node_a"), (F.col("core.at") * 8 + F.col("i")).cast("long").alias("site_a"), node(F.col("i")).alias("node_b"), F.lit(20).cast("long").alias("site_b"), F.lit("hub").alias("name")
+    )
+    links = cut(inner.unionByName(spokes), "core-links")
+    ends = links.select(F.col("node_a").alias("node_id"), F.col("site_a").alias("site_idx"), "name").unionByName(links.select(F.col("node_b").alias("node_id"), F.col("site_b").alias("site_idx"), "name"))
+    kind = F.when(F.col("node_id") % 32 == 0, "Hub").otherwise("Node")
+    sites = ends.select("node_id", kind.alias("type"), "site_idx", F.col("name").alias("site_name"), F.lit(None).cast("string").alias("state"))
+    snap, cx = kept(snapshot_from_links(sites.select("node_id", "type").distinct(), sites, links.drop("name")))
+    ids = canonical.classes(snap, cx)[0]
+    per = ids.groupBy("class_id").agg(F.count(F.lit(1)).alias("complexes"))
+    return per.groupBy("complexes").agg(F.count(F.lit(1)).alias("classes"))
