@@ -26,7 +26,7 @@ def test_one_hot_key_at_one_instant_spreads(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
-        sizes = [r["count"] for r in order._in_parts(df, ["k"], ["time"]).groupBy("part").count().collect()]
+        sizes = [r["count"] for r in order.in_parts(df, ["k"], ["time"]).groupBy("part").count().collect()]
         assert len(sizes) > 4 and max(sizes) <= 2 * n / len(sizes)
         got = order.running_sum(df, ["k"], ["time"], "delta", "s").groupBy("k").agg({"s": "max", "id": "count"}).collect()
         assert all(r["max(s)"] == r["count(id)"] for r in got) and sum(r["count(id)"] for r in got) == n
