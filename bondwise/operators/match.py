@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bondwise.functions.combinatorics import distinct_sum, subsets
 from bondwise.model import Mol, Observable, Pattern, Slot, Snapshot
+from bondwise.operators import rings
 from bondwise.operators.skew import hub_join
 
 
@@ -237,9 +238,17 @@ def _fragment_counts(snap: Snapshot, p: Pattern) -> DataFrame:
     centre = _star_centre(p)
     if centre is not None:
         return _star_rows(snap, p, centre)
+    if rings.ring_length(p) == 4:
+        return rings.square_counts(snap, p).select(F.col("top").alias("node_id"), "c")
+    if rings.ring_length(p) is not None:
+        return _ring_rows(snap, p).select(F.col("n0").alias("node_id"), "c")
     return embeddings(snap, p).select(F.col("n0").alias("node_id"), F.lit(1).cast("long").alias("c"))
 
 
+def _ring_rows(snap: Snapshot, p: Pattern) -> DataFrame:
+    return rings.pair_counts(snap, p) if len(p.mols) == 2 else rings.triangle_counts(snap, p)
+
+
 def _sub(p: Pattern, frag: list[int]) -> Pattern:
     return Pattern(tuple(p.mols[i] for i in frag))
 
@@ -286,6 +295,8 @@ def seed_counts(snap: Snapshot, p: Pattern, complexes: DataFrame | None = None)
         return _pair_rows(snap, p).groupBy(F.col("n0").alias("node_id")).agg(F.sum("c").alias("c"))
     if _star_centre(p) == 0:
         return _star_rows(snap, p, 0)
+    if rings.ring_length(p) in (2, 3):
+        return _ring_rows(snap, p).groupBy(F.col("n0").alias("node_id")).agg(F.sum("c").alias("c"))
     listed = embeddings(snap, p, complexes)
     return listed.groupBy(F.col("n0").alias("node_id")).agg(F.count(F.lit(1)).alias("c"))
 

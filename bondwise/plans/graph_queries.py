@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bondwise.model import Slot, Snapshot, mol, observable, pattern, snapshot_from_links
-from bondwise.operators import canonical, components, match, quality
+from bondwise.operators import canonical, components, match, quality, rings
 from bondwise.plans.registry import query
-from bondwise.plans.tables import customer_graph, kept, line_graph, table, talk_graph
+from bondwise.plans.tables import customer_graph, kept, line_graph, supply_graph, table, talk_graph
 from bondwise.session import cut, fresh_path
 from bondwise.sources import snapshots, species
 
@@ -83,10 +83,48 @@ def star_embeddings(spark, sf):
     """
 )
 def ring_embeddings(spark, sf):
-    """Orders and parts joined by two lines at once: bond closure makes the second link a join key."""
+    """Orders and parts joined by two lines at once: the links of a pair are counted, not paired."""
     p = pattern(mol("Order", Slot("item", None, 1), Slot("item", None, 2)), mol("Part", Slot("line", None, 1), Slot("line", None, 2)))
-    listed = match.embeddings(line_graph(spark, sf), p)
-    return listed.groupBy("n0", "n1").agg(F.count(F.lit(1)).alias("embeddings"))
+    return rings.pair_counts(line_graph(spark, sf), p).withColumnRenamed("c", "embeddings")
+
+
+@query(
+    """
+    WITH op AS (SELECT l_orderkey o, l_partkey p, count(*) w FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+    ps AS (SELECT l_partkey p, l_suppkey s, count(*) w FROM lineitem GROUP BY 1, 2),
+    os AS (SELECT l_orderkey o, l_suppkey s, count(*) w FROM lineitem GROUP BY 1, 2)
+    SELECT op.o * 4 + 1 AS n0, op.p * 4 + 2 AS n1, os.s * 4 + 3 AS n2, CAST(op.w * ps.w * os.w AS BIGINT) AS c
+    FROM op JOIN os ON op.o = os.o JOIN ps ON ps.p = op.p AND ps.s = os.s
+    """
+)
+def triangle_embeddings(spark, sf):
+    """Orders that took a returned part and bought, by that line or another, from a supplier who ever delivered the part."""
+    p = pattern(
+        mol("Order", Slot("part", "R", 1), Slot("supp", None, 2)),
+        mol("Part", Slot("order", None, 1), Slot("supp", None, 3)),
+        mol("Supplier", Slot("order", None, 2), Slot("part", None, 3)),
+    )
+    return rings.triangle_counts(supply_graph(spark, sf), p)
+
+
+@query(
+    """
+    WITH w AS (SELECT l_orderkey o, l_partkey p, count(*) FILTER (l_returnflag = 'A') a, count(*) n FROM lineitem GROUP BY 1, 2),
+    pairs AS (
+      SELECT x.o, y.o AS q, sum(x.a * y.n) * sum(x.n * y.n) - sum(x.a * y.n * x.n * y.n) AS c
+      FROM w x JOIN w y ON x.p = y.p AND x.o <> y.o GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT 'squares' AS obs, CAST(coalesce(sum(c), 0) AS BIGINT) AS value FROM pairs
+    """
+)
+def square_embeddings(spark, sf):
+    """Two orders that share two parts, the first bond by a line of flag A."""
+    p = pattern(
+        mol("Order", Slot("item", "A", 1), Slot("item", None, 4)),
+        mol("Part", Slot("line", None, 1), Slot("line", None, 2)),
+        mol("Order", Slot("item", None, 2), Slot("item", None, 3)),
+        mol("Part", Slot("line", None, 3), Slot("line", None, 4)),
+    )
+    return match.observe(line_graph(spark, sf), [observable("squares", "Molecules", p)])
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from bondwise.operators.components import connected_components
 from bondwise.operators.order import ranked
 from bondwise.session import cut
 
-CUSTOMER, ORDER, PART = 0, 1, 2
+CUSTOMER, ORDER, PART, SUPPLIER = 0, 1, 2, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +93,24 @@ def line_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = No
     return Snapshot(nodes, sites.unionByName(both).select(*SITE_COLS))
 
 
+def supply_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Orders, parts and suppliers, each line linking the three of them with one another; a node names its sites by the far end's type."""
+    lines = table(spark, sf_dir, "lineitem")
+    ends = {"order": ("l_orderkey", ORDER, "Order"), "part": ("l_partkey", PART, "Part"), "supp": ("l_suppkey", SUPPLIER, "Supplier")}
+    # a site holds the line's number and the name of the far end, so a node's sites for one line differ
+    site = lambda name: F.xxhash64(line_key(), F.lit(name)).alias
+    sites = [
+        lines.select(
+            node_key(ends[a][0], ends[a][1]).alias("node_id"), F.lit(ends[a][2]).alias("type"), site(b)("site_idx"), F.lit(b).alias("site_name"),
+            F.col("l_returnflag").alias("state"), node_key(ends[b][0], ends[b][1]).alias("partner_node"), site(a)("partner_site"),
+        )
+        for a in ends for b in ends if a != b
+    ]
+    keys = {"order": ("orders", "o_orderkey"), "part": ("part", "p_partkey"), "supp": ("supplier", "s_suppkey")}
+    nodes = [table(spark, sf_dir, t).select(node_key(k, ends[a][1]).alias("node_id"), F.lit(ends[a][2]).alias("type")) for a, (t, k) in keys.items()]
+    return Snapshot(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, sites).select(*SITE_COLS))
+
+
 def talk_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
     """Conversation turns as nodes typed by role, each linked to the next: ``user(prev, next)`` and so on.
 

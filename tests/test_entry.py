@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = [
     "obs_molecules_two_node", "single_node_embeddings", "reacting_site_images", "star_embeddings", "include_exclude", "components_size_dist", "species_census_lines",
-    "sample_at_day", "trapezoid_stats", "bifurcate_align", "distinct_tuple_sum_per_order", "tfun_step", "derived_params", "manifest_problems", "scan_round_trip",
+    "sample_at_day", "trapezoid_stats", "bifurcate_align", "distinct_tuple_sum_per_order", "tfun_step", "derived_params", "manifest_problems", "scan_round_trip", "ring_embeddings",
+    "triangle_embeddings", "square_embeddings",
 ]
 
 

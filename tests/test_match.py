@@ -3,8 +3,8 @@ from itertools import permutations, product
 
 import pytest
 
-from bondwise.model import Slot, mol, observable, pattern
-from bondwise.operators import match, skew
+from bondwise.model import Slot, Snapshot, mol, observable, pattern
+from bondwise.operators import match, rings, skew
 from bondwise.operators.components import complexes_of
 from tests.graphs import graph, random_graph
 
@@ -63,6 +63,11 @@ PATTERNS = {
     "mixed": pattern(mol("A", Slot("s", None, 1), Slot("s", None, 2), Slot("t", None, 3)),
                      mol("B", Slot("s", None, 1)), mol("A", Slot("s", None, 2)), mol("B", Slot("t", None, 3))),
     "double": pattern(mol("A", Slot("s", None, 1), Slot("s", None, 2)), mol("B", Slot("s", None, 1), Slot("s", None, 2))),
+    "triple": pattern(mol("A", Slot("s", "u", 1), Slot("s", None, 2), Slot("s", None, 3)), mol("B", Slot("s", None, 1), Slot("s", None, 2), Slot("s", "p", 3), Slot("t", "u"))),
+    "triangle": pattern(mol("A", Slot("s", None, 1), Slot("s", None, 2), Slot("t", "u")), mol("A", Slot("s", None, 2), Slot("s", "u", 3)),
+                        mol("B", Slot("s", None, 3), Slot("s", None, 1))),
+    "square": pattern(mol("A", Slot("s", None, 1), Slot("s", "u", 2)), mol("B", Slot("s", None, 2), Slot("s", None, 3)),
+                      mol("A", Slot("s", None, 3), Slot("s", None, 4), Slot("t")), mol("B", Slot("s", None, 4), Slot("s", None, 1))),
     "chain": pattern(
         mol("A", Slot("t", None, 1)),
         mol("B", Slot("t", None, 1), Slot("s", None, 2)),
@@ -164,3 +169,40 @@ def test_local_values(spark):
     node = {r.node_id: r.value for r in match.local_values(snap, o).collect()}
     whole = {r.node_id: r.value for r in match.local_values(snap, o, cx, "complex").collect()}
     assert node == {1: 1, 2: 0, 3: 0} and whole == {1: 1, 2: 1, 3: 0}
+
+
+def test_rings_among_parallel_links_match_brute_force(spark):
+    """Four nodes, each linked with all others, some of them twice or three times."""
+    rng, ends = random.Random(3), [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (0, 2), (0, 2), (1, 3)]
+    used, links = dict.fromkeys(range(4), 0), []
+    for a, b in ends:
+        links.append(((a, used[a]), (b, used[b])))
+        used[a], used[b] = used[a] + 1, used[b] + 1
+    sites = [(n, i, "s", rng.choice("uup")) for n in used for i in range(5)] + [(n, 5, "t", "u") for n in used]
+    g = ({0: "A", 1: "A", 2: "B", 3: "B"}, sites, links)
+    for name in ("double", "triple", "triangle", "square"):
+        want = len(brute(*g, PATTERNS[name]))
+        got = match.attributed_counts(graph(spark, *g), PATTERNS[name]).agg({"c": "sum"}).first()[0] or 0
+        assert got == want > 0, name
+
+
+def test_parallel_links_of_a_hub_are_counted_not_paired(spark):
+    """A pair with 100,000 links costs as many rows: the number of pairs would be 10^10."""
+    n = 100_000
+    end = lambda node, far, kind: spark.range(n).selectExpr(
+        f"{node}L AS node_id", f"'{kind}' AS type", "id AS site_idx", "'s' AS site_name", "CAST(null AS string) AS state", f"{far}L AS partner_node", "id AS partner_site"
+    )
+    nodes = spark.createDataFrame([(1, "A"), (2, "B")], "node_id long, type string")
+    snap = Snapshot(nodes, end(1, 2, "A").unionByName(end(2, 1, "B")))
+    assert [tuple(r) for r in rings.pair_counts(snap, PATTERNS["double"]).collect()] == [(1, 2, n * (n - 1))]
+
+
+def test_wheel_with_a_hub_joins_few_rows(spark):
+    """Triangles of a hub with its rim: the hub is never the corner that open pairs start from."""
+    n = 2_000
+    nodes = {0: "A"} | {k: "A" for k in range(1, n + 1)}
+    sites = [(0, k, "s", None) for k in range(1, n + 1)] + [(k, j, "s", None) for k in range(1, n + 1) for j in range(3)]
+    links = [((0, k), (k, 0)) for k in range(1, n + 1)] + [((k, 1), (k % n + 1, 2)) for k in range(1, n + 1)]
+    three = pattern(*[mol("A", Slot("s", None, k), Slot("s", None, k % 3 + 1)) for k in (1, 2, 3)])
+    got = match.attributed_counts(graph(spark, nodes, sites, links), three).agg({"c": "sum"}).first()[0]
+    assert got == 6 * n
