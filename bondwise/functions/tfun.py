@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-BROADCAST_POINTS = 200_000
+from bondwise.operators.order import between
 
 
 def point_errors(points: DataFrame, key: str = "name") -> DataFrame:
@@ -25,33 +24,13 @@ def point_errors(points: DataFrame, key: str = "name") -> DataFrame:
 def apply_table(rows: DataFrame, points: DataFrame, at: str, method: str = "linear", out: str = "value") -> DataFrame:
     """Add ``out``, the table (x, y) read at column ``at``; flat outside, right-continuous steps inside.
 
-    Segments are cut into even buckets over the table's range so that each row finds its segment by an equi-join
-    on its bucket. Segments cover the range once, so buckets hold at most twice as many rows as there are points.
-    The table side is broadcast only when its counted size is below BROADCAST_POINTS.
+    Rows and points meet in one ordered merge (``order.between``), the same for tables of any size and spread. A null ``at`` or an
+    empty table gives null.
     """
     if method not in ("linear", "step"):
         raise ValueError("method is 'linear' or 'step'")
-    n = points.count()
-    # the window runs over the points of one table function, a model constant
-    along = W.orderBy("x")
-    seg = points.select(
-        F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(along).alias("x1"), F.lead("y").over(along).alias("y1")
-    ).filter("x1 is not null")
-    ends = points.agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.min_by("y", "x").alias("y_lo"), F.max_by("y", "x").alias("y_hi")
-    ).withColumn("width", (F.col("hi") - F.col("lo")) / max(n - 1, 1))
-    cells = F.sequence(F.floor((F.col("x0") - F.col("lo")) / F.col("width")), F.floor((F.col("x1") - F.col("lo")) / F.col("width")))
-    seg = seg.crossJoin(F.broadcast(ends)).select(F.explode(cells).alias("bucket"), "x0", "y0", "x1", "y1")
-    if n <= BROADCAST_POINTS:
-        seg = F.broadcast(seg)
-    inside = (F.col(at) > F.col("lo")) & (F.col(at) < F.col("hi"))
-    tagged = rows.crossJoin(F.broadcast(ends)).withColumn(
-        "bucket", F.when(inside, F.floor((F.col(at) - F.col("lo")) / F.col("width")))
-    )
-    left, right = tagged.alias("l"), seg.alias("r")
-    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col(at) >= F.col("x0")) & (F.col(at) < F.col("x1"))
-    met = left.join(right, on, "left")
-    slope = (F.col("y1") - F.col("y0")) * ((F.col(at) - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    mid = F.col("y0") if method == "step" else F.col("y0") + slope
-    value = F.when(F.col(at) <= F.col("lo"), F.col("y_lo")).when(F.col(at) >= F.col("hi"), F.col("y_hi")).otherwise(mid)
-    return met.select(*[F.col(f"l.{c}").alias(c) for c in rows.columns if c != out], value.alias(out))
+    met = between(rows, points, at)
+    x0, y0, x1, y1 = (F.col(c) for c in ("before.x", "before.y", "after.x", "after.y"))
+    mid = y0 if method == "step" else y0 + (y1 - y0) * ((F.col("at") - x0) / (x1 - x0))
+    value = F.when(x0.isNull(), y1).when(x1.isNull(), y0).otherwise(mid)
+    return met.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns if c != out], value.alias(out))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bondwise.model import SITE_COLS, TYPE_DECL, Snapshot
 from bondwise.operators.components import connected_components
 from bondwise.operators.order import ranked
+from bondwise.operators.sampling import EvenGrid, sample_counts
 from bondwise.session import cut
 
 CUSTOMER, ORDER, PART, SUPPLIER = 0, 1, 2, 3
@@ -159,10 +160,10 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.crossJoin(F.broadcast(origin)).withColumn("time", seconds / 1e6).drop("t0")
 
 
-def day_grid(spark: SparkSession, sf_dir: str) -> list[float]:
+def day_grid(spark: SparkSession, sf_dir: str) -> EvenGrid:
     """Day boundaries from the first event to the end of the last day; one number is fetched."""
     last = timed_events(spark, sf_dir).agg(F.ceil(F.max("time") / 86400).alias("days")).first()["days"]
-    return [86400.0 * d for d in range((last or 0) + 1)]
+    return EvenGrid(0.0, 86400.0 * (last or 0), last or 0)
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +171,6 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A user's cohort is the model and the user the replicate; a type the user has not shown yet counts 0.
     """
-    from bondwise.operators.sampling import sample_counts
-
     ev = timed_events(spark, sf_dir).withColumn("delta", F.lit(1))
     rows = sample_counts(ev, ["user_id", "event_type"], day_grid(spark, sf_dir))
     return rows.select(

@@ -88,6 +88,51 @@ def test_table_functions(spark):
     assert {r.name for r in tfun.point_errors(bad).collect()} == {"few", "flat"}
 
 
+def test_table_function_of_clustered_points(spark, monkeypatch):
+    """Points that double from one to the next, many rows at one value, nulls, infinities and NaN; no range part is much larger than others."""
+    import bisect
+    import math
+
+    from pyspark.sql import functions as F
+
+    from bondwise.operators import order
+
+    sizes = []
+    in_parts = order.in_parts
+
+    def measured(*args):
+        placed = in_parts(*args)
+        sizes.extend(r["count"] for r in placed.groupBy("part").count().collect())
+        return placed
+
+    monkeypatch.setattr(order, "in_parts", measured)
+    xs = [math.ldexp(1.0, k) for k in range(-40, 41)]
+    pts = spark.createDataFrame([(x, float(k)) for k, x in enumerate(xs)], "x double, y double")
+    hot = spark.range(30_000).select(F.lit(1.5).alias("at"), F.create_map(F.lit("id"), "id").alias("m"))
+    wide = spark.range(30_000).select(F.pow(F.lit(2.0), F.col("id") / 400 - 38).alias("at"), F.create_map(F.lit("id"), "id").alias("m"))
+    odd = spark.createDataFrame([(v, None) for v in (None, float("nan"), float("inf"), float("-inf"), xs[0], xs[-1])], "at double, m map<string,bigint>")
+    rows = hot.unionByName(wide).unionByName(odd)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lin = tfun.apply_table(rows, pts, "at").select("at", "value").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def want(v):
+        if v is None:
+            return None
+        if v != v or v >= xs[-1]:
+            return 80.0
+        k = bisect.bisect_right(xs, v) - 1
+        return 0.0 if k < 0 else k + (v - xs[k]) / (xs[k + 1] - xs[k])
+
+    assert len(lin) == 60_006 and all(r.value == (None if r["at"] is None else pytest.approx(want(r["at"]))) for r in lin)
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert [r.value for r in tfun.apply_table(odd, pts.limit(0), "at").collect()] == [None] * 6
+
+
 def test_value_grids(spark):
     rows = [("lin", None, 0.0, 1.0, 3, False), ("log", None, 1.0, 100.0, 3, True), ("list", [5.0, 2.0], 0.0, 0.0, 0, False), ("one", None, 4.0, 4.0, 2, False),
             ("none", None, 0.0, 1.0, 0, False), ("short", None, 0.0, 1.0, 1, False), ("neg", None, 0.0, 1.0, 3, True)]

@@ -24,6 +24,22 @@ def test_event_at_instant_is_not_seen(spark):
 
 def test_grids(spark):
     assert sampling.time_grid(0, 10, 2) == [0.0, 5.0, 10.0]
+
+
+@pytest.mark.parametrize("t_end, n", [(1.0, 10), (0.7, 7), (86400.0 * 3, 3), (0.0, 4), (5.0, 0)])
+def test_even_grids_agree_with_listed_instants(spark, t_end, n):
+    """Events on the instants themselves, where rounding could move a step, between them, outside, and without a time."""
+    from bondwise.operators.sampling import EvenGrid
+
+    grid = EvenGrid(0.0, t_end, n)
+    listed = [k * t_end / max(n, 1) for k in range(n + 1)]
+    times = [*listed, *[(a + b) / 2 for a, b in zip(listed, listed[1:])], -1.0, t_end + 1, float("nan"), float("inf"), None]
+    ev = spark.createDataFrame([("k", t, float(i), i, 1) for i, t in enumerate(times)], "k string, time double, value double, seq int, delta int")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(sampling.sample_at(ev, ["k"], grid)) == plain(sampling.sample_at(ev, ["k"], listed))
+    counts = plain(sampling.sample_counts(ev, ["k"], grid))
+    assert counts == plain(sampling.sample_counts(ev, ["k"], listed))
+    assert [c[3] for c in counts] == [sum(t is not None and t < g for t in times) for g in listed]
     assert sampling.time_grid(0, 10, 0) == [0.0, 10.0]
     assert sampling.time_grid(0, 10, 2, [1, 4]) == [1.0, 4.0]
     with pytest.raises(ValueError):
