@@ -97,16 +97,25 @@ class Slot:
     """One site of a pattern node.
 
     ``bond`` is "any" (don't care), "free", "bound", or an integer label shared by the two ends of a pattern
-    bond. ``state`` None is don't care.
+    bond. ``state`` None is don't care. A ``loose`` name also fits sites named like it without its digits at the end, so that
+    numbered names tell alike sites of one node apart.
     """
 
     name: str
     state: str | None = None
     bond: str | int = "any"
+    loose: bool = False
 
-    def predicate(self, loose_names: bool = False) -> Column:
-        name = F.regexp_replace("site_name", "[0-9]+$", "") if loose_names else F.col("site_name")
-        keep = name == self.name
+    @property
+    def family(self) -> str:
+        """Slots of one node that may fall on the same site have the same family."""
+        return self.name.rstrip("0123456789") if self.loose else self.name
+
+    def named(self) -> Column:
+        return F.col("site_name").isin(self.name, self.family) if self.loose else F.col("site_name") == self.name
+
+    def predicate(self) -> Column:
+        keep = self.named()
         if self.state is not None:
             keep = keep & (F.col("state") == self.state)
         if self.bond == "free":
@@ -121,6 +130,10 @@ class Mol:
     type: str
     slots: tuple[Slot, ...] = ()
 
+    def __post_init__(self):
+        if len({s.loose for s in self.slots}) > 1:
+            raise ValueError("the names of one node are all loose or all strict")
+
 
 def mol(type_name: str, *slots: Slot) -> Mol:
     return Mol(type_name, tuple(slots))

@@ -57,7 +57,7 @@ def draw_embeddings(snap: Snapshot, m: Mol, draws: DataFrame) -> DataFrame:
     """
     slots = m.slots
     fits = [s.predicate() for s in slots]
-    names = {n: [i for i, s in enumerate(slots) if s.name == n] for n in dict.fromkeys(s.name for s in slots)}
+    names = {n: [i for i, s in enumerate(slots) if s.family == n] for n in dict.fromkeys(s.family for s in slots)}
     blocks = [tuple(own[i] for i in b) for own in names.values() for b in subsets(len(own))]
     label = {b: "b_" + "_".join(map(str, b)) for b in blocks}
     both = lambda b: [fits[i] for i in b]
@@ -84,7 +84,7 @@ def draw_embeddings(snap: Snapshot, m: Mol, draws: DataFrame) -> DataFrame:
     state = cut(state.filter(completions(0, []) > 0).drop("u"), "draws")
     held = of_type.select("node_id", "site_idx", F.array(*fits).alias("fit"), F.col("site_name").alias("own_name"))
     for i, slot in enumerate(slots):
-        same = [j for j in range(i) if slots[j].name == slot.name]
+        same = [j for j in range(i) if slots[j].family == slot.family]
         near = state.join(held.filter(F.get("fit", i)).drop("own_name"), "node_id")
         for j in same:
             near = near.filter(F.col("site_idx") != F.col(f"s{j}"))

@@ -226,7 +226,7 @@ def constrained_after(snap: Snapshot, matches: DataFrame, edits: DataFrame, type
             return here
         names: dict[str, list] = {}
         for s in m.slots:
-            names.setdefault(s.name, []).append(s)
+            names.setdefault(s.family, []).append(s)
         label = {(n, b): f"n{k}_" + "_".join(map(str, b)) for k, (n, slots) in enumerate(names.items()) for b in subsets(len(slots))}
         cond = lambda n, b: reduce(lambda x, y: x & y, (names[n][i].predicate() for i in b))
         base = own.filter(F.col("type") == m.type).groupBy("node_id").agg(*[F.count_if(cond(*key)).alias(name) for key, name in label.items()])

@@ -21,7 +21,7 @@ from bondwise.operators.skew import hub_join
 def _by_name(slots: tuple[Slot, ...]) -> dict[str, list[Slot]]:
     groups: dict[str, list[Slot]] = {}
     for s in slots:
-        groups.setdefault(s.name, []).append(s)
+        groups.setdefault(s.family, []).append(s)
     return groups
 
 
@@ -70,7 +70,7 @@ def pinned_counts(snap: Snapshot, m: Mol, at: int) -> DataFrame:
     per_node = of_type.groupBy("node_id").agg(*aggs, F.count(F.lit(1)).alias("deg"))
 
     def factor(name: str, slots: list[Slot]) -> Column:
-        if name != pin.name:
+        if name != pin.family:
             return _group_factor(name, slots, names)
         # the pinned site is taken, so it leaves every block it would have counted in
         return distinct_sum(
@@ -81,7 +81,7 @@ def pinned_counts(snap: Snapshot, m: Mol, at: int) -> DataFrame:
     own = [
         _both([slots[i] for i in block]).cast("long").alias("own_" + names[name, block])
         for name, slots in groups.items()
-        if name == pin.name
+        if name == pin.family
         for block in subsets(len(slots))
     ]
     joined = hub_join(hits.select(*keep, *own), per_node, "node_id", snap.n_sites())
@@ -113,8 +113,8 @@ def _star_centre(p: Pattern) -> int | None:
         return None
     for i, near in p.neighbours().items():
         if len(near) == k - 1:
-            bonded = {s.name for s in p.mols[i].slots if isinstance(s.bond, int)}
-            other = {s.name for s in p.mols[i].slots if not isinstance(s.bond, int)}
+            bonded = {s.family for s in p.mols[i].slots if isinstance(s.bond, int)}
+            other = {s.family for s in p.mols[i].slots if not isinstance(s.bond, int)}
             return None if bonded & other else i
     return None
 
@@ -180,7 +180,7 @@ def embeddings(snap: Snapshot, p: Pattern, complexes: DataFrame | None = None) -
         if df is not None:
             out = out.drop(*[df[theirs] for mine, theirs in keys.items() if mine == theirs])
         for (i2, j2) in done:
-            if i2 == i and p.mols[i].slots[j2].name == slot.name:
+            if i2 == i and p.mols[i].slots[j2].family == slot.family:
                 out = out.filter(F.col(f"s{i}_{j}") != F.col(f"s{i}_{j2}"))
         if (i, j) in partner and partner[i, j] in done:
             pi, pj = partner[i, j]
@@ -339,7 +339,8 @@ def _family_of(p: Pattern) -> tuple | None:
         return ("node", p.mols[0].type)
     if len(p.mols) == 2 and len(p.bonds()) == 1:
         ((a, sa), (b, sb)) = sorted(p.bonds()[0])
-        return ("pair", p.mols[a].type, p.mols[a].slots[sa].name, p.mols[b].type, p.mols[b].slots[sb].name)
+        ends = [(p.mols[i].type, p.mols[i].slots[j].name, p.mols[i].slots[j].loose) for i, j in ((a, sa), (b, sb))]
+        return ("pair", *ends[0], *ends[1])
     return None
 
 
@@ -351,7 +352,7 @@ def _shared_blocks(members: list[dict[str, list[Slot]]]) -> tuple[list[Column],
         names = {}
         for name, slots in groups.items():
             for block in subsets(len(slots)):
-                key = tuple(sorted({(slots[i].name, slots[i].state or "", "bound" if isinstance(slots[i].bond, int) else slots[i].bond) for i in block}))
+                key = tuple(sorted({(slots[i].name, slots[i].loose, slots[i].state or "", "bound" if isinstance(slots[i].bond, int) else slots[i].bond) for i in block}))
                 if key not in aggs:
                     aggs[key] = F.count_if(_both([slots[i] for i in block])).alias(f"f{len(aggs)}")
                 names[name, block] = f"f{list(aggs).index(key)}"
@@ -376,9 +377,9 @@ def _pinned_family(snap: Snapshot, pins: list[tuple[Mol, int]]) -> DataFrame:
     first, at0 = pins[0]
     rests = [_by_name(m.slots[:at] + m.slots[at + 1 :]) for m, at in pins]
     aggs, labels = _shared_blocks(rests)
-    name = first.slots[at0].name
+    name = first.slots[at0].family
     of_type = snap.sites.filter(F.col("type") == first.type)
-    ends = of_type.filter((F.col("site_name") == name) & F.col("partner_node").isNotNull())
+    ends = of_type.filter(first.slots[at0].named() & F.col("partner_node").isNotNull())
     own, weights = {}, []
     for i, ((m, at), groups, names) in enumerate(zip(pins, rests, labels)):
         own[f"fits{i}"] = m.slots[at].predicate().cast("long")

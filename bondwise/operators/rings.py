@@ -25,8 +25,8 @@ def ring_length(p: Pattern) -> int | None:
     """
     k, bonds = len(p.mols), p.bonds()
     for m in p.mols:
-        bonded = {s.name for s in m.slots if isinstance(s.bond, int)}
-        if bonded & {s.name for s in m.slots if not isinstance(s.bond, int)}:
+        bonded = {s.family for s in m.slots if isinstance(s.bond, int)}
+        if bonded & {s.family for s in m.slots if not isinstance(s.bond, int)}:
             return None
     if any(a == b for (a, _), (b, _) in bonds):
         return None

@@ -265,3 +265,51 @@ def steps_of_read_times(spark, sf):
     rows = sampling.sample_counts(timed_events(spark, sf).withColumn("delta", F.lit(1)), ["user_id", "event_type"], day_grid(spark, sf)).drop("step")
     rows = rows.withColumn("model", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     return trajectories.with_steps(rows).groupBy("model").agg(F.min(F.when(F.col("value") > 0, F.col("step"))).cast("int").alias("step"))
+
+
+CHAIN_XML = """<ReactionRule id="R{k}"><ListOfReactantPatterns><ReactantPattern id="R{k}_RP1"><ListOfMolecules><Molecule id="R{k}_RP1_M1" name="A"/><Molecule id="R{k}_RP1_M2" name="B"/><Molecule id="R{k}_RP1_M3" name="C"/></ListOfMolecules><ListOfBonds>{bonds}</ListOfBonds></ReactantPattern></ListOfReactantPatterns></ReactionRule>"""
+
+
+@query(
+    """
+    SELECT 'R' || o_orderkey AS rule_id, CAST(3 AS INTEGER) AS n_mols, CAST(CASE o_orderstatus WHEN 'P' THEN 3 WHEN 'F' THEN 2 ELSE 1 END AS INTEGER) AS n_bonds,
+           o_orderstatus NOT IN ('P', 'F') AS loose, CAST(CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END AS INTEGER) AS diameter
+    FROM orders
+    """
+)
+def pattern_shapes(spark, sf):
+    """A reactant of three molecules per order: a chain, a ring, or a pair and a molecule apart, by the order's status."""
+    path = fresh_path(spark, "shapes")
+    bond = lambda n, a, b: f'<Bond id="R{{k}}_RP1_B{n}" site1="R{{k}}_RP1_M{a}_C1" site2="R{{k}}_RP1_M{b}_C1"/>'
+    one, two, three = bond(1, 1, 2), bond(2, 2, 3), bond(3, 3, 1)
+    bonds = F.when(F.col("o_orderstatus") == "F", one + two).when(F.col("o_orderstatus") == "P", one + two + three).otherwise(one)
+    text = F.replace(F.replace(F.lit(CHAIN_XML), F.lit("{bonds}"), bonds), F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("model"), text.alias("line"))
+    write_documents(rows, path, "ListOfReactionRules")
+    return models.pattern_audit(models.read_rules(spark, path)).select("rule_id", "n_mols", "n_bonds", "loose", "diameter")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def run_table_file(spark, sf):
+    """A table of runs as delimited text in many parts, each with its header, read back with its types."""
+    path = fresh_path(spark, "runs")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    stats.write_run_table(rows, path, "\t")
+    return spark.read.schema(rows.schema).option("header", True).option("sep", "\t").csv(path)
+
+
+@query(
+    """
+    WITH r AS (SELECT p_brand, p_type, count(*) AS n, CASE WHEN count(*) > 3 THEN 'many' END AS note FROM part GROUP BY 1, 2)
+    SELECT '| ' || p_brand || ' | ' || p_type || ' | ' || n || ' | ' || coalesce(note, '—') || ' |' AS line FROM r
+    UNION ALL SELECT '| p_brand | p_type | n | note |'
+    UNION ALL SELECT '|---|---|---|---|'
+    """
+)
+def markdown_report(spark, sf):
+    """Parts by brand and type as a markdown table: header, rule, and a line per group."""
+    path = fresh_path(spark, "report")
+    n = F.count(F.lit(1))
+    rows = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(n.alias("n"), F.when(n > 3, "many").alias("note"))
+    stats.write_markdown(rows, path, ["p_brand", "p_type"])
+    return spark.read.text(path).select(F.col("value").alias("line"))

@@ -127,6 +127,21 @@ def square_embeddings(spark, sf):
     return match.observe(line_graph(spark, sf), [observable("squares", "Molecules", p)])
 
 
+@query(
+    """
+    WITH n AS (SELECT o_custkey k, count(*) a, count(*) FILTER (substr(o_orderpriority, 1, 1) <> '1') b FROM orders GROUP BY 1)
+    SELECT k * 4 AS node_id, CAST((a - 1) * b AS BIGINT) AS c FROM n WHERE (a - 1) * b > 0
+    """
+)
+def loose_site_names(spark, sf):
+    """Urgent orders hang on sites of a name of their own. Numbered names of a pattern fit sites of just that name, and those without a number."""
+    snap = customer_graph(spark, sf)
+    urgent = (F.col("site_name") == "order") & (F.col("state") == "1")
+    sites = snap.sites.withColumn("site_name", F.when(urgent, "order1").otherwise(F.col("site_name")))
+    m = mol("Customer", Slot("order1", None, "bound", loose=True), Slot("order2", None, "bound", loose=True))
+    return match.node_counts(Snapshot(snap.nodes, sites), m)
+
+
 @query(
     """
     SELECT o_custkey * 4 AS n1, o_orderkey * 4 + 1 AS n0 FROM orders JOIN customer ON c_custkey = o_custkey

@@ -146,10 +146,11 @@ def pattern_sites(rules: DataFrame) -> DataFrame:
 
 
 def pattern_audit(rules: DataFrame) -> DataFrame:
-    """(model, rule_id, reactant, n_mols, n_bonds, loose): loose patterns have molecules not joined by bonds.
+    """(model, rule_id, reactant, n_mols, n_bonds, loose, diameter): loose patterns have molecules not joined by bonds.
 
     A pattern is joined when its bond ends reach every molecule; patterns hold a handful of molecules, so the
-    reachable set grows inside one array expression, one bond layer per step.
+    reachable set grows inside one array expression, one bond layer per step. ``diameter`` is the longest shortest path in
+    bonds between molecules that are joined.
     """
     pats = rules.select("model", "rule_id", F.posexplode("reactants").alias("reactant", "p"))
     mol_ids = F.coalesce("p.ListOfMolecules.Molecule._id", F.array().cast("array<string>"))
@@ -160,8 +161,18 @@ def pattern_audit(rules: DataFrame) -> DataFrame:
     grow = lambda seen, _: F.array_union(seen, F.flatten(F.transform(
         F.filter("pairs", lambda q: F.array_contains(seen, q["a"]) | F.array_contains(seen, q["b"])), lambda q: F.array(q["a"], q["b"]))))
     reach = F.aggregate("ids", F.slice("ids", 1, 1), grow)
+
+    def layers(start):
+        """Bond layers from one molecule until nothing new is reached."""
+        def step(acc, _):
+            wider = grow(acc["seen"], None)
+            return F.struct(wider.alias("seen"), (acc["depth"] + (F.size(wider) > F.size(acc["seen"])).cast("int")).alias("depth"))
+
+        return F.aggregate("ids", F.struct(F.array(start).alias("seen"), F.lit(0).alias("depth")), step, lambda acc: acc["depth"])
+
+    diameter = F.coalesce(F.array_max(F.transform("ids", layers)), F.lit(0)).alias("diameter")
     return rows.select("model", "rule_id", "reactant", F.size("ids").alias("n_mols"), F.size("pairs").alias("n_bonds"),
-                       (F.size(F.array_intersect(reach, F.col("ids"))) < F.size("ids")).alias("loose"))
+                       (F.size(F.array_intersect(reach, F.col("ids"))) < F.size("ids")).alias("loose"), diameter)
 
 
 def unpinned_patterns(rules: DataFrame, types: DataFrame) -> DataFrame:

@@ -206,3 +206,24 @@ def test_wheel_with_a_hub_joins_few_rows(spark):
     three = pattern(*[mol("A", Slot("s", None, k), Slot("s", None, k % 3 + 1)) for k in (1, 2, 3)])
     got = match.attributed_counts(graph(spark, nodes, sites, links), three).agg({"c": "sum"}).first()[0]
     assert got == 6 * n
+
+
+def test_loose_names_fit_numbered_and_plain_sites(spark):
+    """arm1 fits arm1 and arm, arm2 only arm here; slots of one family never share a site."""
+    nodes = {0: "A", 1: "A", 2: "B", 3: "B"}
+    sites = [(n, i, name, "u") for n in (0, 1) for i, name in enumerate(["arm", "arm1", "arm", "leg"])] + [(n, i, "arm", "u") for n in (2, 3) for i in range(2)]
+    links = [((0, 0), (2, 0)), ((0, 1), (2, 1)), ((0, 2), (3, 0)), ((1, 1), (3, 1))]
+    snap = graph(spark, nodes, sites, links)
+    loose = lambda name, bond="any": Slot(name, None, bond, loose=True)
+    one = {r.node_id: r.c for r in match.node_counts(snap, mol("A", loose("arm1"), loose("arm2"))).collect()}
+    assert one == {0: 4, 1: 4} and match.embeddings(snap, pattern(mol("A", loose("arm1"), loose("arm2")))).count() == 8
+    pair = pattern(mol("A", loose("arm2", 1), loose("arm1")), mol("B", Slot("arm", None, 1)))
+    want = match.embeddings(snap, pair).count()
+    assert match.attributed_counts(snap, pair).agg({"c": "sum"}).first()[0] == want == 4
+    strict = pattern(mol("A", Slot("arm2", None, 1)), mol("B", Slot("arm", None, 1)))
+    obs = [observable("loose", "Molecules", pair), observable("strict", "Molecules", strict)]
+    assert {r.obs: r.value for r in match.observe(snap, obs).collect()} == {"loose": 4, "strict": 0}
+    double = pattern(mol("A", loose("arm1", 1), loose("arm2", 2)), mol("B", Slot("arm", None, 1), Slot("arm", None, 2)))
+    assert [tuple(r) for r in rings.pair_counts(snap, double).collect()] == [(0, 2, 1)]
+    with pytest.raises(ValueError):
+        mol("A", loose("arm1"), Slot("arm"))

@@ -143,3 +143,23 @@ def test_model_tables_and_lint(spark, tmp_path):
     assert got == {
         ("Error", "ListOfCompartments", "c"), ("Error", "ListOfReactantPatterns", "R1"), ("Error", "MoleculeType@population", "B"), ("Error", "Species@Fixed", "A"),
         ("Error", "RateLaw@totalrate", "R2"), ("Error", "reactant_N", "R2"), ("Error", "RateLaw@type=MM", "R3"), ("Warn", "priority", "R2"), ("Warn", "RateLaw@type=MM", "R3")}
+
+
+def test_pattern_shapes_agree_with_patterns(spark, tmp_path):
+    """Bonds among four molecules drawn at random: the audit of model files and the pattern object tell the same shape."""
+    import random
+
+    from bondwise.model import Slot, mol, pattern
+
+    rng, rules, want = random.Random(1), [], {}
+    for k in range(12):
+        pairs = [p for p in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)) if rng.random() < 0.4]
+        p = pattern(*[mol("A", *[Slot("s", None, n) for n, ends in enumerate(pairs) if i in ends]) for i in range(4)])
+        want[f"R{k}"] = (4, len(pairs), len(p.fragments()) > 1, p.diameter())
+        mols = "".join(f'<Molecule id="R{k}_RP1_M{i}" name="A"/>' for i in range(4))
+        bonds = "".join(f'<Bond id="b{n}" site1="R{k}_RP1_M{a}_C1" site2="R{k}_RP1_M{b}_C1"/>' for n, (a, b) in enumerate(pairs))
+        rules.append(f'<ReactionRule id="R{k}"><ListOfReactantPatterns><ReactantPattern id="R{k}_RP1"><ListOfMolecules>{mols}</ListOfMolecules>'
+                     f"<ListOfBonds>{bonds}</ListOfBonds></ReactantPattern></ListOfReactantPatterns></ReactionRule>")
+    path = put(tmp_path / "shapes.xml", "<ListOfReactionRules>\n" + "\n".join(rules) + "\n</ListOfReactionRules>\n")
+    got = {r.rule_id: (r.n_mols, r.n_bonds, r.loose, r.diameter) for r in models.pattern_audit(models.read_rules(spark, path)).collect()}
+    assert got == want and len({v[3] for v in want.values()}) >= 3
