@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bondwise.operators import skew
 from bondwise.session import cut
 
 
@@ -48,19 +47,16 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], delta: str,
 
 
 def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): exact medians. Spark's own aggregate serves while all rows together fit below the hub limit."""
-    rows = rows.filter(F.col(value).isNotNull())
-    if rows.count() < skew.HUB_ROWS:
-        return rows.groupBy(*keys).agg(F.median(value).alias(name))
+    """(keys, name): exact medians of the values that are not null."""
     middle = F.col("rank").isin(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2"))
-    return ranked(rows, keys, value).filter(middle).groupBy(*keys).agg(F.avg(value).alias(name))
+    few = ranked(rows.filter(F.col(value).isNotNull()), keys, value)
+    return few.filter(middle).groupBy(*keys).agg(F.avg(value).alias(name))
 
 
 def upper_median(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """One row: the element at place n / 2 counted from 0, the larger of the two middle ones for even n."""
-    if rows.count() < skew.HUB_ROWS:
-        return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by {value} desc)").alias(name))
-    return ranked(rows, [], value).filter(F.col("rank") == F.expr("n div 2 + 1")).agg(F.max(value).alias(name))
+    """One row: the element at place n / 2 counted from 0, the larger of the two middle ones for even n; nulls do not count."""
+    few = ranked(rows.filter(F.col(value).isNotNull()), [], value)
+    return few.filter(F.col("rank") == F.expr("n div 2 + 1")).agg(F.max(value).alias(name))
 
 
 POINT = "struct<x:double,y:double>"
