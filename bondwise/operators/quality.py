@@ -27,12 +27,13 @@ def nonneg_violations(traj: DataFrame) -> DataFrame:
 def conserved_violations(traj: DataFrame, rules: DataFrame) -> DataFrame:
     """First sample per (replicate, rule) away from ``expected``, or from the replicate's first value where null.
 
-    ``rules`` is (model, obs, expected). The tolerance is one half or one percent, whichever is larger.
+    ``rules`` is (model, obs, expected), a table of declarations that is broadcast; samples and starts are not, however
+    small their files look. The tolerance is one half or one percent, whichever is larger.
     """
-    rows = traj.join(rules, ["model", "obs"])
+    rows = traj.join(F.broadcast(rules), ["model", "obs"])
     keys = ["model", "rep", "obs"]
     start = rows.groupBy(*keys).agg(F.min_by("value", "time").alias("start"), F.count(F.lit(1)).alias("deg"))
-    rows = hub_join(rows, start, keys, traj.count()).withColumn("expected", F.coalesce("expected", "start"))
+    rows = hub_join(rows, start.hint("merge"), keys, traj.count()).withColumn("expected", F.coalesce("expected", "start"))
     tol = F.greatest(F.lit(0.5), 0.01 * F.abs("expected"))
     bad = rows.filter(F.abs(F.col("value") - F.col("expected")) > tol)
     first = bad.groupBy("model", "rep", "obs").agg(F.min(F.struct("time", "value", "expected")).alias("r"))
@@ -40,10 +41,10 @@ def conserved_violations(traj: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def balance_violations(traj: DataFrame, rules: DataFrame) -> DataFrame:
-    """First time per (replicate, rule) at which two observables differ; ``rules`` is (model, lhs, rhs)."""
-    left = traj.join(rules.withColumnRenamed("lhs", "obs"), ["model", "obs"])
+    """First time per (replicate, rule) at which two observables differ; ``rules`` is (model, lhs, rhs), broadcast as above."""
+    left = traj.join(F.broadcast(rules.withColumnRenamed("lhs", "obs")), ["model", "obs"])
     right = traj.select("model", "rep", "time", F.col("obs").alias("rhs"), F.col("value").alias("expected"))
-    met = left.join(right, ["model", "rep", "time", "rhs"])
+    met = left.join(right.hint("merge"), ["model", "rep", "time", "rhs"])
     tol = F.greatest(F.lit(0.5), 0.01 * F.greatest(F.abs("value"), F.abs("expected")))
     bad = met.filter(F.abs(F.col("value") - F.col("expected")) > tol)
     first = bad.groupBy("model", "rep", "obs", "rhs").agg(F.min(F.struct("time", "value", "expected")).alias("r"))

@@ -308,7 +308,7 @@ def invariant_first_violation(spark, sf):
     daily = cut(daily_counts(spark, sf), "daily")
     models = daily.select("model").distinct()
     v, c = (daily.filter(F.col("obs") == o).select("model", "rep", "time", F.col("value").alias(o)) for o in ("view", "click"))
-    net = v.join(c, ["model", "rep", "time"]).select("model", "rep", F.lit("net").alias("obs"), "time", (F.col("click") - F.col("view")).alias("value"))
+    net = v.join(c.hint("merge"), ["model", "rep", "time"]).select("model", "rep", F.lit("net").alias("obs"), "time", (F.col("click") - F.col("view")).alias("value"))
     traj = daily.select("model", "rep", "obs", "time", "value").unionByName(net)
     none = F.lit(None).cast("double").alias("expected")
     conserved = models.select("model", F.explode(F.array(F.lit("view"), F.lit("refund"))).alias("obs"), none)
