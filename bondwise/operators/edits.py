@@ -307,20 +307,22 @@ def instantiate(copies: DataFrame, template: DataFrame, first_id: int) -> Snapsh
     size = template.groupBy("species_id").agg((F.max("pos") + 1).alias("size"))
     plan = copies.filter("copies > 0").join(size, "species_id").withColumn("ids", F.col("copies") * F.col("size"))
     plan = running_sum(plan, [], ["species_id"], "ids", "upto").withColumn("start", F.lit(first_id) + F.col("upto") - F.col("ids"))
+    # species meet the template before they are copied: no join ever sees the copies, whose number no plan can foresee
     last = F.expr(f"(copies - 1) div {COPY_CHUNK}")
-    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("species_id", "chunk")
     lo = F.col("chunk") * COPY_CHUNK
     hi = F.least(lo + COPY_CHUNK, F.col("copies")) - 1
-    each = chunks.select("species_id", "size", "start", F.explode(F.sequence(lo, hi)).alias("copy"))
-    each = each.select("species_id", (F.col("start") + F.col("copy") * F.col("size")).alias("base"))
-    rows = each.join(template, "species_id")
-    node_id = F.col("base") + F.col("pos")
-    nodes = each.join(template.select("species_id", "pos", "type").distinct(), "species_id").select(
-        node_id.alias("node_id"), "type"
-    )
-    sites = rows.filter("site_idx is not null").select(
-        node_id.alias("node_id"), "type", "site_idx", "site_name", "state",
-        (F.col("base") + F.col("partner_pos")).alias("partner_node"), "partner_site",
+    tasks = int(template.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def laid_out(rows: DataFrame) -> DataFrame:
+        # a given number of parts, since a chunk is a short row, and short rows would be put back into one task
+        chunks = plan.join(rows, "species_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(tasks)
+        each = chunks.withColumn("copy", F.explode(F.sequence(lo, hi)))
+        return each.withColumn("base", F.col("start") + F.col("copy") * F.col("size"))
+
+    node_id = (F.col("base") + F.col("pos")).alias("node_id")
+    nodes = laid_out(template.select("species_id", "pos", "type").distinct()).select(node_id, "type")
+    sites = laid_out(template.filter("site_idx is not null")).select(
+        node_id, "type", "site_idx", "site_name", "state", (F.col("base") + F.col("partner_pos")).alias("partner_node"), "partner_site",
     )
     return Snapshot(nodes, sites)
 
