@@ -173,13 +173,27 @@ def with_functions(rows: DataFrame, functions: list[tuple[str, str]]) -> DataFra
     return reduce(lambda df, f: df.withColumn(f[0], F.expr(to_sql(f[1])).cast("double")), functions, rows)
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with none, one or two digits after the point: its exact value rounded, ties to an even last digit.
+
+    ``format_string`` rounds the shortest decimal text of a double instead, and ties up, so it makes 0.4 of 0.35, a double below 0.35.
+    Here it renders what is rounded already, and as it stands what has more than 15 digits, is infinite or NaN.
+    """
+    scaled = number * float(10**digits)
+    # what the product lost in rounding; each step is exact, and its sign matters only where the product fell on a tie
+    lost = {0: F.lit(0.0), 1: (number * 8.0 - scaled) + number * 2.0, 2: ((number * 64.0 - scaled) + number * 32.0) + number * 4.0}[digits]
+    tie = F.abs(scaled - F.rint(scaled)) == 0.5
+    whole = F.rint(scaled + F.when(tie & (lost > 0), 0.25).when(tie & (lost < 0), -0.25).otherwise(-0.0))
+    return F.format_string(f"%.{digits}f", F.when(F.abs(scaled) < 1e15, whole / float(10**digits)).otherwise(number))
+
+
 def duration_text(seconds: str | Column) -> Column:
-    """Seconds for display: milliseconds with falling precision, then seconds."""
+    """Seconds for display: milliseconds with falling precision, then seconds; exact values are rounded, ties to even."""
     s = F.col(seconds) if isinstance(seconds, str) else seconds
     ms = s * 1000.0
     return (
-        F.when(ms < 1, F.format_string("%.2f ms", ms))
-        .when(ms < 100, F.format_string("%.1f ms", ms))
-        .when(ms < 10_000, F.format_string("%.0f ms", ms))
-        .otherwise(F.format_string("%.1f s", s))
+        F.when(ms < 1, F.concat(fixed(ms, 2), F.lit(" ms")))
+        .when(ms < 100, F.concat(fixed(ms, 1), F.lit(" ms")))
+        .when(ms < 10_000, F.concat(fixed(ms, 0), F.lit(" ms")))
+        .otherwise(F.concat(fixed(s, 1), F.lit(" s")))
     )
