@@ -315,7 +315,8 @@ def expressions_on_lines(spark, sf):
     # a parameter may be named like a word of SQL; conditions count 1 or 0; a division by zero is infinite and only matters where it is taken
     named = two.withColumn("order", F.col("d"))
     three = expressions.evaluate(named, "if(q != 25 && order > 0.05, 2^3^2/(q - 30), (x > 0.04)*q - (x == 0 || q > 40))", name="guarded")
-    return three.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("value", 6).alias("value"), F.round("shadowed", 9).alias("shadowed"), F.round("guarded", 9).alias("guarded"))
+    shown = [expressions.rounded(F.col(c), n).alias(c) for c, n in (("value", 6), ("shadowed", 9), ("guarded", 9))]
+    return three.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *shown)
 
 
 @query(
