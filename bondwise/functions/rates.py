@@ -81,19 +81,20 @@ def distinct_tuple_sum(weights: DataFrame, slots: list[str], keys: tuple[str, ..
 
 
 def energy_rates(matches: DataFrame, contexts: DataFrame, terms: DataFrame, phi: float, ea0: float, rt: float) -> DataFrame:
-    """(match_id, dg, rate, reverse): Arrhenius rates of each match, both ways, from the energy terms its context switches on.
+    """(columns of ``matches``, dg, rate, reverse): Arrhenius rates of each match, both ways, from the energy terms its context switches on.
 
     ``contexts`` is (match_id, context) with a row for each context present; ``terms`` is (term, energy,
     context), with null context where the term always applies and several rows where any of several contexts
-    will do. Scoring matches needs no expansion of a rule into one variant per context combination.
+    will do. Scoring matches needs no expansion of a rule into one variant per context combination. Terms are
+    declarations and broadcast; contexts are dealt out once, by match, and matches once.
     """
     always = terms.filter("context is null").select("term", "energy").distinct()
     base = always.agg(F.coalesce(F.sum("energy"), F.lit(0.0)).alias("base"))
-    gated = contexts.distinct().join(terms.filter("context is not null"), "context")
+    gated = contexts.join(F.broadcast(terms.filter("context is not null")), "context").select("match_id", "term", "energy")
     # a term counts once however many of its contexts are there
-    once = gated.groupBy("match_id", "term").agg(F.max("energy").alias("energy"))
+    once = gated.repartition("match_id").groupBy("match_id", "term").agg(F.max("energy").alias("energy"))
     extra = once.groupBy("match_id").agg(F.sum("energy").alias("extra"))
     dg = F.col("base") + F.coalesce("extra", F.lit(0.0))
     arrhenius = lambda share: F.exp(-(F.lit(ea0) + share * F.col("dg")) / rt)
     rows = matches.join(extra, "match_id", "left").crossJoin(F.broadcast(base)).withColumn("dg", dg)
-    return rows.select("match_id", "dg", arrhenius(phi).alias("rate"), arrhenius(phi - 1.0).alias("reverse"))
+    return rows.select(*matches.columns, "dg", arrhenius(phi).alias("rate"), arrhenius(phi - 1.0).alias("reverse"))

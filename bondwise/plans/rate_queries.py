@@ -128,9 +128,8 @@ def energy_rates(spark, sf):
     terms = spark.createDataFrame(
         [("base", 1.5, None), ("gated", -2.0, "flag R"), ("gated", -2.0, "status F"), ("open", 0.75, "status O")], "term string, energy double, context string"
     )
-    keys = lines.select("match_id", *ids)
-    both = rates.energy_rates(keys.select("match_id"), contexts, terms, 0.3, 0.5, 2.478)
-    return keys.join(both, "match_id").select(*ids, F.round(F.ln("rate"), 9).alias("ln_fwd"), F.round(F.ln("reverse"), 9).alias("ln_rev"))
+    both = rates.energy_rates(lines.select("match_id", *ids), contexts, terms, 0.3, 0.5, 2.478)
+    return both.select(*ids, F.round(F.ln("rate"), 9).alias("ln_fwd"), F.round(F.ln("reverse"), 9).alias("ln_rev"))
 
 
 PRICED = """
