@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 
 from bondwise.session import cut
 
+# Rows a part of a merge holds at most, about, since a task sorts its part twice in memory.
+PART_ROWS = 500_000
 
-def in_parts(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+
+def in_parts(rows: DataFrame, keys: list[str], values: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` laid out by range of (keys, values), written with their part number, which fixes the layout.
 
     A part holds a slice of a large group. Rows with equal values are told apart by ``tie``, a hash of all their
-    columns, so that ties spread over parts too.
+    columns, so that ties spread over parts too. Without ``parts`` their number is Spark's.
     """
     # a map has no hash of its own, but its text does
     hashed = lambda f: F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
     tie = F.xxhash64(*map(hashed, rows.schema))
-    placed = rows.withColumn("tie", tie).repartitionByRange(*keys, *values, "tie").withColumn("part", F.spark_partition_id())
+    placed = rows.withColumn("tie", tie).repartitionByRange(*([parts] if parts else []), *keys, *values, "tie").withColumn("part", F.spark_partition_id())
     return cut(placed, "parts")
 
 
@@ -67,7 +70,7 @@ def between(rows: DataFrame, points: DataFrame, at: str) -> DataFrame:
 
     Rows and points are merged in range parts, whose bounds are quantiles of both together, so points may cluster as they like and
     many rows may share a value. What a part needs of its neighbours is one point at each end. Points have distinct x; a row whose
-    ``at`` is null meets none.
+    ``at`` is null meets none. The number of parts follows the number of rows, which is counted first, so that a task's memory does not grow.
     """
     facts = rows.select(F.col(at).cast("double").alias("at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     value = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -75,16 +78,19 @@ def between(rows: DataFrame, points: DataFrame, at: str) -> DataFrame:
         F.col("x").cast("double").alias("at"), F.lit(None).cast(facts.schema["row"].dataType).alias("row"), value.alias("point"), F.lit(0).alias("kind")
     )
     both = marks.unionByName(facts.select("at", "row", F.lit(None).cast(POINT).alias("point"), F.lit(1).alias("kind")))
-    placed = in_parts(both, [], ["at", "kind"])
+    count = both.count() // PART_ROWS + 1
+    placed = in_parts(both, [], ["at", "kind"], count if count > 1 else None).drop("tie")
     ends = placed.groupBy("part").agg(F.max("point").alias("high"), F.min("point").alias("low"))
     parts = W.orderBy("part")  # one row per part
     left = F.last("high", ignorenulls=True).over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("left")
     right = F.first("low", ignorenulls=True).over(parts.rowsBetween(1, W.unboundedFollowing)).alias("right")
     inside = W.partitionBy("part").orderBy("at", "kind")
-    seen = placed.withColumn("before", F.last("point", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    # by range, because hashes would put several parts into one task
+    dealt = placed.repartitionByRange(count, "part") if count > 1 else placed
+    seen = dealt.withColumn("before", F.last("point", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     # the same order backwards, so that the nearest point beyond is a running value too
     back = W.partitionBy("part").orderBy(F.desc("at"), F.desc("kind"))
     seen = seen.withColumn("after", F.last("point", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)))
-    met = seen.filter("kind = 1").join(ends.select("part", left, right), "part")
+    met = seen.filter("kind = 1").join(F.broadcast(ends.select("part", left, right)), "part")
     known = lambda c: F.when(F.col("at").isNotNull(), c)
     return met.select("row", "at", known(F.coalesce("before", "left")).alias("before"), known(F.coalesce("after", "right")).alias("after"))
