@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bondwise.sources.text import file_stem, small_files, text_rows, write_ordered_lines
+from bondwise.session import cut
+from bondwise.sources.text import file_stem, small_files, split_lines, text_rows, write_ordered_lines
 
+# Lines of a report that one window sees together.
+PIECE_LINES = 100_000
 # The line formats of run logs, reports and model comments.
 INVARIANT_LINE = r"^#\s*invariant\s*:\s*(.+?)\s*$"
 INVARIANT_KINDS = r"^(nonneg|conserved|balance)\b"
@@ -122,14 +125,23 @@ def read_footprints(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(file, model, wall_s): wall times of report sections; a section's first wall-time line counts."""
-    rows = small_files(spark, path)
+    rows = split_lines(spark, path)
     model = F.nullif(F.regexp_extract("line", SECTION_LINE, 1), F.lit(""))
     wall = F.nullif(F.regexp_extract("line", WALL_LINE, 1), F.lit("")).cast("double")
-    marked = rows.select("file", "line_no", model.alias("head"), wall.alias("wall_s")).filter("head is not null or wall_s is not null")
-    down = F.last("head", ignorenulls=True).over(W.partitionBy("file").orderBy("line_no"))
-    part = F.count("head").over(W.partitionBy("file").orderBy("line_no"))
-    inside = marked.withColumn("model", down).withColumn("part", part).filter("wall_s is not null and model is not null")
-    first = inside.groupBy("file", "part", "model").agg(F.min_by("wall_s", "line_no").alias("wall_s"))
+    piece = F.struct("block", F.expr(f"line_no div {PIECE_LINES}").alias("number")).alias("piece")
+    marked = rows.select("file", piece, "line_no", model.alias("head"), wall.alias("wall_s")).filter("head is not null or wall_s is not null")
+    marked = cut(marked, "report-lines")  # read twice, with the same blocks
+    # a piece carries on the section that the pieces before it left open
+    last = F.max(F.when(F.col("head").isNotNull(), F.struct("line_no", "head")))
+    ends = marked.groupBy("file", "piece").agg(last["head"].alias("last"), F.count("head").alias("n"))
+    before = W.partitionBy("file").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # one row per piece
+    open_head = F.last("last", ignorenulls=True).over(before).alias("open")
+    ends = ends.select("file", "piece", open_head, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    here = W.partitionBy("file", "piece").orderBy("line_no")
+    down = marked.withColumn("model", F.last("head", ignorenulls=True).over(here)).withColumn("part", F.count("head").over(here))
+    inside = down.filter("wall_s is not null").join(ends, ["file", "piece"])
+    inside = inside.withColumn("model", F.coalesce("model", "open")).withColumn("part", F.col("part") + F.col("shift")).filter("model is not null")
+    first = inside.groupBy("file", "part", "model").agg(F.min(F.struct("piece", "line_no", "wall_s"))["wall_s"].alias("wall_s"))
     return first.groupBy("file", "model").agg(F.max_by("wall_s", "part").alias("wall_s"))
 
 

@@ -35,6 +35,19 @@ def small_files(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", "line_no", F.trim("line").alias("line")).filter(F.length("line") > 0)
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line_no, line) for large files where line order matters; a file is split over tasks.
+
+    ``block`` is where a split starts in its file. Lines of a file are ordered by (block, line_no); line numbers
+    compare only within a block.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("line"),
+    )
+    return rows.filter(F.length("line") > 0)
+
+
 def few_files(df: DataFrame) -> bool:
     """Whether a table with one row per input file may be broadcast: the driver knows the file list."""
     return len(df.inputFiles()) <= MAX_BROADCAST_FILES
