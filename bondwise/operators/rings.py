@@ -75,20 +75,29 @@ class _Sides:
     """The weighted rows of each bond of a ring, every end with its number of neighbours."""
 
     def __init__(self, snap: Snapshot, p: Pattern):
-        self.rows = {}
+        self.rows, made, same = {}, {}, {}
         for (a, sa), (b, sb) in p.bonds():
-            weights = link_weights(snap, p.mols[a], p.mols[b], [(p.mols[a].slots[sa], p.mols[b].slots[sb])])
             # further slots thin out the rows before anything is joined; a node's share enters with its first bond only
-            own = [i for i in (a, b) if i not in {x for pair in self.rows for x in pair}]
-            named = _further_slots(snap, p, weights.select(F.col("u").alias(f"n{a}"), F.col("v").alias(f"n{b}"), "w"), "w", own)
-            self.rows[a, b] = cut(named.select(F.col(f"n{a}").alias("u"), F.col(f"n{b}").alias("v"), "w"), "link-weights")
-        ends = reduce(DataFrame.unionByName, (r.select(F.col(c).alias("node")) for r in self.rows.values() for c in "uv"))
+            own = [i for i in (a, b) if i not in {x for pair in self.rows for x in pair} and any(not isinstance(s.bond, int) for s in p.mols[i].slots)]
+            ends = [(p.mols[i].type, str(p.mols[i].slots[s].predicate())) for i, s in ((a, sa), (b, sb))]
+            # bonds that fall on the same links, in either direction, share their rows
+            kind = (a, b) if own else tuple(sorted(ends))
+            turned = not own and ends != sorted(ends)
+            if kind not in made:
+                weights = link_weights(snap, p.mols[a], p.mols[b], [(p.mols[a].slots[sa], p.mols[b].slots[sb])])
+                named = _further_slots(snap, p, weights.select(F.col("u").alias(f"n{a}"), F.col("v").alias(f"n{b}"), "w"), "w", own)
+                x, y = (b, a) if turned else (a, b)
+                made[kind] = cut(named.select(F.col(f"n{x}").alias("u"), F.col(f"n{y}").alias("v"), "w"), "link-weights")
+            same[a, b] = kind
+            self.rows[(b, a) if turned else (a, b)] = made[kind]
+        ends = reduce(DataFrame.unionByName, (r.select(F.col(c).alias("node")) for r in made.values() for c in "uv"))
         degree = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "neighbour-counts")
-        for pair, rows in self.rows.items():
+        for kind, rows in made.items():
             for c in "uv":
                 per = degree.select(F.col("node").alias(c), "deg", F.col("deg").alias(f"d{c}"))
                 rows = hub_join(rows, per, c, snap.n_sites())
-            self.rows[pair] = cut(rows, "ranked-weights")
+            made[kind] = cut(rows, "ranked-weights")
+        self.rows = {pair: made[same.get(pair) or same[pair[1], pair[0]]] for pair in self.rows}
 
     def between(self, a: int, b: int, weight: str) -> DataFrame:
         """(n{a}, n{b}, weight, r{a}, r{b}): ``r`` orders nodes by neighbours, then by id."""
