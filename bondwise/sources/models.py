@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bondwise.session import cut
+
 MAX_REACTANTS = 6
 
 
@@ -190,26 +192,45 @@ def unpinned_patterns(rules: DataFrame, types: DataFrame) -> DataFrame:
     return per.join(declared, ["model", "type"], "left").filter(F.col("open") | (F.col("listed") < F.col("declared")))
 
 
+def tags_in(spark: SparkSession, path: str, tags: list[str]) -> set[str]:
+    """Those of ``tags`` whose names stand anywhere in the files: one pass over text, in pieces up to the next ``>``, so that long lines do no harm."""
+    pieces = spark.read.option("lineSep", ">").text(path)
+    found = pieces.agg(*[F.coalesce(F.bool_or(F.contains("value", F.lit(t))), F.lit(False)).alias(t) for t in tags]).first()
+    return {t for t in tags if found[t]}
+
+
 def lint_models(spark: SparkSession, path: str) -> DataFrame:
-    """(model, element, severity, feature, subject): constructs that cannot be honoured or only in part."""
-    rules, types, seeds = read_rules(spark, path), read_types(spark, path), read_seeds(spark, path)
-    params, functions = read_parameters(spark, path), read_functions(spark, path)
-    audit = pattern_audit(rules)
+    """(model, element, severity, feature, subject): constructs that cannot be honoured or only in part.
+
+    Each tag is read once and written, since every check would parse the files again; a tag that stands in no file is not parsed at all.
+    """
+    readers = {
+        "ReactionRule": read_rules, "MoleculeType": read_types, "Species": read_seeds, "Parameter": read_parameters, "Function": read_functions,
+        **{t: lambda spark, path, t=t: _rows(spark, path, t, "_id string") for t in ("compartment", "Compartment")},
+    }
+    present = tags_in(spark, path, list(readers))
+
+    def once(tag: str) -> DataFrame:
+        rows = readers[tag](spark, path)
+        return cut(rows, f"lint-{tag}") if tag in present else spark.createDataFrame([], rows.schema)
+
+    rules, types, seeds, params, functions = (once(t) for t in ("ReactionRule", "MoleculeType", "Species", "Parameter", "Function"))
 
     def finding(rows: DataFrame, subject: str, severity: str, element: str, feature: str) -> DataFrame:
         return rows.select("model", F.lit(element).alias("element"), F.lit(severity).alias("severity"), F.lit(feature).alias("feature"), F.col(subject).alias("subject"))
 
     n_react = F.coalesce(F.size("reactants"), F.lit(0))
     out = []
-    areas = _rows(spark, path, "compartment", "_id string").unionByName(_rows(spark, path, "Compartment", "_id string"))
+    areas = once("compartment").unionByName(once("Compartment"))
     out.append(finding(areas.filter("_id is not null"), "_id", "Error", "ListOfCompartments", "compartment volumes"))
     for law, note in (("Sat", "deprecated saturation law"), ("Hill", "law for generated networks only")):
         out.append(finding(rules.filter(F.col("law") == law), "rule_id", "Error", f"RateLaw@type={law}", note))
     binds = F.exists("ops", lambda o: o["op"] == "AddBond") | F.exists("ops", lambda o: o["op"] == "DeleteBond")
     arrhenius = rules.filter((F.col("law") == "Arrhenius") & ~(binds & (F.size("ops") == 1) & (n_react <= 2)))
     out.append(finding(arrhenius, "rule_id", "Error", "RateLaw@type=Arrhenius", "energy rule beyond two-reactant binding"))
-    loose = audit.filter("loose").select("model", "rule_id").distinct().withColumn("loose", F.lit(True))
-    many = rules.filter(n_react >= 3).join(loose, ["model", "rule_id"], "left")
+    many = rules.filter(n_react >= 3)
+    loose = pattern_audit(many).filter("loose").select("model", "rule_id").distinct().withColumn("loose", F.lit(True))
+    many = many.join(loose, ["model", "rule_id"], "left")
     many = many.filter(F.coalesce("loose", F.lit(False)) | (F.col("law") != "Ele") | (n_react > MAX_REACTANTS))
     out.append(finding(many, "rule_id", "Error", "ListOfReactantPatterns", "three or more reactants outside the covered shapes"))
     out.append(finding(types.filter("population").select("model", "type").distinct(), "type", "Error", "MoleculeType@population", "hybrid population type"))

@@ -184,3 +184,11 @@ def test_reports_are_split_over_tasks(spark, tmp_path, monkeypatch, lines):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {f"m{k % 290}": k + 1.5 for k in range(300)}
+
+
+def test_lint_parses_each_tag_once(spark, tmp_path):
+    """The checks read written tables, not the files again, and tags that stand in no file are known from one pass over text."""
+    path = put(tmp_path / "x.xml", XML)
+    found = models.lint_models(spark, path)
+    assert found.count() == 10 and not any(f.endswith(".xml") for f in found.inputFiles())
+    assert models.tags_in(spark, path, ["ReactionRule", "Species", "compartment", "Nowhere"]) == {"ReactionRule", "Species", "compartment"}
