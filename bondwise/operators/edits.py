@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from bondwise.functions.combinatorics import distinct_sum, subsets
 from bondwise.model import SITE_COLS, Mol, Snapshot
 from bondwise.operators.draw import first_n
-from bondwise.operators.order import running_sum
+from bondwise.operators.order import PART_ROWS, running_sum
+from bondwise.operators.skew import hub_join
 from bondwise.operators.spanning import cut_labels, judge
-from bondwise.session import cut
+from bondwise.session import cut, cut_measured
 
 STATE_OPS = ("set_state", "inc_state", "dec_state")
 OPS = (*STATE_OPS, "add_bond", "delete_bond", "add_node", "delete_node", "delete_complex")
@@ -33,9 +34,9 @@ def expand_complex_deletes(edits: DataFrame, complexes: DataFrame) -> DataFrame:
 
 
 def _bond_ends(edits: DataFrame) -> DataFrame:
-    near = edits.select("edit_id", "op", "node_id", "site_idx")
+    near = edits.select("edit_id", "op", "node_id", "site_idx", "new_state")
     far = edits.filter("op = 'add_bond'").select(
-        "edit_id", "op", F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx")
+        "edit_id", "op", F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx"), "new_state"
     )
     return near.unionByName(far)
 
@@ -62,10 +63,8 @@ def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_dec
         "edit_id", F.lit("site bound to itself").alias("error")
     )
     allowed = type_decl.select("type", "site_name", "allowed_states").dropDuplicates(["type", "site_name"])
-    wanted = edits.filter("op = 'set_state'").join(found.filter("op = 'set_state'").select("edit_id", "node_id", "site_idx", "type", "site_name"),
-                                                   ["edit_id", "node_id", "site_idx"])
     bad_state = (
-        wanted.join(F.broadcast(allowed), ["type", "site_name"], "left")
+        found.filter("op = 'set_state'").join(F.broadcast(allowed), ["type", "site_name"], "left")
         .filter(~F.coalesce(F.array_contains("allowed_states", F.col("new_state")), F.lit(False)))
         .select("edit_id", F.lit("state not allowed").alias("error"))
     )
@@ -84,12 +83,16 @@ def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_dec
         "edit_id", F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx"), F.lit("bond").alias("facet"),
         F.lit(True).alias("by_delete"),
     )
-    touch = cut(touch.unionByName(freed).unionByName(dropped), "touches")
+    touch, seen = cut_measured(touch.unionByName(freed).unionByName(dropped), "touches")
+    # such rows are short and alike, so many of them pass for a small part: the number of parts follows the rows
+    count = seen["n_rows"] // PART_ROWS + 1
+    parts = max(count, int(touch.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if count > 1 else None
     # a site is touched by few edits or is in error; the counts pre-aggregate either way
-    crowded = touch.groupBy("node_id", "site_idx", "facet").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and("by_delete").alias("only_deletes")
-    ).filter("n > 1 and not only_deletes")
-    clash = touch.join(crowded.select("node_id", "site_idx", "facet"), ["node_id", "site_idx", "facet"])
+    place = ["node_id", "site_idx", "facet"]
+    crowded = touch.groupBy(*place).agg(
+        F.count(F.lit(1)).alias("deg"), F.bool_and("by_delete").alias("only_deletes")
+    ).filter("deg > 1 and not only_deletes").drop("only_deletes")
+    clash = hub_join(touch, crowded, place, seen["n_rows"], parts=parts)
     clash = clash.select("edit_id", F.lit("site touched twice").alias("error"))
     twice = deletes.unionByName(added).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node_id")
     doubled = deletes.unionByName(added).join(twice, "node_id", "left_semi").select("edit_id", F.lit("node given twice").alias("error"))
@@ -99,8 +102,8 @@ def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_dec
     flagged = both.groupBy("node_id").agg(F.bool_or("touched").alias("touched"), F.bool_or(~F.col("touched")).alias("deleted")).filter("touched and deleted").select("node_id")
     killed = live_touch.unionByName(deletes).join(flagged, "node_id", "left_semi").select("edit_id")
     killed = killed.select("edit_id", F.lit("touches a deleted node").alias("error"))
-    parts = [bad_site, on_free, on_bound, loop, bad_state, no_node, in_use, clash, doubled, killed]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    every = reduce(DataFrame.unionByName, [bad_site, on_free, on_bound, loop, bad_state, no_node, in_use, clash, doubled, killed])
+    return (every.repartition(parts, "edit_id") if parts else every).distinct()
 
 
 def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexes: DataFrame | None = None,
@@ -120,7 +123,7 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
     )
     if errors is None:
         errors = cut(edit_errors(snap, edits, new_sites, type_decl), "edit-errors")
-    bad = errors.select("edit_id").distinct()
+    bad = errors.select("edit_id")  # an edit may have several errors, which anti joins need not know
     good = edits.join(bad, "edit_id", "left_anti")
     new_sites = new_sites.join(bad, "edit_id", "left_anti").select(*SITE_COLS)
     new_nodes = fresh.join(bad, "edit_id", "left_anti").select("node_id", "type")

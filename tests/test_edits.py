@@ -277,3 +277,16 @@ def test_copies_of_species_meet_no_join(spark):
     assert tuple(ids) == (10, 300_012, 300_003, 300_003)
     assert made.sites.count() == 300_000 and quality.link_errors(made.sites).count() == 0
     assert sorted(r.node_id for r in made.nodes.filter("type = 'C'").collect()) == [300_010, 300_011, 300_012]
+
+
+def test_errors_of_many_edits_are_dealt_out(spark, monkeypatch):
+    """Short rows of many edits go to a number of tasks that follows the rows; an edit with two errors and a crowded site keep their results."""
+    monkeypatch.setattr(edits, "PART_ROWS", 3)
+    dealt = []
+    join = edits.hub_join
+    monkeypatch.setattr(edits, "hub_join", lambda *a, **k: dealt.append(k["parts"]) or join(*a, **k))
+    e = batch(spark, *[(k, "set_state", 1, 2, "p") for k in range(1, 9)], (20, "set_state", 2, 2, "nowhere"), (21, "set_state", 2, 2, "q"), (22, "set_state", 4, 2, "q"), (23, "set_state", 7, 0, "u"))
+    after, errors = edits.apply_edits(chain(spark), e, decl(spark))
+    want = {(k, "site touched twice") for k in (*range(1, 9), 20, 21)} | {(20, "state not allowed"), (23, "no such site"), (23, "state not allowed")}
+    assert sorted(map(tuple, errors.collect())) == sorted(want) and dealt == [5]
+    assert {r.node_id: r.state for r in after.sites.filter("site_name = 'm'").collect()} == {1: "u", 2: "u", 4: "q"}
