@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote_plus
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ def number_text(value: Column) -> Column:
     return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
 
 
+def label_text(value: Column) -> Column:
+    """A value as one field without white space or comment mark that ``label_of`` reads back, null and empty text included."""
+    text = F.url_encode(value.cast("string"))
+    return F.when(text.isNull(), "\\N").when(text == "", "\\E").otherwise(text)
+
+
+def label_of(field: Column) -> Column:
+    return F.when(field == "\\E", "").when(field != "\\N", F.try_url_decode(field))
+
+
+def name_text(name: str) -> str:
+    """A column name as ``label_text`` writes a value."""
+    return quote_plus(name, safe="*-._").replace("~", "%7E") or "\\E"
+
+
 def file_stem(path: Column, suffix: str) -> Column:
     """File name without directories and without ``suffix``."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), suffix.replace(".", r"\.") + "$", "")
