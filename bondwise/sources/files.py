@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +16,10 @@ from bondwise.sources.text import file_stem, small_files, split_lines, text_rows
 
 # Lines of a report that one window sees together.
 PIECE_LINES = 100_000
+# A file of more than WHOLE_BYTES is hashed in pieces, READ_BYTES at a time.
+WHOLE_BYTES, PIECE_BYTES, READ_BYTES = 64 << 20, 256 << 20, 4 << 20
+# The size of OpenSSL's SHA256_CTX.
+STATE_BYTES = 112
 # The line formats of run logs, reports and model comments.
 INVARIANT_LINE = r"^#\s*invariant\s*:\s*(.+?)\s*$"
 INVARIANT_KINDS = r"^(nonneg|conserved|balance)\b"
@@ -145,8 +154,93 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return first.groupBy("file", "model").agg(F.max_by("wall_s", "part").alias("wall_s"))
 
 
+def _resumable_sha256():
+    """SHA-256 of OpenSSL with a state that can be carried on elsewhere, or None where Python's own library does not offer it."""
+    try:
+        import _hashlib
+
+        lib = ctypes.CDLL(_hashlib.__file__)
+        half = _sha256_state(lib)
+        lib.SHA256_Update(half, b"a" * 100, ctypes.c_size_t(100))
+        rest = ctypes.create_string_buffer(half.raw, STATE_BYTES)
+        lib.SHA256_Update(rest, b"b" * 100, ctypes.c_size_t(100))
+        return lib if _sha256_end(lib, rest) == hashlib.sha256(b"a" * 100 + b"b" * 100).hexdigest() else None
+    except (ImportError, OSError, AttributeError):
+        return None
+
+
+def _sha256_state(lib, state: bytes | None = None):
+    held = ctypes.create_string_buffer(state or b"", STATE_BYTES)
+    if state is None:
+        lib.SHA256_Init(held)
+    return held
+
+
+def _sha256_end(lib, held) -> str:
+    out = ctypes.create_string_buffer(32)
+    lib.SHA256_Final(out, held)
+    return out.raw.hex()
+
+
+def _file_system(path: str):
+    """The file system of a path as Spark lists it, and the path there; raises for schemes that Arrow does not know."""
+    scheme, _, rest = path.partition(":") if not path.startswith("/") else ("file", "", path)
+    authority, _, inner = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest.lstrip("/"))
+    if scheme == "file":
+        return fs.LocalFileSystem(), f"/{inner}"
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def hash_step(path: str, length: int, at: int, state: bytes | None, piece: int) -> tuple[int, bytes | None, str | None]:
+    """One task's share of a file: the place it came to, the state there, and at the end of the file the digest.
+
+    Without a resumable SHA-256 the file is hashed from its start, in one go.
+    """
+    lib = _resumable_sha256()
+    system, name = _file_system(path)
+    with system.open_input_file(name) as file:
+        if lib is None:
+            whole = hashlib.sha256()
+            while chunk := file.read(READ_BYTES):
+                whole.update(chunk)
+            return length, None, whole.hexdigest()
+        held, end = _sha256_state(lib, state), min(at + piece, length)
+        file.seek(at)
+        while at < end:
+            chunk = file.read(min(READ_BYTES, end - at))
+            if not chunk:
+                raise OSError(f"{path} ends at {at}, not at {length}")
+            lib.SHA256_Update(held, chunk, ctypes.c_size_t(len(chunk)))
+            at += len(chunk)
+    return (at, None, _sha256_end(lib, held)) if at == length else (at, held.raw, None)
+
+
+def _large_hashes(spark: SparkSession, large: list[tuple[str, int]]) -> list[tuple[str, str]]:
+    """(path, sha256) of large files. A SHA-256 is one chain, so each round takes every file one piece further, a task a piece."""
+    piece, kind = PIECE_BYTES, "path string, length long, at long, state binary, sha256 string"
+
+    def each(batches):
+        for batch in batches:
+            rows = [(r["path"], r["length"], *hash_step(r["path"], r["length"], r["at"], r["state"], piece)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], names)
+
+    names = ["path", "length", "at", "state", "sha256"]
+    rows, done = [(path, length, 0, None, None) for path, length in large], []
+    while rows:
+        dealt = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), kind)
+        after = [tuple(r) for r in dealt.mapInArrow(each, kind).collect()]
+        done += [(r[0], r[4]) for r in after if r[4] is not None]
+        rows = [r for r in after if r[4] is None]
+    return done
+
+
 def file_hashes(spark: SparkSession, root: str, skip_dirs: list[str] | None = None, skip_files: list[str] | None = None) -> DataFrame:
-    """(path, sha256) of every file under a root, scratch directories and files left out."""
+    """(path, sha256) of every file under a root, scratch directories and files left out.
+
+    Files of up to ``WHOLE_BYTES`` are read as one value. Larger ones are read in pieces: their number is at most the bytes under the root over
+    ``WHOLE_BYTES``, and only names, places and states of 112 bytes pass the driver. On file systems that Arrow does not know, all are read as one value.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if "://" in root or root.startswith("file:") else "file:" + root
     clean = lambda c: F.regexp_replace(c, r"^([a-z0-9]+):/+", "$1:/")
@@ -157,7 +251,18 @@ def file_hashes(spark: SparkSession, root: str, skip_dirs: list[str] | None = No
         keep = keep & ~F.element_at(parts, -1).isin(skip_files)
     if skip_dirs:
         keep = keep & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(d) for d in skip_dirs]))
-    return files.filter(keep).select(inner.alias("path"), F.sha2("content", 256).alias("sha256"))
+    kept = files.filter(keep)
+    whole = lambda rows: rows.select(inner.alias("path"), F.sha2("content", 256).alias("sha256"))
+    large = [tuple(r) for r in kept.filter(F.col("length") > WHOLE_BYTES).select("path", "length").collect()]
+    try:
+        for path, _ in large[:1]:
+            _file_system(path)
+    except (OSError, ValueError, NotImplementedError):
+        large = []
+    if not large:
+        return whole(kept)
+    hashed = spark.createDataFrame(_large_hashes(spark, large), "path string, sha256 string")
+    return whole(kept.filter(F.col("length") <= WHOLE_BYTES)).unionByName(hashed.select(inner.alias("path"), "sha256"))
 
 
 def write_manifest(hashes: DataFrame, path: str, header: list[str]) -> None:
