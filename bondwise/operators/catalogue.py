@@ -87,6 +87,15 @@ def program(p: Pattern) -> list[dict]:
         partner[a], partner[b] = b, a
     steps = [{"kind": "start", "mol": 0, "type": p.mols[0].type}]
     placed, done, queue = {0: 0}, set(), [0]
+
+    def count(i: int, early: bool) -> None:
+        """A node whose bonded and other slots have no name in common is counted at once: its bonds cannot take the sites, and fewer matches are walked on."""
+        free, bonded = ({s.name for s in p.mols[i].slots if isinstance(s.bond, int) is b} for b in (False, True))
+        groups = _count_groups(p.mols[i])
+        if groups and early is free.isdisjoint(bonded):
+            steps.append({"kind": "count", "mol": placed[i], "groups": groups, "type": p.mols[i].type})
+
+    count(0, True)
     while queue:
         i = queue.pop(0)
         for j in sorted((j for k, j in partner if k == i), key=lambda j: (p.mols[i].slots[j].name, p.mols[i].slots[j].state or "", j)):
@@ -102,10 +111,9 @@ def program(p: Pattern) -> list[dict]:
                 placed[far[0]] = len(placed)
                 queue.append(far[0])
                 steps.append({**step, "kind": "follow", "far_mol": placed[far[0]]})
-    for i, at in placed.items():
-        groups = _count_groups(p.mols[i])
-        if groups:
-            steps.append({"kind": "count", "mol": at, "groups": groups, "type": p.mols[i].type})
+                count(far[0], True)
+    for i in placed:
+        count(i, False)
     parent, out = 0, []
     for depth, step in enumerate(steps):
         name = int.from_bytes(hashlib.blake2b(f"{parent} {sorted(step.items())}".encode(), digest_size=8).digest(), "big", signed=True)
@@ -151,17 +159,25 @@ def _key(c: Column) -> Column:
 
 def match_programs(snap: Snapshot, programs: DataFrame) -> DataFrame:
     """(leaf, node_id, c): for every different pattern, its embeddings by the image of its first node."""
-    steps = cut(programs.select(F.explode("steps").alias("s")).select("s.*").dropDuplicates(["id"]), "pattern-steps")
+    steps = programs.select(F.explode("steps").alias("s")).select("s.*").dropDuplicates(["id"])
+    keyed = lambda t: F.struct(t["coef"].alias("coef"), F.transform(t["conds"], lambda c: c.withField("key", _key(c))).alias("conds"))
+    steps = steps.withColumn("groups", F.transform("groups", lambda g: F.transform(g, keyed)))
+    # a group of one condition fails where no site meets it, which is cheaper to see than the whole product
+    alone = F.get(F.filter("groups", lambda g: (F.size(g) == 1) & (F.size(F.get(g, F.lit(0))["conds"]) == 1)), F.lit(0))
+    steps = cut(steps.withColumn("need", F.get(F.get(alone, F.lit(0))["conds"], F.lit(0))["key"]), "pattern-steps")
     leaves = programs.filter("leaf is not null").select("leaf").distinct()
-    far = snap.sites.filter("partner_node is not null").select(
+    # only links along which some step walks
+    walks, bonded = steps.filter("kind in ('follow', 'close')"), snap.sites.filter("partner_node is not null")
+    near = bonded.join(walks.select(F.col("name").alias("site_name")).distinct(), "site_name", "left_semi")
+    far = bonded.select(
         F.col("node_id").alias("partner_node"), F.col("site_idx").alias("partner_site"), F.col("type").alias("far_type"), F.col("site_name").alias("far_name"), F.col("state").alias("far_state")
-    )
-    ends = cut(snap.sites.filter("partner_node is not null").join(far, ["partner_node", "partner_site"]), "pattern-ends")
+    ).join(walks.select(F.col("type").alias("far_type"), "far_name").distinct(), ["far_type", "far_name"], "left_semi")
+    ends = cut(near.drop("type").join(far, ["partner_node", "partner_site"]), "pattern-ends")
     conds = steps.filter("kind = 'count'").select("type", F.explode(F.flatten(F.transform(F.flatten("groups"), lambda t: t["conds"]))).alias("c")).distinct()
     site = {"name": F.col("site_name"), "state": F.col("site_state"), "bound": F.col("partner_node").isNotNull()}
     held = snap.sites.select("node_id", "type", "site_name", F.col("state").alias("site_state"), "partner_node")
     hits = held.join(conds.withColumn("site_name", F.col("c.name")), ["type", "site_name"]).filter(_fits(site, F.col("c.name"), F.col("c.state"), F.col("c.bond")))
-    per = hits.groupBy("node_id", _key(F.col("c")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    per = hits.groupBy("node_id", F.col("c.key").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     # a node has as many entries as its type has different conditions in all models
     counts = cut(per.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("held")), "condition-counts")
     depth = steps.agg(F.max("depth")).first()[0]
@@ -171,23 +187,29 @@ def match_programs(snap: Snapshot, programs: DataFrame) -> DataFrame:
     rows = cut(snap.nodes.join(start, "type").select("id", F.array("node_id").alias("n"), F.array().cast(used_kind).alias("used"), F.lit(1).cast("long").alias("c")), "matches")
     found = [rows.join(leaves.withColumnRenamed("leaf", "id"), "id", "left_semi")]
     for d in range(1, (depth or 0) + 1):
-        below = steps.filter(F.col("depth") == d).withColumnRenamed("id", "child")
-        met = rows.join(below.select(F.col("parent").alias("id"), "child", "kind", "mol", "far_mol", F.col("type").alias("w_type"), F.col("name").alias("w_name"), F.col("state").alias("w_state"),
-                                     F.col("far_name").alias("wf_name"), F.col("far_state").alias("wf_state"), "groups"), "id").withColumn("node_id", F.get("n", F.col("mol")))
-        walk = met.filter("kind <> 'count'").join(ends.drop("type").withColumnRenamed("site_name", "w_name"), ["node_id", "w_name"])
+        below = steps.filter(F.col("depth") == d).select(
+            F.col("parent").alias("id"), F.col("id").alias("child"), "kind", "mol", "far_mol", F.col("type").alias("far_type"), F.col("name").alias("site_name"), F.col("state").alias("w_state"),
+            "far_name", F.col("far_state").alias("wf_state"), "groups", "need",
+        )
+        # matches meet the sites of a node once, and only there the steps that differ in states or conditions
+        at = lambda some, *keys: rows.join(some.select("id", "mol", *keys).distinct(), "id").withColumn("node_id", F.get("n", F.col("mol")))
+        along, near_far = below.filter("kind <> 'count'"), ["site_name", "far_type", "far_name"]
+        walk = at(along, *near_far).join(ends, ["node_id", *near_far]).join(along.drop("groups", "need"), ["id", "mol", *near_far])
         free = lambda m, s: ~F.exists("used", lambda u: (u["m"] == F.col(m)) & (u["site"] == F.col(s)))
         same = lambda want, has: F.col(want).isNull() | F.coalesce(F.col(want) == F.col(has), F.lit(False))
-        walk = walk.filter((F.col("far_type") == F.col("w_type")) & (F.col("far_name") == F.col("wf_name")) & same("w_state", "state") & same("wf_state", "far_state") & free("mol", "site_idx"))
+        walk = walk.filter(same("w_state", "state") & same("wf_state", "far_state") & free("mol", "site_idx"))
         closes = (F.get("n", F.col("far_mol")) == F.col("partner_node")) & free("far_mol", "partner_site") & ((F.col("node_id") != F.col("partner_node")) | (F.col("site_idx") != F.col("partner_site")))
         walk = walk.filter(F.when(F.col("kind") == "close", closes).otherwise(~F.array_contains("n", F.col("partner_node"))))
         entry = lambda m, s, name, state: F.struct(F.col(m).alias("m"), F.col(s).alias("site"), F.col(name).alias("name"), F.col(state).alias("state"), F.lit(True).alias("bound"))
         grown = F.when(F.col("kind") == "close", F.col("n")).otherwise(F.concat("n", F.array("partner_node")))
-        walked = walk.select(F.col("child").alias("id"), grown.alias("n"), F.concat("used", F.array(entry("mol", "site_idx", "w_name", "state"), entry("far_mol", "partner_site", "far_name", "far_state"))).cast(used_kind).alias("used"), "c")
+        walked = walk.select(F.col("child").alias("id"), grown.alias("n"), F.concat("used", F.array(entry("mol", "site_idx", "site_name", "state"), entry("far_mol", "partner_site", "far_name", "far_state"))).cast(used_kind).alias("used"), "c")
         # a count of sites leaves out those the pattern's bonds have taken
-        number = lambda c: F.coalesce(F.element_at("held", _key(c)), F.lit(0)) - F.size(F.filter("used", lambda u: (u["m"] == F.col("mol")) & _fits(u, c["name"], c["state"], c["bond"])))
+        number = lambda c: F.coalesce(F.element_at("held", c["key"]), F.lit(0)) - F.size(F.filter("used", lambda u: (u["m"] == F.col("mol")) & _fits(u, c["name"], c["state"], c["bond"])))
         product = lambda t: F.aggregate(t["conds"], t["coef"], lambda acc, c: acc * number(c))
         ways = F.aggregate("groups", F.lit(1).cast("long"), lambda acc, g: acc * F.aggregate(g, F.lit(0).cast("long"), lambda s, t: s + product(t)))
-        counted = met.filter("kind = 'count'").join(counts, "node_id").select(F.col("child").alias("id"), "n", "used", (F.col("c") * ways).alias("c")).filter("c > 0")
+        tests = below.filter("kind = 'count'")
+        counted = at(tests).join(counts, "node_id").join(tests.select("id", "mol", "child", "groups", "need"), ["id", "mol"]).filter("need is null or map_contains_key(held, need)")
+        counted = counted.select(F.col("child").alias("id"), "n", "used", (F.col("c") * ways).alias("c")).filter("c > 0")
         rows = cut(walked.unionByName(counted), "matches")
         found.append(rows.join(leaves.withColumnRenamed("leaf", "id"), "id", "left_semi"))
     every = reduce(DataFrame.unionByName, [f.select(F.col("id").alias("leaf"), F.get("n", F.lit(0)).alias("node_id"), "c") for f in found])
@@ -200,7 +222,8 @@ def observe_models(counts: DataFrame, programs: DataFrame, observables: DataFram
     totals = counts.groupBy("leaf").agg(F.sum("c").alias("value"))
     molecules = listed.filter("kind = 'Molecules'").join(totals, "leaf", "left").select("model", "obs", F.coalesce("value", F.lit(0)).alias("value"))
     # complexes by how many matches they hold: far fewer rows than complexes, and the conditions are put to those
-    per = counts.join(complexes, "node_id").groupBy("leaf", "complex_id").agg(F.sum("c").alias("m")).groupBy("leaf", "m").agg(F.count(F.lit(1)).alias("complexes"))
+    asked = listed.filter("kind = 'Species'").select("leaf").distinct()
+    per = counts.join(asked, "leaf", "left_semi").join(complexes, "node_id").groupBy("leaf", "complex_id").agg(F.sum("c").alias("m")).groupBy("leaf", "m").agg(F.count(F.lit(1)).alias("complexes"))
     tests = listed.filter("kind = 'Species'").join(per, "leaf", "left")
     m, q = F.col("m"), F.col("quantity")
     holds = F.when(F.col("relation").isNull(), m > 0)
