@@ -48,12 +48,14 @@ class Snapshot:
 
     ``nodes`` has a row per live node, ``sites`` a row per site with the node's type repeated so that a type
     filter reaches the scan. ``partner_node``/``partner_site`` are null on a free site and mirrored on both
-    ends of a link.
+    ends of a link. Where the source of the graph knows both ends of a link in one row, ``ends`` holds the linked sites
+    with ``far_type``, ``far_name`` and ``far_state`` of the site at the other end, which saves joining them.
     """
 
     nodes: DataFrame
     sites: DataFrame
     _n_sites: int | None = field(default=None, repr=False)
+    ends: DataFrame | None = field(default=None, repr=False)
 
     def n_sites(self) -> int:
         """Number of sites, counted once; decides whether any node can be a hub at all."""

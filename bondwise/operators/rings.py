@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from bondwise.functions.combinatorics import distinct_sum, subsets
 from bondwise.model import Mol, Pattern, Slot, Snapshot
 from bondwise.operators.skew import hub_join
-from bondwise.session import cut
+from bondwise.session import cut, cut_measured
+
+# Nodes of more neighbours are ordered by their number; up to MAX_HEAVY of them are broadcast, 16 bytes each.
+FEW = 100
+MAX_HEAVY = 1_000_000
 
 
 def ring_length(p: Pattern) -> int | None:
@@ -40,17 +44,29 @@ def link_weights(snap: Snapshot, near: Mol, far: Mol, bonds: list[tuple[Slot, Sl
     """(u, v, w): in how many ways the bonds (slot of ``near``, slot of ``far``) fall on different links from node u to node v."""
     flags = lambda side, name: [b[side].predicate().alias(f"{name}{i}") for i, b in enumerate(bonds)]
     any_of = lambda side: reduce(lambda a, b: a | b, (b[side].predicate() for b in bonds))
-    here = snap.sites.filter((F.col("type") == near.type) & any_of(0) & (F.col("node_id") != F.col("partner_node"))).select(
-        F.col("node_id").alias("u"), F.col("partner_node").alias("v"), F.col("partner_site").alias("at"), *flags(0, "a")
-    )
-    there = snap.sites.filter((F.col("type") == far.type) & any_of(1)).select(F.col("node_id").alias("v"), F.col("site_idx").alias("at"), *flags(1, "b"))
     fits = lambda block: reduce(lambda a, b: a & b, (F.col(f"a{i}") & F.col(f"b{i}") for i in block))
     label = {b: "k_" + "_".join(map(str, b)) for b in subsets(len(bonds))}
-    sums = here.join(there, ["v", "at"]).groupBy("u", "v").agg(*[F.count_if(fits(b)).alias(n) for b, n in label.items()])
+    links = _links(snap, near, far, flags, any_of)
+    sums = links.groupBy("u", "v").agg(*[F.count_if(fits(b)).alias(n) for b, n in label.items()])
     w = distinct_sum(tuple(range(len(bonds))), lambda b: F.col(label[b]))
     return sums.select("u", "v", w.cast("long").alias("w")).filter("w > 0")
 
 
+def _links(snap: Snapshot, near: Mol, far: Mol, flags, any_of) -> DataFrame:
+    """(u, v, flags of both ends) of the links whose ends fit any bond; both ends stand in one row where the snapshot knows them."""
+    if snap.ends is not None:
+        here = snap.ends.filter((F.col("type") == near.type) & any_of(0) & (F.col("node_id") != F.col("partner_node"))).select(
+            F.col("node_id").alias("u"), F.col("partner_node").alias("v"), F.col("node_id").alias("partner_node"), F.col("far_type").alias("type"),
+            F.col("far_name").alias("site_name"), F.col("far_state").alias("state"), *flags(0, "a"),
+        )
+        return here.filter((F.col("type") == far.type) & any_of(1)).select("*", *flags(1, "b")).drop("partner_node", "type", "site_name", "state")
+    here = snap.sites.filter((F.col("type") == near.type) & any_of(0) & (F.col("node_id") != F.col("partner_node"))).select(
+        F.col("node_id").alias("u"), F.col("partner_node").alias("v"), F.col("partner_site").alias("at"), *flags(0, "a")
+    )
+    there = snap.sites.filter((F.col("type") == far.type) & any_of(1)).select(F.col("node_id").alias("v"), F.col("site_idx").alias("at"), *flags(1, "b"))
+    return here.join(there, ["v", "at"])
+
+
 def _further_slots(snap: Snapshot, p: Pattern, rows: DataFrame, weight: str, places: list[int]) -> DataFrame:
     """Multiply ``weight`` by the ways to place the unbonded slots of the pattern nodes that columns ``n{i}`` hold."""
     from bondwise.operators.match import node_counts
@@ -72,10 +88,15 @@ def pair_counts(snap: Snapshot, p: Pattern) -> DataFrame:
 
 
 class _Sides:
-    """The weighted rows of each bond of a ring, every end with its number of neighbours."""
+    """The weighted rows of each bond of a ring, every end with its number of neighbours where these are more than ``FEW``.
+
+    Nodes of up to ``FEW`` neighbours are not looked up: they come first in the order, by the average of their type, and take part
+    in at most ``FEW`` pairs a neighbour, so the bound becomes m times the greater of ``FEW`` and m^0.5.
+    """
 
     def __init__(self, snap: Snapshot, p: Pattern):
-        self.rows, made, same = {}, {}, {}
+        self.rows, self.seen, made, same = {}, {}, {}, {}
+        n_rows, touching = {}, {}
         for (a, sa), (b, sb) in p.bonds():
             # further slots thin out the rows before anything is joined; a node's share enters with its first bond only
             own = [i for i in (a, b) if i not in {x for pair in self.rows for x in pair} and any(not isinstance(s.bond, int) for s in p.mols[i].slots)]
@@ -88,23 +109,37 @@ class _Sides:
                 named = _further_slots(snap, p, weights.select(F.col("u").alias(f"n{a}"), F.col("v").alias(f"n{b}"), "w"), "w", own)
                 x, y = (b, a) if turned else (a, b)
                 made[kind] = cut(named.select(F.col(f"n{x}").alias("u"), F.col(f"n{y}").alias("v"), "w"), "link-weights")
+                n_rows[kind] = made[kind].count()
+                for i in (x, y):
+                    touching[p.mols[i].type] = touching.get(p.mols[i].type, 0) + n_rows[kind]
             same[a, b] = kind
             self.rows[(b, a) if turned else (a, b)] = made[kind]
         ends = reduce(DataFrame.unionByName, (r.select(F.col(c).alias("node")) for r in made.values() for c in "uv"))
-        degree = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "neighbour-counts")
+        degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+        heavy, seen = cut_measured(degree.filter(F.col("deg") > FEW), "heavy-nodes")
         for kind, rows in made.items():
             for c in "uv":
-                per = degree.select(F.col("node").alias(c), "deg", F.col("deg").alias(f"d{c}"))
-                rows = hub_join(rows, per, c, snap.n_sites())
+                per = heavy.select(F.col("node").alias(c), "deg", F.col("deg").alias(f"d{c}"))
+                rows = rows.join(F.broadcast(per.drop("deg")), c, "left") if seen["n_rows"] <= MAX_HEAVY else hub_join(rows, per, c, n_rows[kind], "left")
             made[kind] = cut(rows, "ranked-weights")
+        nodes = {r[0]: r[1] for r in snap.nodes.filter(F.col("type").isin(list(touching))).groupBy("type").count().collect()}
+        order = sorted(touching, key=lambda t: (touching[t] / max(nodes.get(t, 0), 1), t))
+        self.place = [order.index(m.type) for m in p.mols]
         self.rows = {pair: made[same.get(pair) or same[pair[1], pair[0]]] for pair in self.rows}
 
     def between(self, a: int, b: int, weight: str) -> DataFrame:
-        """(n{a}, n{b}, weight, r{a}, r{b}): ``r`` orders nodes by neighbours, then by id."""
+        """(n{a}, n{b}, weight, r{a}, r{b}): ``r`` orders nodes by neighbours, then by type and id."""
         rows, (x, y) = (self.rows[a, b], "uv") if (a, b) in self.rows else (self.rows[b, a], "vu")
-        end = lambda c, i: [F.col(c).alias(f"n{i}"), F.struct(F.col(f"d{c}"), F.col(c)).alias(f"r{i}")]
+        rank = lambda c, i: F.struct(F.coalesce(f"d{c}", F.lit(0)).alias("deg"), F.lit(self.place[i]).alias("type"), F.col(c).alias("id"))
+        end = lambda c, i: [F.col(c).alias(f"n{i}"), rank(c, i).alias(f"r{i}")]
         return rows.select(*end(x, a), *end(y, b), F.col("w").alias(weight))
 
+    def any_below(self, a: int, b: int) -> bool:
+        """Whether some row of the bond between a and b has its lower end at a."""
+        if (a, b) not in self.seen:
+            self.seen[a, b] = not self.between(a, b, "w").filter(_below(a, b)).isEmpty()
+        return self.seen[a, b]
+
 
 def _below(a: int, b: int) -> Column:
     return F.col(f"r{a}") < F.col(f"r{b}")
@@ -115,11 +150,14 @@ def triangle_counts(snap: Snapshot, p: Pattern) -> DataFrame:
     sides, parts = _Sides(snap, p), []
     for low in range(3):
         i, j = (low + 1) % 3, (low + 2) % 3
+        if (parts or low < 2) and not (sides.any_below(low, i) and sides.any_below(low, j)):
+            continue  # no pairs start here, so the rows that would close them need not be shuffled
         one = sides.between(low, i, "w1").filter(_below(low, i)).select(f"n{low}", f"n{i}", "w1")
         two = sides.between(low, j, "w2").filter(_below(low, j)).select(f"n{low}", f"n{j}", "w2")
         closing = sides.between(i, j, "w3").select(f"n{i}", f"n{j}", "w3")
-        met = one.join(two, f"n{low}").join(closing, [f"n{i}", f"n{j}"])
-        parts.append(met.select("n0", "n1", "n2", (F.col("w1") * F.col("w2") * F.col("w3")).alias("c")))
+        open_pairs = one.join(two, f"n{low}").select("n0", "n1", "n2", (F.col("w1") * F.col("w2")).alias("w"))
+        met = open_pairs.join(closing, [f"n{i}", f"n{j}"])
+        parts.append(met.select("n0", "n1", "n2", (F.col("w") * F.col("w3")).alias("c")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -81,17 +81,17 @@ def line_graph(spark: SparkSession, sf_dir: str, min_quantity: float | None = No
         node_key(key, code).alias("node_id"), F.lit(type_name).alias("type"), F.lit(0).cast("long").alias("site_idx"), F.lit(name).alias("site_name"),
         F.col(state).alias("state"), _none("long").alias("partner_node"), _none("long").alias("partner_site"),
     )
-    end = lambda key, code, type_name, name, state, far, far_code: lines.select(
+    item, line = ("l_orderkey", ORDER, "Order", "item", "l_returnflag"), ("l_partkey", PART, "Part", "line", "l_linestatus")
+    end = lambda key, code, type_name, name, state, far: lines.select(
         node_key(key, code).alias("node_id"), F.lit(type_name).alias("type"), line_key().alias("site_idx"), F.lit(name).alias("site_name"),
-        F.col(state).alias("state"), node_key(far, far_code).alias("partner_node"), line_key().alias("partner_site"),
-    )
-    both = end("l_orderkey", ORDER, "Order", "item", "l_returnflag", "l_partkey", PART).unionByName(
-        end("l_partkey", PART, "Part", "line", "l_linestatus", "l_orderkey", ORDER)
+        F.col(state).alias("state"), node_key(far[0], far[1]).alias("partner_node"), line_key().alias("partner_site"),
+        F.lit(far[2]).alias("far_type"), F.lit(far[3]).alias("far_name"), F.col(far[4]).alias("far_state"),
     )
+    both = end(*item, line).unionByName(end(*line, item))
     sites = own(orders, "o_orderkey", ORDER, "Order", "status", "o_orderstatus").unionByName(
         own(part, "p_partkey", PART, "Part", "brand", "p_brand")
     )
-    return Snapshot(nodes, sites.unionByName(both).select(*SITE_COLS))
+    return Snapshot(nodes, sites.unionByName(both.select(*SITE_COLS)).select(*SITE_COLS), ends=both)
 
 
 def supply_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
@@ -104,12 +104,14 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
         lines.select(
             node_key(ends[a][0], ends[a][1]).alias("node_id"), F.lit(ends[a][2]).alias("type"), site(b)("site_idx"), F.lit(b).alias("site_name"),
             F.col("l_returnflag").alias("state"), node_key(ends[b][0], ends[b][1]).alias("partner_node"), site(a)("partner_site"),
+            F.lit(ends[b][2]).alias("far_type"), F.lit(a).alias("far_name"), F.col("l_returnflag").alias("far_state"),
         )
         for a in ends for b in ends if a != b
     ]
     keys = {"order": ("orders", "o_orderkey"), "part": ("part", "p_partkey"), "supp": ("supplier", "s_suppkey")}
     nodes = [table(spark, sf_dir, t).select(node_key(k, ends[a][1]).alias("node_id"), F.lit(ends[a][2]).alias("type")) for a, (t, k) in keys.items()]
-    return Snapshot(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, sites).select(*SITE_COLS))
+    linked = reduce(DataFrame.unionByName, sites)
+    return Snapshot(reduce(DataFrame.unionByName, nodes), linked.select(*SITE_COLS), ends=linked)
 
 
 def talk_graph(spark: SparkSession, sf_dir: str) -> Snapshot:
