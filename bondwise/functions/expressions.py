@@ -24,7 +24,7 @@ _LOGS = {"ln": "ln", "log": "ln", "log10": "log10", "log2": "log2"}
 
 
 class _Formula:
-    """One formula on its way to Spark SQL. A part is (sql, truth): conditions count 1 or 0 where a number is asked, and numbers are true unless 0."""
+    """One formula on its way to Spark SQL. A part is (sql, truth): conditions count 1 or 0 where a number is asked (0 if unknown), and numbers are true unless 0."""
 
     def __init__(self, text: str):
         self.tokens, at = [], 0
@@ -48,7 +48,7 @@ class _Formula:
 
     @staticmethod
     def number(part: tuple[str, bool]) -> str:
-        return f"CAST({part[0]} AS DOUBLE)" if part[1] else part[0]
+        return f"if({part[0]}, 1D, 0D)" if part[1] else part[0]
 
     @staticmethod
     def truth(part: tuple[str, bool]) -> str:
@@ -176,10 +176,11 @@ def with_functions(rows: DataFrame, functions: list[tuple[str, str]]) -> DataFra
 def rounded(number: Column, digits: int) -> Column:
     """The nearest multiple of 10^-digits by double arithmetic: the product is rounded, ties away from zero, and divided.
 
-    ``F.round`` rounds the shortest decimal text of a double, which differs in the last digit for about one row in a million.
+    ``F.round`` rounds the shortest decimal text of a double, which differs in the last digit for about one row in a million. Zeros keep the number's sign.
     """
     unit = float(10**digits)
     near = F.round(number * unit) / unit
+    near = F.when(near == 0, number * 0.0).otherwise(near)
     return F.when(F.abs(near) < float("inf"), near).otherwise(number)
 
 

@@ -311,9 +311,10 @@ def expressions_on_lines(spark, sf):
                                                F.col("l_tax").alias("x"), F.col("l_extendedprice").alias("e"))
     one = expressions.evaluate(rows, "if(q >= 25 and not(d < 0.05), ln(q), sqrt(e)) + (-2)^2 + (1 + x)^2 - min(q, 30)*2")
     two = expressions.evaluate(one, "exp(-x)*max(d, 0.05)*q", {"q": 7.0}, "shadowed")
-    # a parameter may be named like a word of SQL; conditions count 1 or 0; a division by zero is infinite and only matters where it is taken
+    # a parameter may be named like a word of SQL; conditions count 1 or 0; a division by zero is infinite and only matters where it is taken;
+    # a quantity not taken adds 0 even where it is unknown or infinite, which a product with the condition would not
     named = two.withColumn("order", F.col("d"))
-    three = expressions.evaluate(named, "if(q != 25 && order > 0.05, 2^3^2/(q - 30), (x > 0.04)*q - (x == 0 || q > 40))", name="guarded")
+    three = expressions.evaluate(named, "if(q != 25 && order > 0.05, 2^3^2/(q - 30), if(x > 0.04, q, 0) - (x == 0 || q > 40))", name="guarded")
     shown = [expressions.rounded(F.col(c), n).alias(c) for c, n in (("value", 6), ("shadowed", 9), ("guarded", 9))]
     return three.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *shown)
 
