@@ -41,17 +41,21 @@ def _bond_ends(edits: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
-def edit_errors(snap: Snapshot, edits: DataFrame, new_sites: DataFrame, type_decl: DataFrame) -> DataFrame:
-    """(edit_id, error): edits that name something absent, are impossible, or clash with another edit.
-
-    An edit is all rows with one edit_id. Edits clash when they set the same state, use the same site for a bond,
-    or one deletes a node that the other touches; nothing is decided by order.
-    """
+def _named_sites(snap: Snapshot, edits: DataFrame, new_sites: DataFrame) -> DataFrame:
+    """(node_id, site_idx, edit_id, op, new_state, type, site_name, state, partner_node, partner_site): each site that an edit names as it was before, written out."""
     sites = snap.sites.select(*SITE_COLS).unionByName(new_sites.drop("edit_id").select(*SITE_COLS))
     ends = _bond_ends(edits.filter(~F.col("op").isin("add_node", "delete_node")))
     found = ends.join(sites.select("node_id", "site_idx", "type", "site_name", "state", "partner_node", "partner_site"),
                       ["node_id", "site_idx"], "left")
-    found = cut(found, "touched-sites")
+    return cut(found, "touched-sites")
+
+
+def edit_errors(snap: Snapshot, edits: DataFrame, found: DataFrame, type_decl: DataFrame) -> DataFrame:
+    """(edit_id, error): edits that name something absent, are impossible, or clash with another edit; ``found`` are the named sites.
+
+    An edit is all rows with one edit_id. Edits clash when they set the same state, use the same site for a bond,
+    or one deletes a node that the other touches; nothing is decided by order.
+    """
     bad_site = found.filter("type is null").select("edit_id", F.lit("no such site").alias("error"))
     on_free = found.filter("op = 'delete_bond' and type is not null and partner_node is null").select(
         "edit_id", F.lit("site has no bond").alias("error")
@@ -113,7 +117,7 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
     Incremented and decremented states stop at the ends of the site's state list. New nodes take their type from
     ``new_state`` and get the declared sites in their first state. A deleted node frees its neighbours' sites.
     """
-    edits = cut(expand_complex_deletes(edits, complexes), "edits")
+    edits, seen = cut_measured(expand_complex_deletes(edits, complexes), "edits", deletes=F.count_if(F.col("op") == "delete_node"))
     fresh = edits.filter("op = 'add_node'").select("edit_id", "node_id", F.col("new_state").alias("type"))
     no_partner = F.lit(None).cast("long")
     first_state = F.when(F.size("allowed_states") > 0, F.element_at("allowed_states", 1))
@@ -121,15 +125,18 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
         "edit_id", "node_id", "type", F.col("site_idx").cast("long").alias("site_idx"), "site_name",
         first_state.alias("state"), no_partner.alias("partner_node"), no_partner.alias("partner_site"),
     )
+    found = _named_sites(snap, edits, new_sites)
     if errors is None:
-        errors = cut(edit_errors(snap, edits, new_sites, type_decl), "edit-errors")
+        errors = cut(edit_errors(snap, edits, found, type_decl), "edit-errors")
     bad = errors.select("edit_id")  # an edit may have several errors, which anti joins need not know
     good = edits.join(bad, "edit_id", "left_anti")
     new_sites = new_sites.join(bad, "edit_id", "left_anti").select(*SITE_COLS)
     new_nodes = fresh.join(bad, "edit_id", "left_anti").select("node_id", "type")
     gone = good.filter("op = 'delete_node'").select("node_id")
-    nodes = snap.nodes.join(gone, "node_id", "left_anti").unionByName(new_nodes)
-    sites = snap.sites.select(*SITE_COLS).join(gone, "node_id", "left_anti").unionByName(new_sites)
+    # a batch that deletes no node need not look for deleted ones among all sites
+    stays = lambda rows: rows.join(gone, "node_id", "left_anti") if seen["deletes"] else rows
+    nodes = stays(snap.nodes).unionByName(new_nodes)
+    sites = stays(snap.sites.select(*SITE_COLS)).unionByName(new_sites)
 
     # one change row per touched site: states and bonds of a site come from different edits
     states = good.filter(F.col("op").isin(*STATE_OPS)).select("node_id", "site_idx", "op", "new_state")
@@ -141,13 +148,14 @@ def apply_edits(snap: Snapshot, edits: DataFrame, type_decl: DataFrame, complexe
         )
     )
     cut_ends = good.filter("op = 'delete_bond'").select("node_id", "site_idx")
-    cut_far = snap.sites.join(cut_ends, ["node_id", "site_idx"], "left_semi").select(
-        F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx")
-    )
-    gone_far = snap.sites.join(gone, "node_id", "left_semi").filter("partner_node is not null").select(
+    cut_far = found.filter("op = 'delete_bond' and type is not null").join(bad, "edit_id", "left_anti").select(
         F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx")
     )
-    freed = cut_ends.unionByName(cut_far).unionByName(gone_far).distinct()
+    freed = cut_ends.unionByName(cut_far)
+    if seen["deletes"]:
+        gone_far = snap.sites.join(gone, "node_id", "left_semi").filter("partner_node is not null")
+        freed = freed.unionByName(gone_far.select(F.col("partner_node").alias("node_id"), F.col("partner_site").alias("site_idx")))
+    freed = freed.distinct()
     none_s = F.lit(None).cast("string")
     change = (
         states.select("node_id", "site_idx", "op", "new_state", no_partner.alias("to_node"), no_partner.alias("to_site"), F.lit(False).alias("free"))

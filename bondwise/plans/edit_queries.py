@@ -357,7 +357,6 @@ def _followed(spark, sf, stages):
     """
     real, decl = customer_graph(spark, sf), customer_decl(spark)
     sites = real.sites.withColumn("state", F.when(F.col("site_name") == "status", F.lit("O")).otherwise(F.col("state")))
-    snap, cx = kept(Snapshot(real.nodes, sites))
     many = pattern(mol("Customer", Slot("order", None, 1)), mol("Order", Slot("cust", None, 1)), relation=">=", quantity=5)
     obs = [
         observable("F", "Molecules", pattern(mol("Order", Slot("status", "F")))),
@@ -366,7 +365,7 @@ def _followed(spark, sf, stages):
         observable("busy", "Species", many),
     ]
     state, source, place = (fresh_path(spark, x) for x in ("feed", "edits", "place"))
-    CountFeed(spark, state, obs, decl, FEED_BUCKETS).start(snap, cx)
+    CountFeed(spark, state, obs, decl, FEED_BUCKETS).start(Snapshot(real.nodes, sites))
     o, node = table(spark, sf, "orders"), node_key("o_orderkey", ORDER)
     batch = _edit(o, F.col("o_orderkey"), "set_state", node, F.lit(1), F.col("o_orderstatus")).unionByName(
         _edit(o.filter("o_orderstatus = 'P'"), -F.col("o_orderkey") - 1, "delete_bond", node, F.lit(0))
@@ -380,8 +379,7 @@ def _followed(spark, sf, stages):
         run.awaitTermination()
     last = run.lastProgress["batchId"]
     totals = cut(feed.totals(last), "totals")
-    now = feed.snapshot(last)
-    recount = match.observe(Snapshot(cut(now.nodes, "nodes"), cut(now.sites, "sites")), obs, cut(feed.complexes(last), "complexes"))
+    recount = match.observe(feed.snapshot(last), obs, feed.complexes(last))
     off = totals.join(recount.withColumnRenamed("value", "again"), "obs", "full").filter(~F.col("value").eqNullSafe(F.col("again")))
     return totals.unionByName(off.agg(F.count(F.lit(1)).alias("value")).select(F.lit("tracked <> recount").alias("obs"), "value"))
 
